@@ -5,15 +5,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import secrets, simhash
 from .common import table
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op2_simhash_components": op2_simhash_components,
     "op10_secret_linking": op10_secret_linking,
 }
 
