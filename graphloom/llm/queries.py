@@ -4,8 +4,9 @@ into the columns that the query's contract names."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secrets, simhash
+from . import secrets, simhash, topk, warc
 from .common import table
 
 
@@ -13,13 +14,26 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
     "op2_simhash_components": op2_simhash_components,
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op9_exact_topk": op9_exact_topk,
     "op10_secret_linking": op10_secret_linking,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_round_trip": warc.ORACLE,
+    "op9_exact_topk": topk.ORACLE,
+}
