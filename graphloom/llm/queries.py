@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, simhash, topk, warc
+from . import packing, secrets, simhash, topk, warc
 from .common import table
 
 
@@ -18,6 +18,17 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return packing.pack(docs, tokenizer_path())
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -29,6 +40,7 @@ def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_components": op2_simhash_components,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op7_mixture_packing": op7_mixture_packing,
     "op9_exact_topk": op9_exact_topk,
     "op10_secret_linking": op10_secret_linking,
 }
