@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, topk, warc
+from . import packing, secrets, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -40,6 +44,7 @@ def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_components": op2_simhash_components,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_toxicity": op5_toxicity,
     "op7_mixture_packing": op7_mixture_packing,
     "op9_exact_topk": op9_exact_topk,
     "op10_secret_linking": op10_secret_linking,
