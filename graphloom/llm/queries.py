@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, topk, toxicity, warc
+from . import htmltext, packing, secrets, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.digest(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_simhash_components": op2_simhash_components,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_toxicity": op5_toxicity,
+    "op6_main_text": op6_main_text,
     "op7_mixture_packing": op7_mixture_packing,
     "op9_exact_topk": op9_exact_topk,
     "op10_secret_linking": op10_secret_linking,

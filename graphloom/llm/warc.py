@@ -210,7 +210,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(rows) == 512:
                     yield _frame(rows, names)
                     rows = []
-            yield _frame(rows, names)
+            if rows:
+                yield _frame(rows, names)
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
