@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, packing, secrets, simhash, topk, toxicity, warc
+from . import decontam, htmltext, packing, secrets, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -47,6 +51,7 @@ def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_components": op2_simhash_components,
+    "op3_decontamination": op3_decontamination,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
