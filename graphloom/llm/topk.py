@@ -145,11 +145,10 @@ def search(
         .withColumn("p", F.monotonically_increasing_id()),
         "topk-pieces",
     )
-    # Names of groups and pieces, a row for each ten thousand vectors: the
-    # pairs of names are the block schedule; matrices meet by equality on it.
-    schedule = groups.select("g", F.lit(1).alias("one")).join(
-        pieces.select("p", F.lit(1).alias("one")), "one"
-    ).select("g", "p").repartition("g", "p")
+    # The block schedule: every group meets every piece of queries.  Pieces
+    # are few (one for fifty thousand rows); their names alone are listed.
+    names = F.array(*[F.lit(r.p) for r in pieces.select("p").collect()]).cast("array<bigint>")
+    schedule = groups.select("g", F.explode(names).alias("p")).repartition("g", "p")
     meetings = schedule.join(groups, "g").join(
         pieces.select("p", *[F.col(c).alias(f"q_{c}") for c in ("ids", "mat", "n", "dims")]), "p"
     )
