@@ -50,7 +50,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def bucket_count(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20, least: int = 8) -> int:
     """Partitions that hold about ``bytes_each`` bytes of the files under
     ``df`` (the optimiser's own size estimate, so it follows the input)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 55:  # the optimiser's word for "unknown"
+        return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return max(least, -(-size // bytes_each))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, packing, secrets, simhash, topk, toxicity, warc
+from . import decontam, htmltext, packing, repeats, secrets, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
     "op7_mixture_packing": op7_mixture_packing,
+    "op8_repeated_bytes": op8_repeated_bytes,
     "op9_exact_topk": op9_exact_topk,
     "op10_secret_linking": op10_secret_linking,
 }
