@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, packing, repeats, secrets, simhash, topk, toxicity, warc
+from . import decontam, htmltext, packing, pitman_yor, repeats, secrets, simhash, topk, toxicity, warc
 from .common import table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,6 +58,7 @@ def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_simhash_components": op2_simhash_components,
     "op3_decontamination": op3_decontamination,
     "op4_warc_round_trip": op4_warc_round_trip,
