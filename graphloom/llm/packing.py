@@ -37,37 +37,73 @@ from .common import materialize
 WINDOW = 2048
 QUANTUM = 64
 END_ID = 1
-#: Words whose ids a task remembers; then it forgets all and starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers; then it forgets all and starts anew.
+REMEMBERED = 400_000
 
 
-class WordEncoder:
-    """Ids of texts through a per-word memory.
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: printable
+    Latin-1 characters stand for themselves, the others follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+class WordIds(dict):
+    """Packed ids of words, found on first use.
 
     The tokenizer's own normaliser and splitter never join characters across
-    ASCII white space, so a text's ids are those of its words in turn.
+    ASCII white space, nor a letter and a punctuation mark, so a text's ids
+    are those of its words in turn.  Words of Latin-1 letters, which it
+    lower-cases and passes whole to its model, go to the model directly.
     """
 
+    def __init__(self, tokenizer, code: str) -> None:
+        super().__init__()
+        self.tokenizer, self.code, self.model = tokenizer, code, tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        mark = word[-1:] if word[-1:] in (b".", b",", b"!", b"?", b":", b";") else b""
+        stem = text[:-1] if mark else text
+        if stem.isalpha() and max(stem) <= "\xff":
+            whole = "".join([self.letters[b] for b in stem.lower().encode()])
+            ids = array(self.code, [t.id for t in self.model.tokenize(whole)]).tobytes()
+            if mark and stem:
+                ids += self[mark]
+        else:
+            ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+
+class WordEncoder:
+    """Texts to ids through a memory of words."""
+
+    #: One for each worker process and file: tasks of a worker share it.
+    shared: dict[str, WordEncoder] = {}
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
-        self.known: dict[bytes, bytes] = {}
+        self.known = WordIds(self.tokenizer, self.code)
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, then the end id, as packed integers."""
-        words = [(t or "").encode().split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (array(self.code, e.ids).tobytes() for e in found)))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         end = array(self.code, [END_ID]).tobytes()
-        return [b"".join([known[w] for w in ws]) + end for ws in words]
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, (t or "").encode().split())) + end for t in texts]
 
 
 TOKENS = "block long, queue string, doc_id long, n long, before long, ids binary"
@@ -78,7 +114,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     tokens of its queue before it."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder.of(tokenizer_path)
         width = array(encoder.code).itemsize
         block, served = TaskContext.get().partitionId(), {}
         for batch in batches:
