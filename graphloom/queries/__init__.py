@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import facts, graph, intake, resolution, text
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _part in (graph, text, resolution, facts, intake):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
