@@ -141,7 +141,7 @@ def allowed_keys(node_type) -> Column:
 
 
 def newline_list(text) -> Column:
-    return F.filter(F.transform(F.split(_c(text), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def client_ip(forwarded, real) -> Column:
