@@ -43,7 +43,7 @@ DIGIT = 16
 REACH = LENGTH - DIGIT  # a digit begins at most so far into its window
 AROUND = LENGTH + REACH  # bytes around a digit that its windows cover
 #: Bytes that are laid out at a time.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -350,7 +350,7 @@ def _finish(with_text: bool):
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) what is left of its bytes."""
     rows = docs.select("doc_id", "text")
-    chunks = bucket_count(docs.sparkSession, rows, 8 << 20)
+    chunks = bucket_count(docs.sparkSession, rows, 4 << 20)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     ask = dealt.groupBy("chunk").applyInPandas(_ask_digits(chunks), ASK_DIGITS)
     told = ask.groupBy("owner").applyInPandas(_tell_digits, TELL_DIGITS)
