@@ -200,7 +200,7 @@ class Restorer:
                 restored = decode(token.strip(".,;:?\"'"), self.logp)
                 if restored and restored != word:
                     found = (*found, restored)
-            if len(self.known) > 100_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             self.known[token] = found
         return found
@@ -210,7 +210,9 @@ class Restorer:
         out = []
         for m in _APART.finditer(low):
             joined = m.group(0).replace(m.group(1), "")
-            out.append(decode(joined, self.logp) if not joined.isalpha() or _REPEATED.search(joined) else joined)
+            word = decode(joined, self.logp) if not joined.isalpha() or _REPEATED.search(joined) else joined
+            # A one-letter word may stand before or after the run.
+            out += [word, word[1:], word[:-1]]
         return out
 
     def words(self, text: str | None) -> set[str]:
@@ -240,22 +242,25 @@ def _text_features(restorer: Restorer, text: str | None) -> set[str]:
 # --- the classifier -------------------------------------------------------
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on sets of feature numbers."""
+def _fit(rows: list[np.ndarray], labels: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on sets of feature numbers,
+    from the weights ``first`` on: what the sample leaves open (which of the
+    words that come together counts) stays as each word's own log odds say."""
+    size = len(first)
     index = np.concatenate(rows) if rows else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    w, b = np.zeros(size), math.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
+    w, b = first.copy(), math.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     # Adagrad on the full sample: a fixed number of steps, no randomness.
     gw2, gb2 = np.full(size, 1e-6), 1e-6
-    for _ in range(400):
+    for _ in range(800):
         z = b + np.bincount(row, weights=w[index], minlength=len(rows))
         err = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels
         gw = np.bincount(index, weights=err[row], minlength=size) / len(rows) + 2e-6 * w
         gb = err.mean()
         gw2 += gw * gw
         gb2 += gb * gb
-        w -= 0.3 * gw / np.sqrt(gw2)
-        b -= 0.1 * gb / math.sqrt(gb2)
+        w -= 1.0 * gw / np.sqrt(gw2)
+        b -= 0.3 * gb / math.sqrt(gb2)
     return w, b
 
 
@@ -320,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, sample_rows: int
     place = np.full(len(number) + 1, -1)
     place[chosen] = np.arange(len(chosen))
     kept = [p[p >= 0] for p in (place[x] for x in lists)]
-    w, b = _fit(kept, y, len(chosen))
+    w, b = _fit(kept, y, odds[chosen])
     names = named["feature"].tolist()
     return {names[i]: float(w[k]) for k, i in enumerate(chosen)}, float(b)
 
@@ -344,7 +349,7 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, logp: np.ndar
                         hits = tuple(
                             f for w in restorer.of_token(token) if w[:4] in heads for f in features_of(w) if f in weights
                         )
-                        if len(by_token) > 300_000:
+                        if len(by_token) > 150_000:
                             by_token.clear()
                         by_token[token] = hits
                     if hits:
