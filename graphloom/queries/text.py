@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import pages, text
 from ..operators import resolve
 from ..plans import star
 from ..plans.star import oracle
@@ -114,3 +114,64 @@ def long_dates(spark, sf_dir):
     return o.select("o_orderkey", text.long_date("o_orderdate").alias("shown"))
 
 
+
+
+def _levels(c: str) -> str:
+    tokens = ", ".join(f"'{t}'" for t in LEVEL_TOKENS)
+    return f"list_sort(list_distinct(list_filter(string_split({sql_norm(c)}, ' '), lambda t: t IN ({tokens}))))"
+
+
+def _aggregate(c: str) -> str:
+    parts = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({c}, '\\([^)]*\\)', '', 'g'), '\\|| or '), lambda p: trim(p)), lambda p: p <> '')"
+    return f"(len({parts}) >= 2 AND len(list_filter({parts}, lambda p: length(p) < 8)) = 0)"
+
+
+_GENERIC = ", ".join(f"'{g}'" for g in BARE_GENERICS)
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, {SPELL} AS title FROM part),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand = b.p_brand AS same, a.title AS x, b.title AS y FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1)
+SELECT a, b, CASE WHEN rule IN (1, 2) THEN 'same_role' WHEN rule = 10 THEN 'excluded' ELSE 'distinct' END AS decision, CAST(rule AS INTEGER) AS rule FROM (
+  SELECT a, b, CASE WHEN same AND {sql_slug('x')} = {sql_slug('y')} THEN 1
+    WHEN same AND list_sort(string_split({sql_slug('x')}, '-')) = list_sort(string_split({sql_slug('y')}, '-')) THEN 2
+    WHEN {sql_norm('x')} IN ({_GENERIC}) OR {sql_norm('y')} IN ({_GENERIC}) THEN 6
+    WHEN {_levels('x')} <> {_levels('y')} THEN 7 WHEN {_aggregate('x')} OR {_aggregate('y')} THEN 10 WHEN NOT same THEN 11 ELSE 12 END AS rule FROM p)""")
+def rubric_decisions(spark, sf_dir):
+    """The rubric's mechanical rules on each part and the next."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", F.expr(SPELL).alias("title"))
+    a = p.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ta"), F.col("title").alias("x"), (F.col("p_partkey") + 1).alias("b"))
+    b = p.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("tb"), F.col("title").alias("y"))
+    said = pages.rubric(F.col("ta"), F.col("x"), F.col("tb"), F.col("y"))
+    return a.join(b, "b").select("a", "b", said.alias("r")).select("a", "b", "r.decision", "r.rule")
+
+
+@query(oracle("""SELECT id, title || ' | example.org' AS page_title,
+  array_to_string(list_append(list_prepend(title, aliases), upper(substr(type, 1, 1)) || substr(type, 2)), ', ') AS keywords,
+  'https://example.org/careers/' || type || '/' || substr(id, strpos(id, ':') + 1) AS canonical FROM star_nodes"""))
+def page_metadata(spark, sf_dir):
+    return pages.metadata(star.nodes(spark, sf_dir), "example.org")
+
+
+@query(oracle("""SELECT n.id, coalesce(p.t, '[]') AS parents, coalesce(c.t, '[]') AS children FROM star_nodes n
+LEFT JOIN (SELECT id, '[' || string_agg('"' || title || '"', ',' ORDER BY k) || ']' AS t FROM (
+  SELECT e.to_id AS id, n.title, row_number() OVER (PARTITION BY e.to_id ORDER BY n.title, n.id) AS k FROM star_edges e JOIN star_nodes n ON n.id = e.from_id) WHERE k <= 12 GROUP BY id) p ON p.id = n.id
+LEFT JOIN (SELECT id, '[' || string_agg('"' || title || '"', ',' ORDER BY k) || ']' AS t FROM (
+  SELECT e.from_id AS id, n.title, row_number() OVER (PARTITION BY e.from_id ORDER BY n.title, n.id) AS k FROM star_edges e JOIN star_nodes n ON n.id = e.to_id) WHERE k <= 12 GROUP BY id) c ON c.id = n.id"""))
+def prompt_neighbours(spark, sf_dir):
+    """The first twelve titles (a prompt's limit) on either side of a node."""
+    return pages.neighbour_titles(star.nodes(spark, sf_dir), star.edges(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, '{"@context":"https://schema.org","@type":"Article","headline":"' || o_orderpriority || '","datePublished":"' || strftime(o_orderdate, '%Y-%m-%d') || '","dateModified":"' ||
+  CASE WHEN o_orderkey % 2 = 0 THEN '2026-07-19' ELSE strftime(o_orderdate, '%Y-%m-%d') END || '"}' AS json FROM orders""")
+def article_json(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    changed = F.when(F.col("o_orderkey") % 2 == 0, "2026-07-19")
+    return o.select("o_orderkey", pages.article(F.col("o_orderpriority"), day, changed, F.lit("2026-01-01")).alias("json"))
+
+
+@query("""SELECT p_partkey, CAST(round(least(greatest(p_size * 20.0::DOUBLE * least(1.0::DOUBLE, 660.0::DOUBLE / (p_size * 30.0::DOUBLE)), 240.0::DOUBLE), 520.0::DOUBLE)) AS INTEGER) AS height FROM part""")
+def pane_heights(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", pages.pane_height(F.col("p_size") * 30.0, F.col("p_size") * 20.0).alias("height"))
