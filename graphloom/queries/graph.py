@@ -24,7 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-SHOWN_PATH = F.replace("path", F.lit("\u0000"), F.lit(" > "))
+def shown_path():
+    return F.replace("path", F.lit("\u0000"), F.lit(" > ")).alias("path")
+
 
 #: All simple routes of the walk graph, and their ranks.
 ROUTES = """r AS (
@@ -76,14 +78,14 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT target, rank, niche, sideways, hops, replace(path, chr(1), ' > ') AS path FROM listed", ROUTES, RANKED))
 def routes_topk(spark, sf_dir):
     """The ten best simple routes from the root to every node."""
-    return routes.top_routes(_routes(spark, sf_dir)).select("target", "rank", "niche", "sideways", "hops", SHOWN_PATH.alias("path"))
+    return routes.top_routes(_routes(spark, sf_dir)).select("target", "rank", "niche", "sideways", "hops", shown_path())
 
 
 @query(oracle(
     "SELECT parent, target, rank, niche, sideways, hops, replace(path, chr(1), ' > ') AS path FROM via WHERE rank <= 10", ROUTES, RANKED, VIA))
 def routes_via_parent(spark, sf_dir):
     out = routes.routes_via_parent(_routes(spark, sf_dir), star.walk_edges(spark, sf_dir))
-    return out.select("parent", "target", "rank", "niche", "sideways", "hops", SHOWN_PATH.alias("path"))
+    return out.select("parent", "target", "rank", "niche", "sideways", "hops", shown_path())
 
 
 @query(oracle("SELECT child_id, parent_id, rank FROM prank", ROUTES, RANKED, PARENTS))

@@ -21,3 +21,11 @@ def test_entry(spark):
 
     assert not __spark_entry__.entry(spark).isEmpty()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_points_import_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
