@@ -23,9 +23,13 @@ ORDER = ("niche", "sideways", "hops", "path")
 def simple_routes(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH, beam: int | None = None) -> DataFrame:
     """(target, nodes, niche, sideways, hops, path) of all simple routes."""
     spark = edges.sparkSession
-    hops = edges.select(
-        F.col("from_id").alias("target"), F.col("to_id").alias("next"),
-        (~F.col("is_common_route")).cast("int").alias("n"), (F.col("edge_type") == "lateral").cast("int").alias("l"),
+    # Written once: every level joins these few columns, not the edges' origin.
+    hops = materialize(
+        edges.select(
+            F.col("from_id").alias("target"), F.col("to_id").alias("next"),
+            (~F.col("is_common_route")).cast("int").alias("n"), (F.col("edge_type") == "lateral").cast("int").alias("l"),
+        ),
+        "hops",
     )
     level = materialize(
         spark.range(1).select(

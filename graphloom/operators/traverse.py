@@ -17,7 +17,7 @@ from ..runtime import materialize
 def distances(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """(id, distance) of all nodes that the root reaches over any edge."""
     spark = edges.sparkSession
-    hops = edges.select("from_id", "to_id").distinct()
+    hops = materialize(edges.select("from_id", "to_id").distinct(), "hops")
     level = materialize(spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("distance")), "level")
     known, depth = level, 0
     while max_depth is None or depth < max_depth:
@@ -49,7 +49,7 @@ def shortest_trails(edges: DataFrame, root: str) -> DataFrame:
     """(id, distance, trail) with the first shortest trail: among equally
     short ones, the one whose parent came first, then the lower edge id."""
     spark = edges.sparkSession
-    hops = edges.select("id", "from_id", "to_id")
+    hops = materialize(edges.select("id", "from_id", "to_id"), "hops")
     level = materialize(
         spark.range(1).select(
             F.lit(root).alias("node"), F.lit(0).alias("distance"), F.array(F.lit(root)).alias("trail"),
@@ -101,9 +101,10 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def would_close_cycle(candidates: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``candidates`` (from_id, to_id) with ``closes``: whether the progression
     edges already lead from to_id back to from_id."""
-    hops = edges.filter("edge_type = 'progression'").select(
-        F.col("from_id").alias("at"), F.col("to_id").alias("next")
-    ).distinct()
+    hops = materialize(
+        edges.filter("edge_type = 'progression'").select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct(),
+        "hops",
+    )
     wanted = candidates.select("from_id", "to_id").distinct()
     level = materialize(wanted.select("from_id", "to_id", F.col("to_id").alias("at")), "reach")
     known = level
