@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialize, scratch_path, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "drop_path", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
 
-        path = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage
-    at files that outlive any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most ``rows`` rows at a time to Python while this holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of this many rows, so that memory
+    follows the texts of a batch and not of ten thousand rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

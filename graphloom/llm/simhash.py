@@ -141,8 +141,8 @@ def _stars(radius: int):
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out_a, out_b = [], []
-            for members in batch["members"]:
-                order = sorted((m["node"], m["fp"] & (2**64 - 1)) for m in members)
+            for nodes, fps in zip(batch["nodes"], batch["fps"]):
+                order = sorted((n, f & (2**64 - 1)) for n, f in zip(nodes.tolist(), fps.tolist()))
                 tree, parent = BKTree(), []
 
                 def root(i: int) -> int:
@@ -187,7 +187,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             ready.groupBy("path", "shard")
             .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
             .filter(F.size("members") > 1)
-            .select("members")
+            .select(F.col("members.node").alias("nodes"), F.col("members.fp").alias("fps"))
             .mapInPandas(_stars(radius), "a long, b long")
         )
         found = stars if found is None else found.unionByName(stars)

@@ -104,9 +104,9 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all symbol runs over all documents; its size is fixed by
     the alphabet (SYMBOLS ** ORDER), whatever the input."""
     rows = docs.select("text").mapInPandas(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
+    found = rows.toArrow()
     counts = np.zeros(SYMBOLS**ORDER, dtype=np.float64)
-    counts[found["gram"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    counts[found["gram"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
@@ -296,9 +296,10 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, sample_rows: int
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= LEAST_POSITIVE)
         .orderBy("feature")
-        .toPandas()
+        .toArrow()
     )
-    number = {f: i for i, f in enumerate(named["feature"])}
+    names = named["feature"].to_pylist()
+    number = {f: i for i, f in enumerate(names)}
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(logp)
@@ -309,12 +310,12 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, sample_rows: int
             ]
             yield pd.DataFrame({"toxic": (batch["toxic"] == 1).astype("int32"), "found": found})
 
-    table = rows.mapInPandas(numbered, "toxic int, found binary").toPandas()
-    y = table["toxic"].to_numpy(dtype=np.float64)
+    table = rows.mapInPandas(numbered, "toxic int, found binary").toArrow()
+    y = table["toxic"].to_numpy().astype(np.float64)
     if not len(y) or y.sum() in (0, len(y)):
         share = float(y.mean()) if len(y) else 0.0
         return {}, 30.0 if share == 1 else -30.0
-    lists = [np.frombuffer(x, dtype=np.int32) for x in table["found"]]
+    lists = [np.frombuffer(x, dtype=np.int32) for x in table["found"].to_pylist()]
     row = np.repeat(y, [len(x) for x in lists])
     index = np.concatenate(lists) if lists else np.empty(0, np.int32)
     pos = np.bincount(index, weights=row, minlength=len(number))
@@ -326,7 +327,6 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, sample_rows: int
     place[chosen] = np.arange(len(chosen))
     kept = [p[p >= 0] for p in (place[x] for x in lists)]
     w, b = _fit(kept, y, odds[chosen])
-    names = named["feature"].tolist()
     return {names[i]: float(w[k]) for k, i in enumerate(chosen)}, float(b)
 
 
