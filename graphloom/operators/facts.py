@@ -28,10 +28,12 @@ def section_violations(sections: DataFrame) -> DataFrame:
 
 def citations(facts: DataFrame) -> DataFrame:
     """(node_id, urls): distinct URLs of each node in order of first use.
-    ``facts`` (node_id, pos, urls) has one row for each part of a document;
-    the parts of one document are a bounded group."""
-    parts = facts.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("pos", "urls"))).alias("p"))
-    return parts.select("node_id", F.array_distinct(F.flatten(F.transform("p", lambda x: x["urls"]))).alias("urls"))
+    ``facts`` (node_id, pos, urls) has one row for each part of a document."""
+    used = facts.select("node_id", "pos", F.posexplode("urls").alias("at", "url"))
+    # Repeats go before the lists form: a URL that every part cites is one row.
+    first = used.groupBy("node_id", "url").agg(F.min(F.struct("pos", "at")).alias("first"))
+    lists = first.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("first", "url"))).alias("u"))
+    return lists.select("node_id", F.transform("u", lambda x: x["url"]).alias("urls"))
 
 
 def collect_urls(facts: DataFrame, edges: DataFrame | None = None, since: str | None = None) -> DataFrame:
