@@ -17,6 +17,18 @@ def unpacked(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
+def packed_rising(keys: np.ndarray) -> bytes:
+    """Rising integers by their differences, byte plane by byte plane: the
+    planes that are all zero cost nothing."""
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    return packed(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_rising(b: bytes) -> np.ndarray:
+    planes = unpacked(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def by_owner(hashes: np.ndarray, owners: int, empty: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """(owner, places in ``hashes`` of its keys in rising order) for each
     owner that has any, or for each with ``empty``."""

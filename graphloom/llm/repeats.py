@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_owner, packed, unpacked
+from .blobs import by_owner, packed, packed_rising, unpacked, unpacked_rising
 from .common import bucket_count
 
 LENGTH = 50
@@ -44,6 +44,9 @@ REACH = LENGTH - DIGIT  # a digit begins at most so far into its window
 AROUND = LENGTH + REACH  # bytes around a digit that its windows cover
 #: Bytes that are laid out at a time.
 SEGMENT = 1 << 19
+#: Digits go by the upper 48 bits of their hash when asked for; a clash only
+#: lets a lone digit go on.
+NAME_SHIFT = np.uint64(16)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -126,7 +129,7 @@ def _chunk_digits(frame: pd.DataFrame):
     found, docs = [], []
     for data, number, _, begins, sizes in segments(texts):
         h, at, _, _ = digits(data, begins, sizes)
-        found.append(h)
+        found.append(h >> NAME_SHIFT)
         docs.append(ids[number[np.searchsorted(begins, at, side="right") - 1]])
     h = np.concatenate(found) if found else np.empty(0, np.uint64)
     d = np.concatenate(docs) if docs else np.empty(0, np.int64)
@@ -146,7 +149,7 @@ def _ask_digits(owners: int):
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         h, many = _chunk_digits(frame)
         rows = [
-            (o, key[0], packed(h[part]), np.packbits(many[part]).tobytes()) for o, part in by_owner(h, owners)
+            (o, key[0], packed_rising(h[part]), np.packbits(many[part]).tobytes()) for o, part in by_owner(h, owners)
         ]
         return pd.DataFrame(rows, columns=["owner", "chunk", "hashes", "many"])
 
@@ -154,7 +157,7 @@ def _ask_digits(owners: int):
 
 
 def _tell_digits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    asked = [unpacked(b, np.uint64) for b in frame["hashes"]]
+    asked = [unpacked_rising(b) for b in frame["hashes"]]
     weight = np.concatenate(
         [1 + np.unpackbits(np.frombuffer(m, np.uint8), count=len(a)).astype(np.int64) for a, m in zip(asked, frame["many"])]
     )
@@ -172,7 +175,7 @@ def _tell_digits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-ASK_WINDOWS = "owner int, chunk int, digit binary, shape binary, doc binary, bytes binary, places binary"
+ASK_WINDOWS = "owner int, chunk int, shape binary, doc binary, bytes binary, places binary"
 TELL_WINDOWS = "chunk int, owner int, masks binary, places binary"
 #: Where a mask applies: text of the chunk, first window, row of the mask, all windows gone.
 PLACE = np.dtype([("text", "<i4"), ("at", "<i8"), ("row", "<i4"), ("gone", "u1"), ("n", "u1")])
@@ -198,8 +201,8 @@ def _ask_windows(owners: int):
             h, at, first, last = digits(data, begins, sizes)
             if not len(h):
                 continue
-            slot = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-            keep = repeated[slot] == h
+            name = h >> NAME_SHIFT
+            keep = repeated[np.minimum(np.searchsorted(repeated, name), len(repeated) - 1)] == name
             h, at, first, last = h[keep], at[keep], first[keep], last[keep]
             piece = np.searchsorted(begins, at, side="right") - 1
             wide = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
@@ -214,7 +217,7 @@ def _ask_windows(owners: int):
         h, far, near, text, start, around = (np.concatenate(x) for x in zip(*parts))
         shape = np.stack([far, near], axis=1).astype(np.uint8)
         rows = []
-        for o, part in by_owner(h, owners):
+        for o, part in by_owner(h >> NAME_SHIFT, owners):
             # Equal bytes of the chunk are one row with the smallest document.
             whole = np.ascontiguousarray(
                 np.concatenate([h[part].astype("<u8").view(np.uint8).reshape(-1, 8), shape[part], around[part]], axis=1)
@@ -229,7 +232,7 @@ def _ask_windows(owners: int):
             place["gone"], place["n"] = doc > least[row], (far - near)[part] + 1
             chosen = part[one]
             rows.append(
-                (o, key[0], packed(h[chosen]), packed(shape[chosen]), packed(least), packed(around[chosen]), packed(place))
+                (o, key[0], packed(shape[chosen]), packed(least), packed(around[chosen]), packed(place))
             )
         return pd.DataFrame(rows, columns=names)
 
@@ -274,12 +277,13 @@ def repeated_windows(group: np.ndarray, shape: np.ndarray, doc: np.ndarray, arou
 
 
 def _tell_windows(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    h = [unpacked(b, np.uint64) for b in frame["digit"]]
-    sizes = [len(x) for x in h]
-    digit = np.concatenate(h)
-    shape = np.concatenate([unpacked(b, np.uint8) for b in frame["shape"]]).reshape(-1, 2)
+    shapes = [unpacked(b, np.uint8).reshape(-1, 2) for b in frame["shape"]]
+    sizes = [len(x) for x in shapes]
+    shape = np.concatenate(shapes)
     doc = np.concatenate([unpacked(b, np.int64) for b in frame["doc"]])
     around = np.concatenate([unpacked(b, np.uint8) for b in frame["bytes"]]).reshape(-1, AROUND)
+    halves = np.ascontiguousarray(around[:, REACH : REACH + DIGIT]).view("<u8")
+    digit = np.unique(halves, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
     # Equal bytes of several chunks are one row too.
     whole = np.ascontiguousarray(
         np.concatenate([digit.astype("<u8").view(np.uint8).reshape(-1, 8), shape, around], axis=1)
