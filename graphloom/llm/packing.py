@@ -68,10 +68,12 @@ class WordIds(dict):
         mark = word[-1:] if word[-1:] in (b".", b",", b"!", b"?", b":", b";") else b""
         stem = text[:-1] if mark else text
         if stem.isalpha() and max(stem) <= "\xff":
-            whole = "".join([self.letters[b] for b in stem.lower().encode()])
-            ids = array(self.code, [t.id for t in self.model.tokenize(whole)]).tobytes()
-            if mark and stem:
-                ids += self[mark]
+            low = stem.lower()
+            if mark or low != stem:
+                ids = self[low.encode()] + (self[mark] if mark else b"")
+            else:
+                whole = "".join([self.letters[b] for b in word])
+                ids = array(self.code, [t.id for t in self.model.tokenize(whole)]).tobytes()
         else:
             ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids
