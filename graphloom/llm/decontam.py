@@ -6,13 +6,17 @@ random bit of the word under it, and writes that word at each step: two
 sequences at a small edit distance give outputs at a small Hamming distance.
 Outputs at sampled steps make the keys of the LSH; a key shared by a window
 of a text and an item makes a candidate, and several walks with many samples
-each reach the target recall.  Windows are sized by item length class.  They
-start at every ``stride``-th word, while items are embedded from each of
-their first ``stride`` words, so that some pair of starts always lines up.
-
-Candidates are verified exactly: the smallest word edit distance between the
-whole item and any stretch of the text there (Myers' bit-parallel search) may
-be a fifth of the item's words.
+each reach the target recall (0.99 at a fifth of the words edited).  Windows
+are sized by item length class.  They start at every ``stride``-th word, while items are embedded from each of
+their words, so that edits, rewritten or missing stretches anywhere leave
+windows that line up.  The samples of a key lie in the first steps of its
+walk, in more of them from key to key: short keys survive edits spread
+evenly, where few words in a row are kept.
+
+Of the candidates, stretches that hold too few of the item's words are
+dropped (no match is lost).  The rest are verified exactly: the smallest word
+edit distance between the whole item and any stretch of the text there
+(Myers' bit-parallel search) may be a fifth of the item's words.
 
 The items' keys are broadcast behind a check of the benchmark's size; larger
 benchmarks go through in parts of that size.  Texts are read once a part and
@@ -37,11 +41,12 @@ from pyspark.sql import functions as F
 
 LEAST_SIMILARITY = 0.8
 #: Characters of benchmark text whose keys one broadcast holds.
-PART_CHARS = 8 << 20
+PART_CHARS = 2 << 20
 WALKS = 3
 SAMPLES = 12
-#: (shortest item in words, stride of windows, steps of a walk, steps in a key)
-CLASSES = ((40, 8, 56, 5), (20, 4, 28, 4), (10, 2, 14, 4), (5, 1, 7, 3), (1, 1, 2, 1))
+#: (shortest item in words, stride of windows, steps of a walk, steps in a key,
+#: steps that the shortest key draws from)
+CLASSES = ((40, 4, 24, 4, 6), (20, 2, 16, 4, 6), (10, 1, 10, 3, 4), (5, 1, 7, 2, 2), (1, 1, 2, 1, 2))
 PAD = 64
 FILTER_BITS = 18
 FILTER_SHIFT = np.uint32(32 - FILTER_BITS)
@@ -72,26 +77,37 @@ def hashes_of(words: list[bytes], known: _WordHashes) -> np.ndarray:
 class Cgk:
     """Keys of windows for one length class: fixed random steps and samples."""
 
-    def __init__(self, number: int, steps: int, picks: int) -> None:
+    def __init__(self, number: int, steps: int, picks: int, shortest: int) -> None:
         rng = np.random.default_rng(1000 + number)
         odd = lambda *shape: rng.integers(0, 1 << 31, shape, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         self.steps = steps
         self.turns = odd(WALKS, steps)
-        edges = np.linspace(0, steps, picks + 1).astype(int)
-        # One step from each part of the walk, so that a key's words lie apart.
+        # One step from each part of the span, so that a key's words lie apart.
+        spans = np.linspace(shortest, steps, SAMPLES).astype(int)
+        edges = [np.linspace(0, span, picks + 1).astype(int) for span in spans]
         self.samples = [
-            [[int(rng.integers(a, b)) for a, b in zip(edges[:-1], edges[1:])] for _ in range(SAMPLES)]
-            for _ in range(WALKS)
+            [[int(rng.integers(a, b)) for a, b in zip(e[:-1], e[1:])] for e in edges] for _ in range(WALKS)
         ]
         self.factors = odd(WALKS, SAMPLES, picks)
 
     def keys(self, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the key, keys of all starts); ``tokens`` must go on for
         ``steps`` words after the last start."""
+        for number, key, _ in self._walks(tokens, starts, False):
+            yield number, key
+
+    def apart(self, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys of all starts, whether a key's words are at as many places)."""
+        for _, key, places in self._walks(tokens, starts, True):
+            yield key, (np.diff(places, axis=0) > 0).all(axis=0)
+
+    def _walks(self, tokens: np.ndarray, starts: np.ndarray, placed: bool) -> Iterator[tuple]:
         for walk in range(len(self.turns)):
             at = starts.copy()
-            out = []
+            out, places = [], []
             for turn in self.turns[walk]:
+                if placed:
+                    places.append(at.copy())
                 seen = tokens[at]
                 out.append(seen)
                 at += ((seen * turn) >> np.uint32(31)).astype(at.dtype)
@@ -100,7 +116,7 @@ class Cgk:
                 for step, factor in zip(self.samples[walk][sample], self.factors[walk, sample]):
                     key += out[step] * factor
                 key ^= key >> np.uint32(15)
-                yield walk * SAMPLES + sample, key
+                yield walk * SAMPLES + sample, key, [places[step] for step in self.samples[walk][sample]] if placed else None
 
 
 class Index:
@@ -116,39 +132,44 @@ class Index:
                 by_class[next(c for c, (least, *_) in enumerate(CLASSES) if len(w) >= least)].append(n)
         self.classes = []
         for c, members in sorted(by_class.items()):
-            _, stride, steps, picks = CLASSES[c]
-            cgk = Cgk(c, steps, picks)
-            owners = [(n, shift) for n in members for shift in range(min(stride, len(self.words[n])))]
-            joined = np.concatenate([np.append(self.words[n][shift:], np.zeros(PAD, np.uint32)) for n, shift in owners])
-            sizes = np.array([len(self.words[n]) - shift + PAD for n, shift in owners])
-            begins = np.cumsum(sizes) - sizes
+            least, stride, steps, picks, shortest = CLASSES[c]
+            cgk = Cgk(c, steps, picks, shortest)
+            # Items of under five words admit no edit: their start is enough.
+            owners = np.array(
+                [(n, at) for n in members for at in range(1 if least == 1 else len(self.words[n]) - picks + 1)],
+                dtype=np.int32,
+            )
+            joined = np.concatenate([np.append(self.words[n], np.zeros(PAD, np.uint32)) for n in members])
+            sizes = np.array([len(self.words[n]) + PAD for n in members])
+            begins = dict(zip(members, (np.cumsum(sizes) - sizes).tolist()))
+            starts = np.array([begins[n] + at for n, at in owners.tolist()], dtype=np.int32)
             tables = []
-            for _, keys in cgk.keys(joined, begins.astype(np.int32)):
-                places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for key, owner in zip(keys.tolist(), owners):
-                    places[key].append(owner)
-                tables.append(dict(places))
-            self.classes.append((stride, cgk, tables))
+            for keys, apart in cgk.apart(joined, starts):
+                # A walk that stood still says too little: its keys are left out.
+                mine = np.flatnonzero(apart)
+                order = mine[np.argsort(keys[mine], kind="stable")].astype(np.int32)
+                tables.append((keys[order], order))
+            self.classes.append((stride, cgk, owners, tables))
         self.filled: list[list[np.ndarray]] = []
 
     def filters(self) -> list[list[np.ndarray]]:
         """For each table which upper parts of keys it has.  Made where it is
         used: only the keys themselves travel."""
         if not self.filled:
-            for _, _, tables in self.classes:
+            for _, _, _, tables in self.classes:
                 made = []
-                for places in tables:
+                for known, _ in tables:
                     has = np.zeros(1 << FILTER_BITS, dtype=bool)
-                    has[np.fromiter(places, dtype=np.uint32, count=len(places)) >> FILTER_SHIFT] = True
+                    has[known >> FILTER_SHIFT] = True
                     made.append(has)
                 self.filled.append(made)
         return self.filled
 
-    def candidates(self, tokens: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, word where the item would begin) from texts laid
+    def candidates(self, tokens: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows of (document, item, word where the item would begin) from texts laid
         out in ``tokens`` with padding after each."""
-        found = set()
-        for (stride, cgk, tables), filters in zip(self.classes, self.filters()):
+        found = [np.empty((0, 3), dtype=np.int64)]
+        for (stride, cgk, owners, tables), filters in zip(self.classes, self.filters()):
             counts = -(-sizes // stride)
             doc = np.repeat(np.arange(len(sizes)), counts)
             step = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -156,11 +177,15 @@ class Index:
             if not len(starts):
                 continue
             for number, keys in cgk.keys(tokens, starts):
-                places = tables[number]
-                for w in np.flatnonzero(filters[number][keys >> FILTER_SHIFT]).tolist():
-                    for item, shift in places.get(int(keys[w]), ()):
-                        found.add((int(doc[w]), item, int(step[w]) * stride - shift))
-        return found
+                known, order = tables[number]
+                hits = np.flatnonzero(filters[number][keys >> FILTER_SHIFT])
+                low = np.searchsorted(known, keys[hits], "left")
+                many = np.searchsorted(known, keys[hits], "right") - low
+                w = np.repeat(hits, many)
+                place = np.arange(len(w)) - np.repeat(np.cumsum(many) - many - low, many)
+                item, shift = owners[order[place]].T
+                found.append(np.stack([doc[w], item, step[w] * stride - shift], axis=1))
+        return np.concatenate(found)
 
 
 def search_distance(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -226,19 +251,21 @@ def _matches(index: Index, held: list[np.ndarray], similarity: float) -> list[tu
     sizes = np.array([len(h) for h in held])
     begins = np.cumsum(sizes + PAD) - sizes - PAD
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    seen = set()
-    for doc, item, start in sorted(index.candidates(tokens, begins, sizes)):
+    lengths = np.array([len(w) for w in index.words], dtype=np.int64)
+    most = np.array([allowed(n, similarity) for n in lengths.tolist()], dtype=np.int64)
+    found = index.candidates(tokens, begins, sizes)
+    # Candidates a few words apart look at the same stretch: round down to a
+    # step and widen by as much.
+    steps = most[found[:, 1]] + 1
+    found[:, 2] = found[:, 2] // steps * steps
+    for doc, item, start in np.unique(found, axis=0).tolist():
         words = index.words[item]
-        slack = allowed(len(words), similarity) + 1
-        # Candidates a few words apart look at the same stretch: round down
-        # to a step and widen by as much.
-        step = max(1, slack)
-        start = start // step * step
-        if (doc, item, start) in seen:
-            continue
-        seen.add((doc, item, start))
+        slack = step = int(most[item]) + 1
         low = max(0, start - slack)
         stretch = held[doc][low : start + step + len(words) + slack]
+        # What is kept of the item lies in the stretch word for word.
+        if np.isin(stretch, words).sum() < len(words) - most[item]:
+            continue
         distance, end = search_distance(words.tolist(), stretch.tolist())
         if distance <= allowed(len(words), similarity):
             key = (doc, item)

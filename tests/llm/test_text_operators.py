@@ -183,6 +183,31 @@ def test_decontamination(spark, sf_dir, docs, rows, none):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 5, 9, 10, 19, 20, 39, 40, 60, 200])
+@pytest.mark.parametrize("where", ["start", "middle", "end", "missing", "even"])
+def test_decontamination_finds_items_wherever_they_are_edited(size, where):
+    rng = random.Random(f"{size} {where}")
+    edits = decontam.allowed(size, 0.8)
+    begin = {"start": 0, "middle": (size - edits) // 2, "end": size - edits}.get(where, 0)
+    known = decontam._WordHashes()
+    items, held = [], []
+    for i in range(60):
+        item = [f"v{rng.randrange(3000)}" for _ in range(size)]
+        items.append((i, " ".join(item)))
+        if where == "missing":
+            item = item[edits:]
+        elif where == "even":
+            for e in range(edits):
+                item[min(size - 1, (e + 1) * (size + 1) // (edits + 1) - 1)] = f"x{e}"
+        else:
+            item[begin : begin + edits] = [f"x{e}" for e in range(edits)]
+        around = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(40, 60))]
+        held.append(decontam.hashes_of(decontam.words_of(" ".join([*around[:30], *item, *around[30:]])), known))
+    got = {r[:2] for r in decontam._matches(decontam.Index(items), held, 0.8)}
+    # The stated recall at a fifth of the words edited.
+    assert sum((i, i) in got for i in range(60)) >= 0.99 * 60
+
+
 def test_toxicity(spark, docs, none):
     bad, good = ["zorgfool", "zorgface", "blarg"], ["river", "stone", "meadow", "cloud", "garden", "window"]
     rng = random.Random(3)
