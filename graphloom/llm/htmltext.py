@@ -39,6 +39,8 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas xmp".split())
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog fieldset label".split())
+#: The end of each raw element; only that ends it, whatever its text looks like.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -81,13 +83,10 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(html: str) -> Node:
     """A forgiving tree: unclosed elements end with what holds them."""
     root = at = Node("", None, "", False)
-    raw = None
-    for m in _TOKEN.finditer(html):
+    position, endless = 0, set()
+    while (m := _TOKEN.match(html, position)) is not None:
+        position = m.end()
         token = m.group(0)
-        if raw is not None:
-            if m.group(1) and token[1] == "/" and m.group(1).lower() == raw:
-                raw = None
-            continue
         name = m.group(1)
         if name is None:
             if token[:2] not in ("<!", "<?"):
@@ -107,8 +106,13 @@ def parse(html: str) -> Node:
                 at.items.append(" ")
             continue
         if name in RAW:
-            if not token.endswith("/>"):
-                raw = name
+            # Without an end only the start is skipped.
+            if not token.endswith("/>") and name not in endless:
+                end = _RAW_END[name].search(html, position)
+                if end is None:
+                    endless.add(name)
+                else:
+                    position = end.end()
             continue
         if name in VOID:
             at.items.append(" " if name in ("br", "hr") else "")

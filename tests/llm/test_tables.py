@@ -73,3 +73,12 @@ def test_host_path_wins_over_a_page_of_its_own(spark):
 def test_segmented_pages_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert warc.round_trip(pages).count() == pages.count()
+
+
+def test_raw_elements_end_at_their_own_end_tag_alone():
+    body = "<p>The body of the page.</p>"
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<script>var a = '<!--';</script>", "<style>a:before{content:'<b'}</STYLE >",
+                "<script>if(a<b)g('<p title=\"')</script>", "<script>x</scripts>y</script>", "<textarea><!-- a <b </textarea>",
+                "<script>", "<noscript>", "<svg/>", "<title>a<b</title>"):
+        for html in (f"<html><body>{raw}{body}</body></html>", f"<div>{body}{raw}</div>"):
+            assert htmltext.extract(html, []) == "The body of the page.", html
