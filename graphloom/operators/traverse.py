@@ -98,7 +98,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return left.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
 
 
-def would_close_cycle(candidates: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def would_close_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidates`` (from_id, to_id) with ``closes``: whether the progression
     edges already lead from to_id back to from_id."""
     hops = materialize(
@@ -108,12 +108,16 @@ def would_close_cycle(candidates: DataFrame, edges: DataFrame, max_rounds: int =
     wanted = candidates.select("from_id", "to_id").distinct()
     level = materialize(wanted.select("from_id", "to_id", F.col("to_id").alias("at")), "reach")
     known = level
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:  # Known triples only grow, so it ends.
         step = level.filter("at <> from_id").join(hops, "at").select("from_id", "to_id", F.col("next").alias("at")).distinct()
         level = materialize(step.join(known, ["from_id", "to_id", "at"], "left_anti"), "reach")
         if level.isEmpty():
             break
         known = known.unionByName(level)
+        rounds += 1
+        if rounds % 8 == 0:
+            known = materialize(known.repartition("from_id", "to_id", "at"), "known")
     hit = known.filter("at = from_id").select("from_id", "to_id").distinct().withColumn("hit", F.lit(True))
     return candidates.join(hit, ["from_id", "to_id"], "left").select(
         *candidates.columns, F.coalesce("hit", F.lit(False)).alias("closes")

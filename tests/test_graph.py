@@ -82,6 +82,14 @@ def test_traversals(spark):
     assert closes == {("degree:mba", ROOT): True, (ROOT, "degree:mba"): False}
 
 
+def test_cycle_of_more_than_64_edges(spark):
+    chain = spark.createDataFrame(
+        [(f"n{i}", f"n{i + 1}", "progression") for i in range(66)], "from_id string, to_id string, edge_type string")
+    asked = spark.createDataFrame([("n66", "n0"), ("n0", "n66")], "from_id string, to_id string")
+    closes = {(r.from_id, r.to_id): r.closes for r in traverse.would_close_cycle(asked, chain).collect()}
+    assert closes == {("n66", "n0"): True, ("n0", "n66"): False}
+
+
 def test_insert_edges(spark):
     e = edges(spark).withColumn("pos", F.lit(0))
     new = spark.createDataFrame(
