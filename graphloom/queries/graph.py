@@ -251,7 +251,7 @@ def edge_grammar_fix(spark, sf_dir):
         kind.select(F.col("id").alias("to_id"), F.col("type").alias("to_type")), "to_id"
     )
     m = F.char_length("id") % 3
-    e = e.withColumn("edge_type", F.when(m == 0, "progression").when(m == 1, "exam_gate").otherwise("sideways"))
+    e = e.withColumn("edge_type", F.when(m == 0, "progression").when(m == 1, "exam_gate").otherwise("lateral"))
     fixed = expand.fix_edge_types(e, exam="part", working=("nation", "supplier", "customer"), education=("region", "nation"))
     return fixed.select("id", "edge_type")
 
