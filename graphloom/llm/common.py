@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, scratch_path, shared_dir
 
-__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "drop_path", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
+__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "bucketed", "drop_path", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,15 @@ def bucket_count(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20,
     return max(least, -(-size // bytes_each))
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: later
+    groupings by it read it in place instead of shuffling it."""
+    path = scratch_path(df.sparkSession, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(min(buckets, 100_000), key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def is_held_out(doc_id: str, modulus: int) -> Column:
     """True where crc32 of the id's decimal digits leaves remainder 1."""
     digits = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

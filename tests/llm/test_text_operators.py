@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, neardup, packing, pitman_yor, repeats, secrets, simhash, toxicity
 from graphloom.llm.queries import tokenizer_path
@@ -80,6 +81,114 @@ def test_seating_matches_the_exact_table_counts():
     assert pitman_yor.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-6, abs=1e-6)
 
 
+def sequential_pitman_yor(texts, held, sweeps, burn_in):
+    """A plain Gibbs sampler: one customer after another, all restaurants in memory."""
+    rng = random.Random(1)
+    pairs, docs = Counter(), []
+    for t, h in zip(texts, held):
+        line = [*t.split(), None]
+        docs.append(list(zip([None, *line[:-1]], line)))
+        pairs.update([] if h else docs[-1])
+    base = 1 / (len({w for _, w in pairs}) + 1)
+    d = pitman_yor.discount_of(sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values()))
+    tables = {k: [] for k in pairs}
+    up = {w: [] for _, w in pairs}
+    total = Counter()
+    for (u, _), c in pairs.items():
+        total[u] += c
+    opened, strength, above, d_up = Counter(), 1.0, 1.0, 0.5
+
+    def parent(w):
+        n, t = sum(map(sum, up.values())), sum(map(len, up.values()))
+        mine = up.get(w, [])
+        return (sum(mine) - d_up * len(mine) + (above + d_up * t) * base) / (above + n)
+
+    def seat(rows, n_opened, s, disc, p):
+        w = [max(0, c - disc) for c in rows] + [(s + disc * n_opened) * p]
+        return rng.choices(range(len(w)), w)[0]
+
+    def leave(rows):
+        k = rng.choices(range(len(rows)), rows)[0]
+        rows[k] -= 1
+        if not rows[k]:
+            rows.pop(k)
+            return True
+        return False
+
+    def enter(rows, k):
+        if k == len(rows):
+            rows.append(1)
+            return True
+        rows[k] += 1
+        return False
+
+    def join_up(w):
+        enter(up[w], seat(up[w], sum(map(len, up.values())), above, d_up, base))
+
+    for (u, w), c in pairs.items():
+        tables[u, w] = [c]
+        opened[u] += 1
+        join_up(w)
+    count = Counter(w for _, w in pairs)
+    strength = pitman_yor.likeliest(pitman_yor.fits(np.array([float(total[u]) for u in total]), np.array([float(opened[u]) for u in total]), d))
+    d_up = pitman_yor.discount_of(sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values()))
+    above = pitman_yor.likeliest(pitman_yor.fits(np.array([float(sum(count.values()))]), np.array([float(len(count))]), d_up))
+    mean = Counter()
+    for sweep in range(burn_in + sweeps):
+        for (u, w), c in pairs.items():
+            for _ in range(c):
+                if leave(tables[u, w]):
+                    opened[u] -= 1
+                    leave(up[w])
+                if enter(tables[u, w], seat(tables[u, w], opened[u], strength, d, parent(w))):
+                    opened[u] += 1
+                    join_up(w)
+        if sweep >= burn_in:
+            for u, w in {x for line in docs for x in line}:
+                inside = pairs.get((u, w), 0) - d * len(tables.get((u, w), []))
+                mean[u, w] += (inside + (strength + d * opened[u]) * parent(w)) / (strength + total[u]) / sweeps
+    return [sum(math.log10(mean[x]) for x in line) for line in docs]
+
+
+def test_pitman_yor_scores_equal_a_sequential_sampler(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(40):
+        line, w = [], 0
+        for _ in range(rng.randrange(1, 14)):
+            w = min(29, int(rng.expovariate(0.25))) if rng.random() < 0.4 else (w * 7 + 3) % 30
+            line.append(vocabulary[w])
+        texts.append(" ".join(line))
+    texts += ["", "never seen before w1", texts[0]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pitman_yor.score_texts(d, burn_in=3, sweeps=12).collect()}
+    held = [pitman_yor.is_held(str(i)) for i in range(len(texts))]
+    want = sequential_pitman_yor(texts, held, 150, 20)
+    off = [(got[i].score - want[i]) / got[i].n_tokens for i in range(len(texts))]
+    assert max(map(abs, off)) < 0.1 and abs(sum(off) / len(off)) < 0.02, (sum(off) / len(off), sorted(off))
+
+
+def test_pitman_yor_rows(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "a b a", 1), (None, "a b", 2), (big, "a b a", 3), (big + 2, None, 4), (7, "A  B\x0bc", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score int").withColumn("chunk", F.lit(1)).withColumn("id", F.lit(2))
+    out = pitman_yor.score_texts(d, 0, 1).collect()
+    assert sorted(((r.doc_id or 0), r.n_tokens) for r in out) == [(0, 3), (7, 4), (big, 4), (big, 4), (big + 2, 1)]
+    held = d.filter(F.col("doc_id") == next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1))
+    only = spark.createDataFrame([(next(i for i in range(99) if pitman_yor.is_held(str(i))), "x y")], "doc_id long, text string")
+    assert held.count() == 0 and pitman_yor.score_texts(only).first().score == 0
+
+
+def test_word_hashes_tell_words_apart():
+    line = b"  one two\tone " + b"x" * 3_000_000 + b" \n two"
+    begins, hashes = pitman_yor.word_hashes(line)
+    assert [line[b : b + 3] for b in begins] == [b"one", b"two", b"one", b"xxx", b"two"]
+    assert hashes[0] == hashes[2] and hashes[1] == hashes[4] and len(set(hashes.tolist())) == 3
+    many = b" ".join(str(i).encode() for i in range(400_000))
+    assert len(np.unique(pitman_yor.word_hashes(many)[1])) == 400_000
+
+
 def brute_print(text):
     w = words(text)
     parts = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
