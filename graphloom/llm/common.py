@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, scratch_path, shared_dir
 
-__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "bucketed", "drop_path", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
+__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "bucketed", "drop_path", "free_name", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_held_out(doc_id: str, modulus: int) -> Column:
     """True where crc32 of the id's decimal digits leaves remainder 1."""
     digits = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

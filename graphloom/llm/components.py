@@ -15,14 +15,19 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), where component
     is the smallest node that can be reached.
 
     Every round is one large-star and one small-star step (joins and partial
     aggregates over the edge table, which never grows), written to the
     shared folder.  The number of rounds follows the logarithm of the
-    longest chain.  Nothing but a row count and a checksum reaches the driver.
+    longest chain, and rounds go on until nothing changes.  Nothing but a row
+    count and a checksum reaches the driver.
+
+    Defined results: edges of a node to itself and repeated edges change
+    nothing (a node with no other edge is left out); edges with a null end
+    are ignored; no edges give no rows; extra columns are ignored.
     """
     now = materialize(
         edges.filter("a <> b")
@@ -31,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         stamp = _stamp(now)
         if stamp == before or stamp[0] == 0:
             break

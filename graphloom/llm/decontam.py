@@ -6,10 +6,10 @@ random bit of the word under it, and writes that word at each step: two
 sequences at a small edit distance give outputs at a small Hamming distance.
 Outputs at sampled steps make the keys of the LSH; a key shared by a window
 of a text and an item makes a candidate, and several walks with many samples
-each reach the target recall (0.99 at a fifth of the words edited).  Windows
-are sized by item length class.  They start at every ``stride``-th word, while items are embedded from each of
-their words, so that edits, rewritten or missing stretches anywhere leave
-windows that line up.  The samples of a key lie in the first steps of its
+each reach the target recall (0.99 at a fifth of the words edited, measured
+by the tests).  Windows are sized by item length class.  They start at every
+``stride``-th word, while items are embedded from each of their words, so that
+edits, rewritten or missing stretches anywhere leave windows that line up.  The samples of a key lie in the first steps of its
 walk, in more of them from key to key: short keys survive edits spread
 evenly, where few words in a row are kept.
 
@@ -18,13 +18,15 @@ dropped (no match is lost).  The rest are verified exactly: the smallest word
 edit distance between the whole item and any stretch of the text there
 (Myers' bit-parallel search) may be a fifth of the item's words.
 
-The items' keys are broadcast behind a check of the benchmark's size; larger
-benchmarks go through in parts of that size.  Texts are read once a part and
-never shuffled.
+The items' keys go to every task behind a check of the benchmark's words;
+larger benchmarks go through in parts of that size.  Texts are read once a
+part and never shuffled.
 
 Defined results: null and empty texts match nothing, null and empty items
-are never found; repeated documents give their rows again, repeated items
-(same id) too; empty tables give no rows; extra columns are ignored.
+are never found; null ids stay null, and such documents are cleaned away like
+any other; repeated documents give their rows again, repeated items (same
+text) are searched once and reported under each id; empty tables give no
+rows; extra columns are ignored (kept by ``clean``), whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_SIMILARITY = 0.8
-#: Characters of benchmark text whose keys one broadcast holds.
-PART_CHARS = 2 << 20
+#: Words of benchmark text whose keys one index holds (some 300 bytes each).
+PART_WORDS = 300_000
 WALKS = 3
 SAMPLES = 12
 #: (shortest item in words, stride of windows, steps of a walk, steps in a key,
@@ -125,6 +127,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         known = _WordHashes()
         self.items = [(i, words_of(t)) for i, t in items]
+        self.words_by_key = dict(self.items)
         self.words = [hashes_of(w, known) for _, w in self.items]
         by_class: dict[int, list[int]] = defaultdict(list)
         for n, w in enumerate(self.words):
@@ -216,31 +219,46 @@ def search_distance(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
-MATCH = "doc_id long, item_id long, edit_distance int, item_words int, similarity double, end_word long"
+MATCH = "doc_id string, item_key long, edit_distance int, item_words int, similarity double, end_word long"
 
 
 def allowed(words: int, similarity: float) -> int:
     return math.floor(words * (1 - similarity) + 1e-9)
 
 
+def _blocks(index: Index, texts: list, known: _WordHashes, similarity: float) -> Iterator[tuple[int, list[tuple]]]:
+    """(number of the first text, matches) for texts of some 65,536 words at a time."""
+    low = 0
+    while low < len(texts):
+        held, size, high = [], 0, low
+        while high < len(texts) and (not held or size < 1 << 16):
+            held.append(hashes_of(words_of(texts[high]), known))
+            size += len(held[-1])
+            high += 1
+        rows = _matches(index, held, similarity)
+        yield low, [r for r in rows if _confirmed(index, r, texts[low + r[0]], similarity)]
+        low = high
+
+
+def _confirmed(index: Index, row: tuple, text: str, similarity: float) -> bool:
+    """Whether the words themselves are as near as their hashes said."""
+    item, end = index.words_by_key[row[1]], row[5]
+    number: dict[bytes, int] = {}
+    numbers = lambda words: [number.setdefault(w, len(number)) for w in words]
+    stretch = words_of(text)[max(0, end - 2 * len(item)) : end]
+    return search_distance(numbers(item), numbers(stretch))[0] <= allowed(len(item), similarity)
+
+
 def _find(index: Index, similarity: float):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
         for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            low = 0
-            while low < len(ids):
-                held, size, high = [], 0, low
-                while high < len(ids) and (not held or size < 1 << 16):
-                    held.append(hashes_of(words_of(texts[high]), known))
-                    size += len(held[-1])
-                    high += 1
-                rows = _matches(index, held, similarity)
+            ids = batch["doc_id"].tolist()
+            for low, rows in _blocks(index, batch["text"].tolist(), known, similarity):
                 if rows:
                     out = pd.DataFrame(rows, columns=["n", *[c.split()[0] for c in MATCH.split(", ")][1:]])
-                    out.insert(0, "doc_id", pd.array([ids[low + n] for n in out.pop("n")], dtype="Int64"))
+                    out.insert(0, "doc_id", [ids[low + n] for n in out.pop("n")])
                     yield out
-                low = high
 
     return find
 
@@ -276,22 +294,49 @@ def _matches(index: Index, held: list[np.ndarray], similarity: float) -> list[tu
     ]
 
 
+def _indexes(benchmark: DataFrame) -> Iterator[tuple[Index, DataFrame]]:
+    """Indexes over the distinct item texts, in parts of about ``PART_WORDS``
+    words (a word costs a bounded number of keys), each with its items."""
+    items = benchmark.filter("text IS NOT NULL").select("item_id", F.xxhash64("text").alias("item_key"), "text")
+    texts = items.select("item_key", "text").dropDuplicates(["item_key"])
+    words = texts.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    parts = max(1, -(-words // PART_WORDS))
+    for part in range(parts):
+        mine = texts if parts == 1 else texts.filter(F.pmod("item_key", F.lit(parts)) == part)
+        yield Index([tuple(r) for r in mine.collect()]), items
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
     """One row per document (doc_id, text) and item (item_id, text) that it
     holds with at most ``1 - similarity`` of the item's words edited."""
-    items = benchmark.filter("text IS NOT NULL").select("item_id", "text")
-    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // PART_CHARS))
     found = None
-    for part in range(parts):
-        mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        index = Index([tuple(r) for r in mine.collect()])
-        rows = docs.select("doc_id", "text").mapInPandas(_find(index, similarity), MATCH)
+    for index, items in _indexes(benchmark):
+        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_find(index, similarity), MATCH)
+        rows = rows.join(items.select("item_key", "item_id"), "item_key")
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", "edit_distance", "item_words", "similarity", "end_word"
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = LEAST_SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, similarity).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item: every row is
+    judged by its own text, where it is."""
+    left = docs
+    for index, _ in _indexes(benchmark):
+        left = left.filter(_free(index, similarity)("text"))
+    return left
+
+
+def _free(index: Index, similarity: float):
+    """Whether a text holds none of the index's items."""
+
+    def free(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _WordHashes()
+        for texts in series:
+            bad = np.zeros(len(texts), dtype=bool)
+            for low, rows in _blocks(index, texts.tolist(), known, similarity):
+                bad[[low + r[0] for r in rows]] = True
+            yield pd.Series(~bad)
+
+    return F.pandas_udf(free, "boolean")

@@ -16,9 +16,10 @@ window over each document's spans ordered by start.  It finds whether a
 complement starts within the radius without emitting one row per pair, so a
 text with thousands of identifiers costs a sort, not a product.
 
-Defined results: a null text counts as empty and has no spans; repeated
-doc_ids are told apart by a key of each row; an empty table
-gives an empty result; extra columns are ignored.
+Defined results: a null text counts as empty and has no spans; null ids stay
+null, and rows that share an id are told apart by a key of each row; an empty
+table gives an empty result; extra columns are ignored (kept by ``redact``),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name, materialize
+
 ASSIGN = (
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
@@ -161,17 +164,21 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced by ``mark``
-    and ``n_chars`` brought up to date; overlapping spans become one mark.
-
-    Texts never move: spans return to their rows by a join on doc_id, and
-    rows without spans pass through.
+    """``docs`` with every reported span of ``text`` replaced by ``mark`` and
+    ``n_chars``, if there is one, brought up to date; overlapping spans become
+    one mark.
+
+    Spans depend on the text alone and return to it by the text's digest, so
+    null and repeated ids make no difference.  What is joined is one row for
+    each text with spans; Spark broadcasts it where it is small, else both
+    sides are shuffled.
     """
+    digest_of = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     found = (
-        scan(docs)
+        scan(docs.select(digest_of.alias("digest"), "text"), "digest")
         .filter(F.size("spans") > 0)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        .groupBy("digest")
+        .agg(F.first("spans").alias("spans"))
     )
     # Merge overlapping spans, then stitch the text between them.
     merged = F.aggregate(
@@ -190,8 +197,10 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))),
     )
+    key, spans = free_name(docs, "digest"), free_name(docs, "merged")
+    small = materialize(found.select(F.col("digest").alias(key), merged.alias(spans)), "spans")
     stitched = F.aggregate(
-        "merged",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, m: F.struct(
             F.concat(
@@ -205,10 +214,9 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
             acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.char_length("text"))
         ),
     )
-    joined = docs.join(found.select("doc_id", merged.alias("merged")), "doc_id", "left")
-    text = F.when(F.col("merged").isNull(), F.col("text")).otherwise(stitched)
-    changed = joined.withColumn("text", text).withColumn(
-        "n_chars",
-        F.when(F.col("merged").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")),
-    )
+    joined = docs.withColumn(key, digest_of).join(small, key, "left")
+    changed = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(stitched))
+    if "n_chars" in docs.columns:
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(count))
     return changed.select(*docs.columns)

@@ -1,25 +1,28 @@
-"""Toxicity by noisy-channel deobfuscation and a classifier of restored words.
+"""Toxicity: noisy-channel restoration, then a classifier of restored text.
 
 A character language model is counted over all documents (runs of four
-symbols; the alphabet bounds its size).  A token that looks obfuscated,
-because digits or signs stand among its letters, a letter repeats three times
-or more, or letters stand apart one by one, becomes a lattice: every position
-offers the letters it may stand for, and a run of one letter may be one or
-two of it.  Viterbi search finds the path that the language model and the
-channel (a fixed price for each substitution) make likeliest, and the
-restored word joins the words of the text as they are.
-
-A text is scored on the set of its words and their beginnings by logistic
-regression over the features that the training labels single out.  It learns
-from a bounded sample of labelled rows (``SAMPLE_ROWS``); language, source
-and ids are not features.
+symbols; the alphabet bounds its size).  Text that looks obfuscated becomes a
+lattice: a sign or digit offers the letters it may stand for, or nothing; a
+run of one letter may be one or two of it; a separator between letters that
+stand apart may be dropped or be the end of a word.  Viterbi search finds the
+path that the language model and the channel (a fixed log price for each
+step) make likeliest, and the restored words take the place of what stood
+there.  Tokens are decoded if they hold a letter and a sign that may stand
+for one, or a letter three times in a row; runs of letters that stand apart are
+decoded as a whole, which also finds where their words end.
+
+A restored text is scored on the set of its words and their beginnings by
+logistic regression over the features that the training labels single out.
+It learns from a bounded sample of labelled rows (``SAMPLE_ROWS``); language,
+source and ids are not features.
 
 Defined results: null and empty texts get the score of a text without any
 feature; rows without a label, or whose label is null, only get scored; a
-document that has several labels counts with the largest; repeated rows are
-scored as often as they occur; with no labels, or of one class only, every
-score is the share of positives (0 if there are none); an empty table gives
-no rows; extra columns are ignored.
+document that has several labels counts with the largest, an id that several
+rows share with its smallest text; repeated rows are scored as often as they
+occur; null ids are not held out; with no labels, or of one class only, every
+score is the share of positives (0 if there are none); an empty table gives no
+rows; extra columns are ignored (kept by ``drop_toxic``), whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +56,8 @@ LEET = {
 SYMBOLS = 29  # boundary, a-z, a byte of another letter, anything else
 SUBSTITUTED = math.log(0.05)
 DROPPED = math.log(0.3)
-LONGEST = 40
+#: A separator between letters that stand apart goes, or ends a word.
+CLOSED, WORD_END = math.log(0.8), math.log(0.2)
 
 _SYMBOL = np.full(256, 28, dtype=np.int64)
 _SYMBOL[[9, 10, 11, 12, 13, 32]] = 0
@@ -61,10 +65,12 @@ for _c in range(26):
     _SYMBOL[97 + _c] = _SYMBOL[65 + _c] = 1 + _c
 _SYMBOL[128:] = 27
 
-_STRIP = ".,;:!?\"'()[]{}<>|*_-=+#&%~`/\\"
-_MIXED = re.compile(r"[^\W\d_][\d@$!|+(<*#€]+[^\W\d_]|^[\d@$!|+(<*#€]+[^\W\d_]{2,}|[^\W\d_]{2,}[\d@$€]+$")
+_STRIP = ".,;:!?\"'()[]{}<>|_-=+#&%~`/\\"
+_SIGN = re.compile(r"[\d@$!|+(<*#€]")
+_LETTER = re.compile(r"[^\W\d_]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
-_APART = re.compile(r"(?<!\S)(?:[^\W\d_]|[\d@$!|+€])(?:([ .\-_*])(?:[^\W\d_]|[\d@$!|+€])(?:\1(?:[^\W\d_]|[\d@$!|+€])){1,38})(?!\S)")
+#: Three letters or more that stand apart, with signs for some of them.
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:[ \t.,\-_*~/']{1,3}(?:[^\W_]|[@$!|+€])){2,}(?![^\W_])")
 
 
 # --- the language model ---------------------------------------------------
@@ -131,12 +137,17 @@ def _symbol(ch: str) -> int:
     return 27 if ord(ch) > 127 and ch.isalpha() else 28
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
     """For each run of equal characters, what it may stand for, with the
-    channel's log price."""
+    channel's log price.  ``apart``: the letters stand apart, what is between
+    them goes or ends a word."""
     out = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
-        ch, n = m.group(1), len(m.group(0))
+    for m in re.finditer(r"[ \t.,\-_*~/']+|." if apart else r"(.)\1*", token, re.S):
+        piece = m.group(0)
+        ch, n = piece[0], len(piece)
+        if apart and ch in " \t.,-_*~/'":
+            out.append([("", CLOSED), (" ", WORD_END)])
+            continue
         letters = [ch] if ch.isalpha() else list(LEET.get(ch, ""))
         price = 0.0 if ch.isalpha() else SUBSTITUTED
         choices = []
@@ -150,31 +161,24 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """The likeliest word behind ``token`` (Viterbi over its lattice)."""
-    states: dict[tuple[int, ...], tuple[float, str]] = {(0,) * (ORDER - 1): (0.0, "")}
-    for choices in lattice(token):
-        grown: dict[tuple[int, ...], tuple[float, str]] = {}
+def decode(token: str, logp: list[float], apart: bool = False) -> str:
+    """The likeliest words behind ``token`` (Viterbi over its lattice).
+    States are the last symbols read; a word's end forgets them."""
+    keep = SYMBOLS ** (ORDER - 2)
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    for choices in lattice(token, apart):
+        grown: dict[int, tuple[float, str]] = {}
         for context, (score, word) in states.items():
             for letters, price in choices:
                 s, c = score + price, context
                 for ch in letters:
-                    sym = _symbol(ch)
-                    at = 0
-                    for x in c:
-                        at = at * SYMBOLS + x
-                    s += float(logp[at * SYMBOLS + sym])
-                    c = (*c[1:], sym)
+                    sym = 0 if ch == " " else _symbol(ch)
+                    s += logp[c * SYMBOLS + sym]
+                    c = c % keep * SYMBOLS + sym if sym else 0
                 if c not in grown or s > grown[c][0]:
                     grown[c] = (s, word + letters)
         states = grown
-    best = (-math.inf, token)
-    for c, (score, word) in states.items():
-        at = 0
-        for x in c:
-            at = at * SYMBOLS + x
-        best = max(best, (score + float(logp[at * SYMBOLS]), word))
-    return best[1]
+    return max((score + logp[c * SYMBOLS], word) for c, (score, word) in states.items())[1]
 
 
 # --- words and features ---------------------------------------------------
@@ -184,51 +188,42 @@ class Restorer:
     """The words of texts, with obfuscated ones restored."""
 
     def __init__(self, logp: np.ndarray) -> None:
-        self.logp = logp
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.logp = logp.tolist()
+        self.known: dict[str, str] = {}
 
-    def of_token(self, token: str) -> tuple[str, ...]:
+    def of_token(self, token: str) -> str:
+        """The word behind a lower-case token; empty if it has none."""
         if token.isalpha() and not _REPEATED.search(token):
-            return (token,)
+            return token
         found = self.known.get(token)
         if found is None:
-            word = token.strip(_STRIP)
-            found = (word,) if word else ()
-            if not word.isalpha() and (word.isdigit() or len(token) > LONGEST):
-                pass
-            elif len(token) <= LONGEST and (_MIXED.search(token) or _REPEATED.search(token)):
-                restored = decode(token.strip(".,;:?\"'"), self.logp)
-                if restored and restored != word:
-                    found = (*found, restored)
+            found = token.strip(_STRIP)
+            if found and _LETTER.search(found) and (_SIGN.search(found) or _REPEATED.search(found)):
+                found = decode(found, self.logp) or found
             if len(self.known) > 50_000:
                 self.known.clear()
             self.known[token] = found
         return found
 
-    def apart(self, low: str) -> list[str]:
-        """Words whose letters stand apart in a lower-case text."""
-        out = []
-        for m in _APART.finditer(low):
-            joined = m.group(0).replace(m.group(1), "")
-            word = decode(joined, self.logp) if not joined.isalpha() or _REPEATED.search(joined) else joined
-            # A one-letter word may stand before or after the run.
-            out += [word, word[1:], word[:-1]]
-        return out
+    def _closed(self, m: re.Match) -> str:
+        run = m.group(0)
+        letters = len(_LETTER.findall(run))
+        if letters < 3 or letters * 2 < sum(c not in " \t.,-_*~/'" for c in run):
+            return run
+        return f" {decode(run, self.logp, apart=True)} "
+
+    def joined(self, text: str | None) -> str:
+        """The text in lower case, letters that stand apart joined to words."""
+        return _APART.sub(self._closed, (text or "").lower())
 
     def words(self, text: str | None) -> set[str]:
-        low = (text or "").lower()
-        out: set[str] = set()
-        for token in set(low.split()):
-            out.update(self.of_token(token))
-        out.update(self.apart(low))
-        return out
+        return {w for w in map(self.of_token, set(self.joined(text).split())) if w}
 
 
 def restored_text(text: str | None, logp: np.ndarray) -> str:
-    """``text`` in lower case with obfuscated tokens replaced."""
+    """``text`` in lower case with obfuscated parts replaced."""
     restorer = Restorer(logp)
-    low = _APART.sub(lambda m: m.group(0).replace(m.group(1), ""), (text or "").lower())
-    return re.sub(r"\S+", lambda m: (restorer.of_token(m.group(0)) or (m.group(0),))[-1], low)
+    return re.sub(r"\S+", lambda m: restorer.of_token(m.group(0)) or m.group(0), restorer.joined(text))
 
 
 def features_of(word: str) -> list[str]:
@@ -275,30 +270,38 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, sample_rows: int
     )
     # At most sample_rows short rows: bounded, whatever the input.
     rows = materialize(
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample"
+        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"),
+        "toxic-sample",
     )
+    whole = rows.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
+    size, positive = whole[0], whole[1] or 0
+    if positive in (0, size):
+        return {}, 30.0 if size and positive == size else -30.0
 
-    def positive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, seen = Restorer(logp), Counter()
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer, seen = Restorer(logp), (Counter(), Counter())
         for batch in batches:
-            for text in batch["text"]:
-                seen.update(_text_features(restorer, text))
-        names = list(seen)
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                seen[int(toxic == 1)].update(_text_features(restorer, text))
+        names = [f for f in seen[1]]
+        names += [f for f in seen[0] if f not in seen[1]]
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
-            yield pd.DataFrame({"feature": part, "n": [seen[f] for f in part]})
-
-    named = (
-        rows.filter("toxic = 1")
-        .select("text")
-        .mapInPandas(positive, "feature string, n long")
-        .groupBy("feature")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_POSITIVE)
-        .orderBy("feature")
+            yield pd.DataFrame({"feature": part, "pos": [seen[1][f] for f in part], "neg": [seen[0][f] for f in part]})
+
+    counts = rows.mapInPandas(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / (positive + 1)) - F.log((F.col("neg") + 0.5) / (size - positive + 1))
+    # At most FEATURES rows reach the driver.
+    chosen = (
+        counts.filter((F.col("pos") >= LEAST_POSITIVE) & (F.col("pos") >= LEAST_SHARE * positive))
+        .withColumn("odds", odds)
+        .filter(F.col("odds") > math.log(8))
+        .orderBy(F.desc(F.col("pos") * F.col("odds")), "feature")
+        .limit(FEATURES)
         .toArrow()
     )
-    names = named["feature"].to_pylist()
+    names, first = chosen["feature"].to_pylist(), chosen["odds"].to_numpy().astype(np.float64)
     number = {f: i for i, f in enumerate(names)}
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,27 +314,13 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, sample_rows: int
             yield pd.DataFrame({"toxic": (batch["toxic"] == 1).astype("int32"), "found": found})
 
     table = rows.mapInPandas(numbered, "toxic int, found binary").toArrow()
-    y = table["toxic"].to_numpy().astype(np.float64)
-    if not len(y) or y.sum() in (0, len(y)):
-        share = float(y.mean()) if len(y) else 0.0
-        return {}, 30.0 if share == 1 else -30.0
     lists = [np.frombuffer(x, dtype=np.int32) for x in table["found"].to_pylist()]
-    row = np.repeat(y, [len(x) for x in lists])
-    index = np.concatenate(lists) if lists else np.empty(0, np.int32)
-    pos = np.bincount(index, weights=row, minlength=len(number))
-    neg = np.bincount(index, weights=1 - row, minlength=len(number))
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
-    rank = np.argsort(-(pos * odds), kind="stable")
-    chosen = [int(i) for i in rank if odds[i] > math.log(8) and pos[i] >= LEAST_SHARE * y.sum()][:FEATURES]
-    place = np.full(len(number) + 1, -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = [p[p >= 0] for p in (place[x] for x in lists)]
-    w, b = _fit(kept, y, odds[chosen])
-    return {names[i]: float(w[k]) for k, i in enumerate(chosen)}, float(b)
-
-
-def score(docs: DataFrame, weights: dict[str, float], bias: float, logp: np.ndarray) -> DataFrame:
-    """``docs`` with a column ``score``; rows stay where they are."""
+    w, b = _fit(lists, table["toxic"].to_numpy().astype(np.float64), first)
+    return dict(zip(names, w.tolist())), float(b)
+
+
+def scorer(weights: dict[str, float], bias: float, logp: np.ndarray):
+    """A column function from texts to scores; rows stay where they are."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         restorer = Restorer(logp)
@@ -342,36 +331,35 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, logp: np.ndar
             out = []
             for text in texts:
                 found: set[str] = set()
-                low = (text or "").lower()
-                for token in set(low.split()):
+                for token in set(restorer.joined(text).split()):
                     hits = by_token.get(token)
                     if hits is None:
-                        hits = tuple(
-                            f for w in restorer.of_token(token) if w[:4] in heads for f in features_of(w) if f in weights
-                        )
+                        words = restorer.of_token(token).split()
+                        hits = tuple(f for w in words if w[:4] in heads for f in features_of(w) if f in weights)
                         if len(by_token) > 150_000:
                             by_token.clear()
                         by_token[token] = hits
                     if hits:
                         found.update(hits)
-                for word in restorer.apart(low):
-                    found.update(f for f in features_of(word) if f in weights)
                 z = bias + sum(weights[f] for f in sorted(found))
                 out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, z)))))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")("text"))
+    return F.pandas_udf(run, "double")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
+def fitted(docs: DataFrame, labels: DataFrame):
+    """The scorer of a model of ``docs`` (doc_id, text) and ``labels``."""
     logp = language_model(character_counts(docs))
-    weights, bias = train(docs, labels, logp)
-    scored = score(docs, weights, bias, logp)
-    return scored.withColumn("held_out", is_held_out("doc_id", 3)).withColumn(
-        "predicted", (F.col("score") >= THRESHOLD).cast("int")
-    )
+    return scorer(*train(docs, labels, logp), logp)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    return docs.filter(fitted(docs, labels)("text") < threshold)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+    """(doc_id, held_out, score, predicted) for every row of ``docs``."""
+    scored = docs.select("doc_id", is_held_out("doc_id", 3).alias("held_out"), fitted(docs, labels)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from graphloom.llm import decontam, secrets, simhash, toxicity
+from graphloom.llm import decontam, neardup, secrets, toxicity
 from graphloom.llm.common import materialize, table
 
 
@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir):
     assert ids(after) == ids(before) - bad
 
     before, after = seen["near_duplicates"]
-    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in before.collect()}
+    sets = {r.doc_id: set(neardup.shingle_set(r.text, 5).tolist()) for r in before.collect()}
     parent = {i: i for i in sets}
 
     def root(i):

@@ -242,10 +242,70 @@ def test_links_of_a_dense_shard(spark, monkeypatch):
     assert all(got.get(n, n) == root(n) for n in value)
 
 
+def shingles(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def planted(rng, size, share):
+    """A text and one with as many words changed as leave ``share`` Jaccard similarity or a little more."""
+    a = [f"v{rng.randrange(5000)}" for _ in range(size)]
+    b, last = list(a), list(a)
+    for k in rng.sample(range(size), size):
+        b[k] = f"x{rng.randrange(10**9)}"
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if len(x & y) < share * len(x | y):
+            break
+        last = list(b)
+    return " ".join(a), " ".join(last)
+
+
+@pytest.mark.parametrize("most", [4000, 60])
+def test_recall_of_near_duplicates_at_the_threshold(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "SHARD_ROWS", most)
+    rng = random.Random(most)
+    rows, pairs = [], []
+    for i in range(150):
+        a, b = planted(rng, rng.choice([30, 80, 200, 400]), 0.8)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        x, y = shingles(a), shingles(b)
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs.append((2 * i, 2 * i + 1))
+    # A template that hundreds share at about 0.6, with close pairs among them, and many copies.
+    frame = [f"t{rng.randrange(5000)}" for _ in range(200)]
+    for i in range(200):
+        own = [f"o{i}x{k}" for k in range(30)]
+        close = own[:-2] + ["other", "end"]
+        rows += [(1000 + 2 * i, " ".join(frame[:100] + own + frame[100:])), (1001 + 2 * i, " ".join(frame[:100] + close + frame[100:]))]
+        pairs.append((1000 + 2 * i, 1001 + 2 * i))
+    rows += [(5000 + i, " ".join([*frame[:i % 40], f"one{i}", *frame[i % 40 :]])) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id for r in neardup.duplicates(d).select("doc_id").collect()}
+    small = [p for p in pairs if p[1] < 1000]
+    assert len(small) > 100 and sum(b in gone for _, b in small) >= 0.95 * len(small)
+    assert sum(b in gone for _, b in pairs[len(small) :]) >= 0.95 * 200
+    kept_copies = [i for i, _ in rows if i >= 5000 and i not in gone]
+    assert len(kept_copies) <= 3
+    # Nothing goes that has no like text before it.
+    sets = {i: shingles(t) for i, t in rows if i < 1000}
+    assert all(len(sets[i] & sets[i ^ 1]) >= 0.8 * len(sets[i] | sets[i ^ 1]) for i in gone if i < 1000)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    big = (1 << 53) + 1
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(big, long), (big, long), (big, "another text of this id"), (big + 1, long + " end"), (None, long), (None, long), (3, None), (4, "")]
+    d = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], "doc_id long, text string, node int, text_key string, repeated int")
+    got = neardup.drop_duplicates(d)
+    assert got.columns == d.columns
+    assert Counter(((r.doc_id or 0), r.text) for r in got.collect()) == Counter(
+        [(big, long), (big, "another text of this id"), (0, long), (0, long), (3, None)])
+
+
 def test_near_duplicates_are_found_at_their_similarity(spark, docs):
     kept = {r.doc_id for r in neardup.drop_duplicates(docs).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    sets = {i: shingles(t) for i, t in texts.items()}
     like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     gone = set(texts) - kept
     assert all(any(like(i, k) for k in texts if k < i) for i in gone)
@@ -292,6 +352,17 @@ def test_decontamination(spark, sf_dir, docs, rows, none):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_rows_go_by_their_text(spark):
+    big = (1 << 53) + 1
+    item = "what is the name of the river that runs through the old town of the north"
+    bench = spark.createDataFrame([(1, item), (2, item), (3, None), (4, "")], "item_id long, text string")
+    rows = [(None, f"so {item} ends", 1), (None, "nothing here", 2), (big, item.upper(), 3), (big, "clean", 4), (5, None, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    assert sorted(r.item_id for r in decontam.clean(d, bench).collect()) == [2, 4, 5]
+    found = decontam.contaminated(d, bench)
+    assert sorted(((r.doc_id or 0), r.item_id, r.edit_distance) for r in found.collect()) == [(0, 1, 0), (0, 2, 0), (big, 1, 0), (big, 2, 0)]
+
+
 @pytest.mark.parametrize("size", [3, 5, 9, 10, 19, 20, 39, 40, 60, 200])
 @pytest.mark.parametrize("where", ["start", "middle", "end", "missing", "even"])
 def test_decontamination_finds_items_wherever_they_are_edited(size, where):
@@ -317,6 +388,43 @@ def test_decontamination_finds_items_wherever_they_are_edited(size, where):
     assert sum((i, i) in got for i in range(60)) >= 0.99 * 60
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_decoder_finds_the_best_path_of_the_lattice(docs, apart):
+    import itertools
+
+    logp = toxicity.language_model(toxicity.character_counts(docs))
+
+    def price(path):
+        total = sum(p for _, p in path)
+        line = "".join(x for x, _ in path) + " "
+        context = (0, 0, 0)
+        for ch in line:
+            sym = 0 if ch == " " else toxicity._symbol(ch)
+            at = 0
+            for x in (*context, sym):
+                at = at * toxicity.SYMBOLS + x
+            total += float(logp[at])
+            context = (*context[1:], sym) if sym else (0, 0, 0)
+        return total
+
+    for token in ("y o-u i d 1 o t", "a b. c") if apart else ("1d10t", "h3ll00o", "a$$", "fuc*", "x" * 4, "é1e"):
+        choices = toxicity.lattice(token, apart)
+        best = max(itertools.product(*choices), key=price)
+        got = toxicity.decode(token, logp.tolist(), apart)
+        assert price(best) == pytest.approx(max(price(p) for p in itertools.product(*choices) if "".join(x for x, _ in p) == got))
+
+
+def test_toxic_rows_go_by_their_text(spark):
+    rows = [(i, ("vile " if i % 3 == 0 else "kind ") + f"word{i % 7} here", 5.0, 9) for i in range(120)]
+    rows += [(None, "vile thing", 99.0, 9), (None, "kind thing", 99.0, 9), (3, "kind one of a repeated id", 1.0, 9), (None, "v 1 l e, thing", 0.0, 0),
+             (None, "(V-I-L-E)!", 0.0, 0), (None, "v1llllle" + "e" * 60, 0.0, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
+    l = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    left = toxicity.drop_toxic(d, l)
+    assert left.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows if r[1].startswith("kind"))
+
+
 def test_toxicity(spark, docs, none):
     bad, good = ["zorgfool", "zorgface", "blarg"], ["river", "stone", "meadow", "cloud", "garden", "window"]
     rng = random.Random(3)
@@ -496,5 +604,11 @@ def test_secrets(spark, docs, none):
     assert [s.split(":")[0] for s in out[3000].spans.split(",")] == ["assign", "access", "secret", "endpoint"]
     assert out[3002].spans == "" and out[3001].spans == "assign:26:43"
     assert secrets.digest(none).count() == 0
+    clash = [(None, "my password = hunter22 x", 1), (None, "clean", 2), (7, "token: abcdefgh", 3), (7, "a perfectly clean line", 4), ((1 << 53) + 1, "secret=abcdefgh secret=ijklmnop", 5)]
+    d = spark.createDataFrame([(*r, "m", "s") for r in clash], "doc_id long, text string, merged int, digest string, spans string")
+    got = secrets.redact(d)
+    assert got.columns == d.columns
+    assert {r.merged: (r.doc_id, r.text) for r in got.collect()} == {
+        1: (None, "my [REDACTED] x"), 2: (None, "clean"), 3: (7, "[REDACTED]"), 4: (7, "a perfectly clean line"), 5: ((1 << 53) + 1, "[REDACTED] [REDACTED]")}
     full = spark.createDataFrame([(1, "x token = abcdefgh y", 20), (2, None, None)], "doc_id long, text string, n_chars long")
     assert {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(full).collect()} == {1: ("x [REDACTED] y", 14), 2: (None, None)}
