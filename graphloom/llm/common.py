@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, scratch_path, shared_dir
 
-__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "bucketed", "drop_path", "free_name", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
+__all__ = ["arrow_rows", "bounded_batches", "bucket_count", "bucketed", "drop_table", "free_name", "is_held_out", "materialize", "scratch_path", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder on whichever file system holds it."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_table(written: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing
+    reads any more, on whichever file system holds them."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if not folder.startswith(shared_dir(spark)) and f"/{shared_dir(spark).split('://')[-1].strip('/')}/" not in f"{folder}/":
+            raise ValueError("only scratch tables are deleted")
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bucket_count(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20, least: int = 8) -> int:

@@ -77,6 +77,9 @@ def test_seating_matches_the_exact_table_counts():
         take = np.log(rng.random(n)) < nw - w
         tables, w = np.where(take, new, tables), np.where(take, nw, w)
     assert tables.mean() == pytest.approx(exact, abs=0.03)
+    args = np.full(n, p), np.full(n, other), strength, d, rng
+    small, weights = pitman_yor.resample(np.full(n, c), np.ones(n, int), np.full(n, np.nan), *args)
+    assert small.mean() == pytest.approx(exact, abs=0.03) and np.isnan(weights).all()
     x = np.array([0.02, 0.5, 3.3, 1e5])
     assert pitman_yor.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-6, abs=1e-6)
 
@@ -164,7 +167,7 @@ def test_pitman_yor_scores_equal_a_sequential_sampler(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in pitman_yor.score_texts(d, burn_in=3, sweeps=12).collect()}
     held = [pitman_yor.is_held(str(i)) for i in range(len(texts))]
-    want = sequential_pitman_yor(texts, held, 150, 20)
+    want = sequential_pitman_yor(texts, held, 80, 20)
     off = [(got[i].score - want[i]) / got[i].n_tokens for i in range(len(texts))]
     assert max(map(abs, off)) < 0.1 and abs(sum(off) / len(off)) < 0.02, (sum(off) / len(off), sorted(off))
 
