@@ -51,6 +51,43 @@ def neighbour_titles(nodes: DataFrame, edges: DataFrame, limit: int = 12) -> Dat
     )
 
 
+def expansion_prompt(title, definition, trail: Column, known: Column, instruction: str) -> Column:
+    """The prompt that asks for a node's successors: what it is, the way from
+    the root (array of titles) and the lines of the graph around it (array)."""
+    part = lambda label, body: F.concat(F.lit(f"{label}: "), body)
+    return F.concat_ws(
+        "\n\n", F.lit(instruction), part("NODE", title),
+        F.when(F.coalesce(F.trim(definition), F.lit("")) != "", part("DEFINITION", F.trim(definition))),
+        F.when(F.size(trail) > 0, part("WAY FROM THE START", F.array_join(trail, " → "))),
+        F.concat(F.lit("ALREADY KNOWN:\n"), F.array_join(known, "\n")),
+    )
+
+
+def sitemap(nodes: DataFrame, site: str, static: list[str], guides: DataFrame | None = None, built: str | None = None) -> DataFrame:
+    """(url, lastmod): the static paths, the nodes (id, changed) and the guides
+    (slug, changed); an unreadable date falls back to the build's."""
+    day = lambda c: F.coalesce(F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "yyyy-MM-dd"), F.lit(built).cast("string"))
+    spark = nodes.sparkSession
+    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(f"https://{site}{x}") for x in static])).alias("url"), F.lit(built).cast("string").alias("lastmod"))
+    out = fixed.unionByName(nodes.select(F.concat(F.lit(f"https://{site}"), text.node_href("id")).alias("url"), day(F.col("changed")).alias("lastmod")))
+    if guides is not None:
+        out = out.unionByName(guides.select(F.concat(F.lit(f"https://{site}/guides/"), "slug").alias("url"), day(F.col("changed")).alias("lastmod")))
+    return out
+
+
+def explorer_metadata(nodes: DataFrame, site: str) -> DataFrame:
+    """(id, page_title, description) of the explorer's page of each node."""
+    return nodes.select(
+        "id", F.concat(F.lit("Explore "), "title", F.lit(f" | {site}")).alias("page_title"),
+        F.concat(F.lit("Where "), "title", F.lit(" leads and how to get there.")).alias("description"),
+    )
+
+
+def markdown_section(body, heading: str) -> Column:
+    """The text under a second-level heading, up to the next one."""
+    return F.trim(F.regexp_extract(body, rf"(?ms)^## {heading}[^\n]*\n(.*?)(?=^## |\Z)", 1))
+
+
 def pane_height(width, height) -> Column:
     """The height of a map's pane: scaled to its width, within limits."""
     scaled = height * F.least(F.lit(1.0), F.lit(660.0) / width)

@@ -147,3 +147,8 @@ def newline_list(text) -> Column:
 def client_ip(forwarded, real) -> Column:
     first = F.nullif(F.trim(F.substring_index(_c(forwarded), ",", 1)), F.lit(""))
     return F.coalesce(first, F.nullif(F.trim(_c(real)), F.lit("")), F.lit("unknown"))
+
+
+def today(day: str | None = None) -> Column:
+    """The day as yyyy-MM-dd; a given one in tests and reruns."""
+    return F.lit(day) if day is not None else F.date_format(F.current_date(), "yyyy-MM-dd")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from ..schemas import EDUCATION_TYPES, WORKING_TYPES
+from .traverse import _closing
 
 
 def fix_edge_types(edges: DataFrame, exam: str = "exam", working=WORKING_TYPES, education=EDUCATION_TYPES) -> DataFrame:
@@ -23,6 +24,37 @@ def fix_edge_types(edges: DataFrame, exam: str = "exam", working=WORKING_TYPES,
     )
 
 
+def settle_edges(edges: DataFrame, proposals: DataFrame) -> DataFrame:
+    """``proposals`` (id, from_id, to_id, edge_type, pos, ...) as if inserted
+    one after another in order of ``pos``: a progression edge that would close
+    a cycle with the progression edges there by then becomes lateral.
+
+    In each round, a proposal that no earlier undecided one can turn into a
+    cycle is accepted, and one that closes a cycle with what is accepted turns
+    lateral; the first undecided one is always decided."""
+    known = edges.filter("edge_type = 'progression'").select(F.col("from_id").alias("at"), F.col("to_id").alias("next"))
+    known = materialize(known.distinct().withColumn("since", F.lit(None).cast("long")), "hops")
+    open_ = materialize(proposals.filter("edge_type = 'progression'").select("id", "from_id", "to_id", F.col("pos").cast("long").alias("before")), "open")
+    turned = None
+    while not open_.isEmpty():
+        earlier = open_.select(F.col("from_id").alias("at"), F.col("to_id").alias("next"), F.col("before").alias("since"))
+        closing = materialize(_closing(open_, open_, known.unionByName(earlier)), "closing")
+        safe = closing.filter("NOT closes")
+        known = materialize(
+            known.unionByName(safe.select(F.col("from_id").alias("at"), F.col("to_id").alias("next"), F.col("before").alias("since"))), "hops"
+        )
+        again = _closing(closing.filter("closes").drop("closes"), closing.filter("closes"), known)
+        again = materialize(again, "again")
+        lateral = again.filter("closes").select("id")
+        turned = lateral if turned is None else turned.unionByName(lateral)
+        open_ = materialize(again.filter("NOT closes").drop("closes"), "open")
+    if turned is None:
+        return proposals
+    turned = materialize(turned.withColumn("turned", F.lit(True)), "turned")
+    kind = F.when(F.col("turned"), "lateral").otherwise(F.col("edge_type"))
+    return proposals.join(turned, "id", "left").withColumn("edge_type", kind).select(*proposals.columns)
+
+
 def resume(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
     """Queued items (id, depth, pos, expanded) that are neither done nor unknown."""
     done = frontier.filter("expanded").select("id")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.urls import definitive_failure, public_url, reachable
+from ..functions.urls import definitive_failure, normalize_domain_url, public_url, reachable
+from ..schemas import FACTS
 
 
 def section_violations(sections: DataFrame) -> DataFrame:
@@ -26,6 +27,57 @@ def section_violations(sections: DataFrame) -> DataFrame:
     return sections.select("node_id", F.explode(F.array_compact(rules)).alias("rule"))
 
 
+#: What each part of a fact document may hold, and nothing else.
+DOCUMENT_KEYS = ("schema_version", "last_reviewed", "quick_facts", "sections", "useful_links", "prov")
+PART_KEYS = {
+    "quick_facts": ("label", "value", "source_urls"),
+    "sections": ("key", "heading", "paragraphs", "bullets", "source_urls"),
+    "useful_links": ("label", "url", "kind"),
+}
+PROV_KEYS = ("model", "prompt_version", "generated_at")
+
+
+def document_violations(documents: DataFrame, model: str, prompt_version: str, schema_version: int = 1) -> DataFrame:
+    """(node_id, rule) for strict fact documents (node_id, type, body: JSON):
+    unknown or missing keys, pinned values, dates, blank or uncited parts,
+    links that are no public address, sections the type does not have."""
+    body = F.col("body")
+    known = F.from_json(body, FACTS)
+    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    extra = lambda json, keys: F.size(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in keys]))) > 0
+    more_than = lambda keys: lambda x: extra(x, keys)
+    date = lambda x: F.coalesce(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) & F.try_to_date(x, "yyyy-MM-dd").isNotNull()
+    raw = lambda part: F.coalesce(F.from_json(F.get_json_object(body, f"$.{part}"), "array<string>"), F.array().cast("array<string>"))
+    some = lambda part, rule: F.coalesce(F.exists(F.col("d")[part], rule), F.lit(False))
+    uncited = lambda x: F.coalesce(F.size(x["source_urls"]), F.lit(0)) == 0
+    bad_url = lambda x: normalize_domain_url(x).isNull()
+    d = F.col("d")
+    rules = [
+        (d.isNull() | F.json_object_keys(body).isNull(), "not a document"),
+        (extra(body, DOCUMENT_KEYS), "unknown key"),
+        (F.coalesce(d["schema_version"] != schema_version, F.lit(True)), "schema version"),
+        (~date(d["last_reviewed"]), "bad date"),
+        (F.coalesce(F.size(d["sections"]), F.lit(0)) < 1, "no sections"),
+        (d["quick_facts"].isNull() | d["useful_links"].isNull(), "missing part"),
+        *[(F.exists(raw(part), more_than(keys)), f"unknown key in {part}") for part, keys in PART_KEYS.items()],
+        (some("quick_facts", lambda x: blank(x["label"]) | blank(x["value"])), "blank quick fact"),
+        (some("quick_facts", uncited), "uncited quick fact"),
+        (some("quick_facts", lambda x: F.exists(x["source_urls"], bad_url)) | some("sections", lambda x: F.exists(x["source_urls"], bad_url)), "bad source"),
+        (some("sections", lambda x: ~F.coalesce(F.array_contains(text.allowed_keys("type"), x["key"]), F.lit(False))), "unsupported section"),
+        (some("sections", lambda x: blank(x["heading"])), "empty heading"),
+        (some("sections", lambda x: F.coalesce(F.size(x["paragraphs"]), F.lit(0)) + F.coalesce(F.size(x["bullets"]), F.lit(0)) < 1), "no prose"),
+        (some("sections", lambda x: F.exists(x["paragraphs"], blank) | F.exists(x["bullets"], blank)), "blank prose"),
+        (some("sections", uncited), "uncited section"),
+        (some("useful_links", lambda x: blank(x["label"]) | blank(x["kind"])), "blank link"),
+        (some("useful_links", lambda x: bad_url(x["url"])), "bad link"),
+        (F.coalesce((d["prov"]["model"] != model) | (d["prov"]["prompt_version"] != prompt_version), F.lit(True)), "provenance"),
+        (~date(d["prov"]["generated_at"]), "bad provenance date"),
+        (extra(F.get_json_object(body, "$.prov"), PROV_KEYS), "unknown key in prov"),
+    ]
+    found = F.array(*[F.when(F.coalesce(c, F.lit(False)), rule) for c, rule in rules])
+    return documents.select("node_id", "type", "body", known.alias("d")).select("node_id", F.explode(F.array_compact(found)).alias("rule"))
+
+
 def citations(facts: DataFrame) -> DataFrame:
     """(node_id, urls): distinct URLs of each node in order of first use.
     ``facts`` (node_id, pos, urls) has one row for each part of a document."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +51,75 @@ def new_aliases(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, same_type: bool = True) -> DataFrame:
+BLOCK = 4096
+_PACKED = "grp string, block int, ids array<string>, pos array<long>, matrix binary"
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Unit vectors packed in blocks of about ``block`` rows of one group."""
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    dealt = rows.join(sizes, "grp").select(
+        "grp", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).cast("int").alias("block"), "id", "pos", "vec"
+    )
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(frame["vec"].to_numpy()).astype(np.float64)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+        return pd.DataFrame({"grp": [key[0]], "block": [key[1]], "ids": [frame["id"].tolist()], "pos": [frame["pos"].tolist()], "matrix": [m.tobytes()]})
+
+    return dealt.groupBy("grp", "block").applyInPandas(pack, _PACKED)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, same_type: bool = True, block: int = BLOCK) -> DataFrame:
     """(q_id, id, score, rank): the k most similar other vectors of each
-    query; ties by position or id.  Both sides (id, type, vec, pos).
-
-    Blocked by type, an equality join; without, the stated queries meet all
-    rows, and only rank survivors of each partition move on."""
-    q = queries.select(F.col("id").alias("q_id"), F.col("type").alias("q_type"), F.col("vec").alias("q_vec"))
-    join = (F.col("q_type") == F.col("type")) if same_type else F.lit(True)
-    pairs = vectors.join(q, join & (F.col("q_id").cast("string") != F.col("id").cast("string")))
-    scored = pairs.select("q_id", "id", "pos", cosine("q_vec", "vec").alias("score"))
+    query; ties by position.  Both sides (id, type, vec, pos); scores are
+    compared to twelve decimals.
+
+    Vectors are brought to length one once and packed in blocks of one type
+    (of any type for a stated set of queries); blocks of queries meet blocks
+    of vectors by type, are scored by one matrix product, and only the k best
+    of each meeting move on."""
+    wanted = F.concat(F.coalesce(F.col("type"), F.lit("")) if same_type else F.lit(""), F.lit("/"), F.size("vec").cast("string"))
+    packed = lambda df, position: _blocks(
+        df.filter("vec IS NOT NULL AND id IS NOT NULL").select(wanted.alias("grp"), F.col("id").cast("string").alias("id"), position.cast("long").alias("pos"), "vec"), block
+    )
+    left = packed(queries, F.lit(0)).select("grp", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    met = left.join(packed(vectors, F.col("pos")).select("grp", "ids", "pos", "matrix"), "grp")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ids, pos = np.array(list(row.ids), dtype=object), np.array(list(row.pos), dtype=np.int64)
+                order = np.argsort(pos, kind="stable")
+                ids = ids[order]
+                m = np.frombuffer(row.matrix).reshape(len(ids), -1)[order]
+                place = {x: i for i, x in enumerate(ids)}
+                q_ids = list(row.q_ids)
+                q = np.frombuffer(row.q_matrix).reshape(len(q_ids), -1)
+                for low in range(0, len(q_ids), 512):
+                    part = q_ids[low : low + 512]
+                    scores = np.round(q[low : low + 512] @ m.T, 12)
+                    for i, x in enumerate(part):
+                        if x in place:
+                            scores[i, place[x]] = -np.inf
+                    n = min(k, len(ids))
+                    # All that reach the nth best, then the first of equal ones.
+                    least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+                    at, col = np.nonzero((scores >= least) & np.isfinite(scores))
+                    s = scores[at, col]
+                    by = np.lexsort((col, -s, at))
+                    at, col, s = at[by], col[by], s[by]
+                    rank = np.arange(len(at)) - np.searchsorted(at, at)
+                    kept = rank < n
+                    yield pd.DataFrame(
+                        {"q_id": np.array(part, dtype=object)[at[kept]], "id": ids[col[kept]], "pos": pos[order][col[kept]], "score": s[kept]}
+                    )
+
+    scored = met.mapInPandas(best, "q_id string, id string, pos long, score double")
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "q_id", "id", "score", "rank"
+        F.col("q_id").cast(queries.schema["id"].dataType).alias("q_id"), F.col("id").cast(vectors.schema["id"].dataType).alias("id"), "score", "rank"
     )
 
 
@@ -104,8 +162,9 @@ def resolve(
     """Decide a batch of ``candidates`` (case_id, type, title, parent_title,
     vec) against a frozen registry.
 
-    Returns (case_id, title, action, node_id, needs_review, score) with the
-    actions rejected_aggregate, linked_exact, linked_judge and minted.  Within
+    Returns (case_id, title, action, node_id, needs_review, score, type,
+    reason, candidates) with the actions rejected_aggregate, linked_exact,
+    linked_judge and minted; candidates are what the judge saw.  Within
     the batch, equal titles of a type are resolved once and share the result;
     near duplicates within one batch are not seen."""
     cleaned = text.clean_title("title")
@@ -130,8 +189,9 @@ def resolve(
     verdicts = checked_verdicts(judge(to_judge)).join(to_judge.select("case_id", "shortlist"), "case_id")
     inside = F.exists("shortlist", lambda s: s["id"] == F.col("judged_id"))
     judged = leads.join(
-        verdicts.select("case_id", "decision", "judged_id", inside.alias("inside"),
-                        F.element_at("shortlist", 1)["score"].alias("score")),
+        verdicts.select("case_id", "decision", "judged_id", inside.alias("inside"), "rationale",
+                        F.element_at("shortlist", 1)["score"].alias("score"),
+                        F.transform("shortlist", lambda x: F.struct(x["id"].alias("id"), F.round(x["score"], 4).alias("score"))).alias("seen")),
         "case_id", "left",
     ).withColumn("links", F.coalesce((F.col("decision") == "same_role") & F.col("inside"), F.lit(False)))
     taken = nodes.select("id")
@@ -141,8 +201,13 @@ def resolve(
         F.when(F.col("links"), "linked_judge").otherwise("minted").alias("o_action"),
         F.when(F.col("links"), F.col("judged_id")).otherwise(F.col("minted_id")).alias("o_id"),
         (~F.col("links") & (F.coalesce(F.col("decision").isin("same_role", "unsure"), F.lit(False)))).alias("o_review"),
-        F.when(F.col("links"), F.round("score", 4)).alias("o_score"),
+        F.when(F.col("links"), F.round("score", 4)).alias("o_score"), "decision", "rationale", "seen",
     )
+    reason = (
+        F.when(F.col("aggregate"), "aggregate title").when(F.col("matched_id").isNotNull(), "normalised title match")
+        .when(F.col("decision").isNull(), "nothing near").otherwise(F.concat(F.lit("judge: "), "decision", F.coalesce(F.concat(F.lit(" - "), "rationale"), F.lit(""))))
+    )
+    asked = ~F.col("aggregate") & F.col("matched_id").isNull()
     return gated.join(outcome, ["type", "norm"], "left").select(
         "case_id",
         "title",
@@ -152,7 +217,30 @@ def resolve(
         (~F.col("aggregate") & F.col("matched_id").isNull() & (F.col("o_review") | ((F.col("o_action") == "minted") & F.col("piped")))).alias("needs_review"),
         F.when(~F.col("aggregate") & F.col("matched_id").isNotNull(), 1.0)
         .when(~F.col("aggregate"), F.col("o_score")).alias("score"),
+        "type", reason.alias("reason"), F.when(asked, F.col("seen")).alias("candidates"),
+    )
+
+
+def ledger(decided: DataFrame, day: str, judge_model: str) -> DataFrame:
+    """One row of the decision ledger for each case that ``resolve`` decided;
+    the judge and what it saw only where one was asked."""
+    judged = F.col("candidates").isNotNull()
+    return decided.select(
+        F.lit(day).alias("date"), F.when(F.col("action") == "rejected_aggregate", "rejected").otherwise(F.col("action")).alias("action"),
+        "title", "type", "node_id", F.round("score", 4).alias("score"), "reason", F.when(judged, F.lit(judge_model)).alias("judge_model"), "candidates",
+    )
+
+
+def grown_vectors(vectors: DataFrame, decided: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``vectors`` (id, type, vec, pos) and those of the nodes that were
+    minted, by the first case of each, after all that were there in order of
+    the (numeric, not negative) case ids."""
+    minted = decided.filter("action = 'minted'").groupBy("node_id").agg(F.min("case_id").alias("case_id"))
+    top = vectors.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("top"))
+    fresh = candidates.join(minted, "case_id").join(F.broadcast(top)).select(
+        F.col("node_id").alias("id"), "type", "vec", (F.col("top") + 1 + F.col("case_id")).alias("pos")
     )
+    return vectors.select("id", "type", "vec", "pos").unionByName(fresh)
 
 
 def mint_ids(candidates: DataFrame, taken: DataFrame) -> DataFrame:

@@ -101,16 +101,21 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def would_close_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidates`` (from_id, to_id) with ``closes``: whether the progression
     edges already lead from to_id back to from_id."""
-    hops = materialize(
-        edges.filter("edge_type = 'progression'").select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct(),
-        "hops",
-    )
-    wanted = candidates.select("from_id", "to_id").distinct()
-    level = materialize(wanted.select("from_id", "to_id", F.col("to_id").alias("at")), "reach")
+    hops = edges.filter("edge_type = 'progression'").select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
+    hops = materialize(hops.withColumn("since", F.lit(None).cast("long")), "hops")
+    return _closing(candidates, candidates.select("from_id", "to_id").distinct().withColumn("before", F.lit(None).cast("long")), hops)
+
+
+def _closing(candidates: DataFrame, wanted: DataFrame, hops: DataFrame) -> DataFrame:
+    """The search behind ``would_close_cycle``: ``wanted`` (from_id, to_id,
+    before) walk ``hops`` (at, next, since), those with a position only if it
+    is before theirs."""
+    level = materialize(wanted.select("from_id", "to_id", "before", F.col("to_id").alias("at")), "reach")
     known = level
     rounds = 0
     while True:  # Known triples only grow, so it ends.
-        step = level.filter("at <> from_id").join(hops, "at").select("from_id", "to_id", F.col("next").alias("at")).distinct()
+        step = level.filter("at <> from_id").join(hops, "at").filter("since IS NULL OR since < before")
+        step = step.select("from_id", "to_id", "before", F.col("next").alias("at")).distinct()
         level = materialize(step.join(known, ["from_id", "to_id", "at"], "left_anti"), "reach")
         if level.isEmpty():
             break

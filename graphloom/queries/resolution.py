@@ -94,13 +94,17 @@ SELECT case_id, title, CASE WHEN agg THEN 'rejected_aggregate' WHEN matched IS N
 def er_ladder(spark, sf_dir):
     """Half of the vectors resolved against the other half, with a judge that
     takes the nearest above a threshold."""
+    return _decided(spark, sf_dir)[0].select("case_id", "title", "action", "node_id", "needs_review", "score")
+
+
+def _decided(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("type", F.concat(F.lit("label"), "type"))
     reg = v.filter("id % 2 = 1").select(
         F.concat("type", F.lit(":"), F.col("id").cast("string")).alias("id"), "type", "vec", "pos",
         F.concat(F.lit("Vector "), F.col("id").cast("string")).alias("title"), F.array().cast("array<string>").alias("aliases"))
     cases = v.filter("id % 2 = 0").select(
         F.col("id").alias("case_id"), "type", "vec", F.expr(CASE_TITLE.replace("vec_id", "id")).alias("title"), F.lit("Parent").alias("parent_title"))
-    return resolve.resolve(cases, reg.drop("vec"), reg, resolve.band_judge(0.5), band=0.2)
+    return resolve.resolve(cases, reg.drop("vec"), reg, resolve.band_judge(0.5), band=0.2), reg, cases
 
 
 THRESHOLDS = [round(0.05 * i, 2) for i in range(-20, 21)]

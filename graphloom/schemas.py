@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: Types of nodes and edges, and which of them study or work.
 NODE_TYPES = (
     "school_stage", "stream", "exam", "degree", "diploma", "certification", "training", "job_role",
     "government_service", "entrepreneurship",
@@ -30,6 +31,7 @@ BARE_GENERICS = (
     "phd", "ph d", "doctor of philosophy", "masters", "master s", "higher studies", "specialization",
     "specialisation", "postdoc", "research", "further studies", "m tech", "m sc", "m a", "mba abroad",
 )
+#: Section keys that several types share.
 _STUDY = ("eligibility", "duration", "curriculum", "admission", "costs", "next_options")
 _WORK = ("responsibilities", "entry_routes", "skills", "workplace", "progression", "compensation_context")
 _SCHOOL = ("subjects", "selection_considerations", "future_routes")

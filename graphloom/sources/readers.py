@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,18 @@ def _defaults(nodes: DataFrame) -> DataFrame:
     })
 
 
+def _placed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with ``pos``: file, place of the split in it, row in that."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, pos struct<file:string,at:long,row:long>")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.schema(schema).json(path).select("*", place.alias("pos"))
+
+
 def registry(spark: SparkSession, nodes_path: str, edges_path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges; of rows that repeat an id the last in the file stays."""
-    nodes = _defaults(json_lines(spark, nodes_path, schemas.NODE)).withColumn("pos", F.monotonically_increasing_id())
-    edges = json_lines(spark, edges_path, schemas.EDGE).withColumn(
-        "is_common_route", F.coalesce("is_common_route", F.lit(True))
-    ).withColumn("pos", F.monotonically_increasing_id())
+    nodes = _defaults(_placed(spark, nodes_path, schemas.NODE))
+    edges = _placed(spark, edges_path, schemas.EDGE).withColumn("is_common_route", F.coalesce("is_common_route", F.lit(True)))
     return last_wins(nodes), last_wins(edges)
 
 
@@ -94,6 +101,17 @@ def failures(spark: SparkSession, path: str) -> DataFrame:
     ).distinct()
 
 
+def table_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, n) of Parquet tables; 0 for one that cannot be read."""
+    known = {}
+    for name, path in paths.items():
+        try:
+            known[name] = spark.read.parquet(path)
+        except AnalysisException:
+            known[name] = spark.range(0)
+    return row_counts(**known)
+
+
 def row_counts(**tables: DataFrame) -> DataFrame:
     """(name, n) of several tables in one job."""
     out = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,31 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Put ``source`` in the place of ``target``: what was there steps aside
+    first and goes when the new table is in place, so one of both is always
+    whole.  ``recovered`` finishes a move that broke off between the two."""
     jvm = spark._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    src, dst, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target, f"{target.rstrip('/')}.old"))
     fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(dst.getParent())
     if fs.exists(dst):
-        fs.delete(dst, True)
+        if fs.exists(aside):
+            fs.delete(aside, True)
+        if not fs.rename(dst, aside):
+            raise OSError(f"could not move {target} aside")
     if not fs.rename(src, dst):
+        if fs.exists(aside):
+            fs.rename(aside, dst)
         raise OSError(f"could not move {source} to {target}")
+    fs.delete(aside, True)
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """``path``, its old table moved back if a move broke off half-way."""
+    aside = f"{path.rstrip('/')}.old"
+    if not exists(spark, path) and exists(spark, aside):
+        _move(spark, aside, path)
+    return path
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -51,18 +69,38 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], delete: DataFrame |
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str, generated_at: str) -> bool:
     """Write core nodes, edges and a manifest; False, and nothing written,
-    where the content digest is that of the manifest already there."""
+    where the content digest is that of the manifest already there.
+
+    The tables go to a folder of their own, and the manifest, which names it,
+    is moved into place last: readers see the old snapshot or the new one."""
     spark = nodes.sparkSession
     nodes, edges = snapshot.checked(nodes, edges)
     digest = {"nodes": snapshot.digest(nodes), "edges": snapshot.digest(edges)}
-    if exists(spark, f"{path}/manifest"):
-        old = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    manifest = f"{path}/manifest"
+    if exists(spark, recovered(spark, manifest)):
+        old = json.loads(spark.read.text(manifest).first()[0])
         if old["digest"] == digest:
             return False
-    overwrite(snapshot.core(nodes) if "facts" in nodes.columns else nodes, f"{path}/nodes")
-    overwrite(edges, f"{path}/edges")
-    manifest = json.dumps({"schema_version": 1, "generated_at": generated_at, "digest": digest}, sort_keys=True)
-    overwrite(spark.createDataFrame([(manifest,)], "value string").coalesce(1), f"{path}/manifest", "text")
+    version = hashlib.sha256(json.dumps(digest, sort_keys=True).encode()).hexdigest()[:16]
+    overwrite(snapshot.core(nodes) if "facts" in nodes.columns else nodes, f"{path}/{version}/nodes")
+    overwrite(edges, f"{path}/{version}/edges")
+    row = json.dumps({"schema_version": 1, "generated_at": generated_at, "digest": digest, "version": version}, sort_keys=True)
+    overwrite(spark.createDataFrame([(row,)], "value string").coalesce(1), manifest, "text")
+    return True
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that the manifest names."""
+    version = json.loads(spark.read.text(recovered(spark, f"{path}/manifest")).first()[0])["version"]
+    return spark.read.parquet(f"{path}/{version}/nodes"), spark.read.parquet(f"{path}/{version}/edges")
+
+
+def start_frontier(spark: SparkSession, path: str, root: str) -> bool:
+    """A work queue that holds the root, unless there is one already."""
+    if exists(spark, path):
+        return False
+    row = json.dumps({"queue": [{"id": root, "depth": 0}], "expanded": []})
+    overwrite(spark.createDataFrame([(row,)], "value string").coalesce(1), path, "text")
     return True
 
 
@@ -80,4 +118,4 @@ def sync_documents(docs: DataFrame, path: str) -> int:
     return changes
 
 
-__all__ = ["append", "overwrite", "save_sorted", "scratch_path", "sync_documents", "upsert", "write_snapshot"]
+__all__ = ["append", "overwrite", "read_snapshot", "recovered", "save_sorted", "start_frontier", "scratch_path", "sync_documents", "upsert", "write_snapshot"]

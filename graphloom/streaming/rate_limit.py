@@ -6,23 +6,40 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.intake import PER_WINDOW, WINDOW_MS, Limiter
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = PER_WINDOW, window_ms: int = WINDOW_MS) -> DataFrame:
+#: How much later than the latest call one may arrive and still be answered.
+LATE_MS = 3_600_000
+
+
+def rate_limit_stream(
+    requests: DataFrame, limit: int = PER_WINDOW, window_ms: int = WINDOW_MS, late_ms: int = LATE_MS
+) -> DataFrame:
     """(req_id, allowed) of a stream (key, req_id, ms).  State is one window
-    start and one count a key, kept across batches and executors."""
+    start and one count a key, kept across batches and executors.
+
+    State expires: when the watermark (the latest call less ``late_ms``)
+    passes the end of a key's window the key is forgotten, so state follows the
+    keys of the last windows and not all keys ever seen.  Calls behind the
+    watermark get no answer."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         calls = pd.concat(list(frames)).sort_values(["ms", "req_id"])
         start, count = state.get if state.exists else (None, 0)
         limiter = Limiter(limit, window_ms, start, count)
         allowed = [limiter.allows(ms) for ms in calls["ms"].tolist()]
         state.update((limiter.start, limiter.count))
+        state.setTimeoutTimestamp(max(int(limiter.start) + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"req_id": calls["req_id"], "allowed": allowed})
 
-    return requests.groupBy("key").applyInPandasWithState(
-        step, "req_id long, allowed boolean", "start long, count int", "append", GroupStateTimeout.NoTimeout
+    timed = requests.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", f"{late_ms} milliseconds")
+    return timed.groupBy("key").applyInPandasWithState(
+        step, "req_id long, allowed boolean", "start long, count int", "append", GroupStateTimeout.EventTimeTimeout
     )
