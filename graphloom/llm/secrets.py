@@ -169,9 +169,8 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     one mark.
 
     Spans depend on the text alone and return to it by the text's digest, so
-    null and repeated ids make no difference.  What is joined is one row for
-    each text with spans; Spark broadcasts it where it is small, else both
-    sides are shuffled.
+    null and repeated ids make no difference.  Rows are shuffled once for it, by
+    the same plan at every size, as texts with spans grow with the input.
     """
     digest_of = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     found = (
@@ -214,7 +213,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
             acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.char_length("text"))
         ),
     )
-    joined = docs.withColumn(key, digest_of).join(small, key, "left")
+    joined = docs.withColumn(key, digest_of).join(small.hint("merge"), key, "left")
     changed = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(stitched))
     if "n_chars" in docs.columns:
         count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
