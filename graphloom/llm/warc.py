@@ -8,7 +8,8 @@ of a page with a smaller id become ``revisit`` records.  Spark's text writer
 puts the records, separated by their closing two line ends, into gzipped
 .warc files in the shared folder, at most ``FILE_RECORDS`` records each.
 
-Reading: archives are parsed record by record.  Records in one piece are
+Reading: archives are parsed record by record, whether a file is one gzip
+member, one a record or plain.  Records in one piece are
 decoded at once and travel as a digest; only blocks of segmented records are
 shuffled, by origin identifier.  They are ordered by segment number, their
 numbers and total length verified, and the chunked framing decoded.
@@ -16,12 +17,14 @@ numbers and total length verified, and the chunked framing decoded.
 Defined results: null html is an empty payload; null url leaves out the
 target; null page ids sort last and come back as null; rows that repeat id
 and payload become one response and revisits (all responses if small); an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; broken records
+raise unless the reader is told to skip them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +39,15 @@ CHUNK = 4 << 10
 FILE_RECORDS = 2048
 LEAST_BYTES = 100
 END = b"\r\n\r\n"
+#: Names of header fields are read in any letter case.
+_FIELDS = {
+    f.lower(): f
+    for f in (
+        "WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Segment-Origin-ID", "WARC-Segment-Number",
+        "WARC-Segment-Total-Length", "WARC-Refers-To", "X-Page-Id", "X-Refers-To-Page-Id", "Content-Length",
+    )
+}
+_BEGIN = re.compile(rb"(?<=\n)WARC/\d")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
@@ -82,7 +94,7 @@ def _clean(url: str | None) -> str | None:
 def page_records(row_key, page_id, url, payload: bytes, digest: str, first_key, first_page) -> Iterator[bytes]:
     """The records of one page: a response in segments, or one revisit."""
     me = record_id(row_key)
-    page = None if page_id is None or pd.isna(page_id) else int(page_id)
+    page = None if page_id is None or pd.isna(page_id) else page_id
     shared = [
         ("WARC-Record-ID", me),
         ("WARC-Date", DATE),
@@ -91,10 +103,10 @@ def page_records(row_key, page_id, url, payload: bytes, digest: str, first_key,
         ("X-Page-Id", page),
     ]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if first_key is not None and not pd.isna(first_key) and int(first_key) != int(row_key):
+    if first_key is not None and not pd.isna(first_key) and first_key != row_key:
         block = head + b"Content-Length: %d" % len(payload) + END
-        refers = None if pd.isna(first_page) else int(first_page)
-        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(int(first_key))), ("X-Refers-To-Page-Id", refers)]
+        refers = None if first_page is None or pd.isna(first_page) else first_page
+        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first_key)), ("X-Refers-To-Page-Id", refers)]
         yield _record([("WARC-Type", "revisit"), *shared, *extra], block)
         return
     block = head + b"Transfer-Encoding: chunked" + END + chunked(payload)
@@ -142,7 +154,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 out += page_records(r.row_key, r.page_id, r.url, r.payload, r.digest, r.first_key, r.first_page)
             yield pd.DataFrame({"record": out})
 
-    records = joined.select("row_key", "page_id", "url", "payload", "digest", "first_key", "first_page").mapInPandas(
+    # Ids and keys travel as text: a float would not hold them.
+    texts = [F.col(c).cast("string").alias(c) for c in ("row_key", "page_id", "first_key", "first_page")]
+    records = joined.select(*texts, "url", "payload", "digest").mapInPandas(
         write, "record binary"
     )
     (
@@ -154,22 +168,85 @@ def write_archives(pages: DataFrame, path: str) -> None:
     )
 
 
-def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The (header fields, block) of every record of one archive."""
-    data = zlib.decompress(archive, 31) if archive[:2] == b"\x1f\x8b" else archive
-    at = 0
-    while at < len(data):
-        end = data.index(END, at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("no record where one should begin")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        begin = end + 4
-        stop = begin + int(fields["Content-Length"])
-        if data[stop : stop + 4] != END:
-            raise ValueError("record does not end where its length says")
-        yield fields, data[begin:stop]
-        at = stop + 4
+def _members(archive: bytes) -> Iterator[bytes]:
+    """The archive's bytes: of each gzip member in turn (real archives have one
+    a record), or as they are.  Raises on a broken member after giving what
+    it held before the break."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    while archive:
+        one = zlib.decompressobj(31)
+        data = one.decompress(archive)
+        yield data
+        if not one.eof:
+            raise ValueError("gzip member does not end")
+        archive = one.unused_data.lstrip(b"\0")
+
+
+class Malformed(ValueError):
+    """A record that can't be read; ``at`` is where to look for the next."""
+
+    def __init__(self, why: str, at: int) -> None:
+        super().__init__(why)
+        self.at = at
+
+
+def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    if not data.startswith(b"WARC/", at):
+        raise Malformed("no record where one should begin", at)
+    end = data.find(END, at)
+    if end < 0:
+        raise Malformed("header does not end", len(data))
+    fields = {}
+    for line in data[at:end].decode(errors="replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(_FIELDS.get(name.strip().lower(), name.strip()), value.strip())
+    size = fields.get("Content-Length", "")
+    begin = end + 4
+    if not size.isdigit():
+        raise Malformed("no length", begin)
+    stop = begin + int(size)
+    if data[stop : stop + 4] != END and stop + 4 <= len(data) or stop > len(data):
+        raise Malformed("record does not end where its length says", begin)
+    return fields, data[begin:stop], stop + 4
+
+
+def records_of(archive: bytes, skip: bool = False) -> Iterator[tuple[dict[str, str], bytes] | None]:
+    """The (header fields, block) of every record of one archive.  A record
+    that can't be read raises, or with ``skip`` gives None and the search goes
+    on at the next line that begins one."""
+    held = b""
+    members = _members(archive)
+    while True:
+        try:
+            member = next(members, None)
+        except (ValueError, zlib.error):
+            if not skip:
+                raise
+            member, members = None, iter(())
+            yield None
+        # Members that hold whole records are read one at a time.
+        if member is not None:
+            held += member
+            if not held.endswith(END):
+                continue
+        at = 0
+        while at < len(held):
+            try:
+                fields, block, at = _record_at(held, at)
+            except Malformed as error:
+                if not skip:
+                    raise
+                yield None
+                again = _BEGIN.search(held, max(at + 1, error.at))
+                at = again.start() if again else len(held)
+                continue
+            yield fields, block
+        held = b""
+        if member is None:
+            return
 
 
 def decode_block(block: bytes) -> bytes:
@@ -178,45 +255,59 @@ def decode_block(block: bytes) -> bytes:
 
 
 PARSED = (
-    "origin string, page_id long, record_type string, refers_to long, declared string, "
+    "origin string, page_id string, record_type string, refers_to string, declared string, "
     "payload_bytes long, payload_digest string, segment int, total long, block binary"
 )
-PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+PAGE = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(skip: bool):
     names = [c.split()[0] for c in PARSED.split(", ")]
-    number = lambda fields, key: int(fields[key]) if key in fields else None
-    for batch in batches:
-        for content in batch["content"]:
-            rows = []
-            for f, block in records_of(content):
-                kind = f["WARC-Type"]
-                row = dict.fromkeys(names)
-                row["origin"] = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
-                row["declared"] = f.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
-                row["page_id"], row["refers_to"] = number(f, "X-Page-Id"), number(f, "X-Refers-To-Page-Id")
-                row["segment"], row["total"] = number(f, "WARC-Segment-Number"), number(f, "WARC-Segment-Total-Length")
-                row["record_type"] = None if kind == "continuation" else kind
-                if row["segment"] is not None:
-                    row["block"] = block
-                elif kind == "revisit":
-                    http = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
-                    row["payload_bytes"], row["payload_digest"] = int(http["Content-Length"]), row["declared"]
-                else:
-                    payload = decode_block(block)
-                    row["payload_bytes"], row["payload_digest"] = len(payload), hashlib.sha256(payload).hexdigest()
-                rows.append(row)
-                if len(rows) == 512:
+
+    def row_of(f: dict[str, str], block: bytes) -> dict:
+        number = lambda key: int(f[key]) if key in f else None
+        kind = f["WARC-Type"]
+        row = dict.fromkeys(names)
+        row["origin"] = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
+        row["declared"] = f.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
+        row["page_id"], row["refers_to"] = f.get("X-Page-Id"), f.get("X-Refers-To-Page-Id")
+        row["segment"], row["total"] = number("WARC-Segment-Number"), number("WARC-Segment-Total-Length")
+        row["record_type"] = None if kind == "continuation" else kind
+        if row["segment"] is not None:
+            row["block"] = block
+        elif kind == "revisit":
+            http = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
+            row["payload_bytes"], row["payload_digest"] = int(http["Content-Length"]), row["declared"]
+        else:
+            payload = decode_block(block)
+            row["payload_bytes"], row["payload_digest"] = len(payload), hashlib.sha256(payload).hexdigest()
+        return row
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = []
+                for found in records_of(content, skip):
+                    # Records of other types (warcinfo, request ...) hold no page.
+                    if found is None or found[0].get("WARC-Type") not in ("response", "revisit", "continuation", "resource"):
+                        continue
+                    try:
+                        rows.append(row_of(*found))
+                    except (KeyError, ValueError):
+                        if not skip:
+                            raise
+                    if len(rows) == 512:
+                        yield _frame(rows, names)
+                        rows = []
+                if rows:
                     yield _frame(rows, names)
-                    rows = []
-            if rows:
-                yield _frame(rows, names)
+
+    return parse
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
-    for c in ("page_id", "refers_to", "payload_bytes", "segment", "total"):
+    for c in ("payload_bytes", "segment", "total"):
         out[c] = out[c].astype("Int64")
     return out
 
@@ -233,41 +324,44 @@ def joined_segments(parts: list) -> bytes:
     return block
 
 
-def _reassemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sizes, digests = [], []
-        for r in batch.itertuples():
-            if r.payload_digest is None:
-                payload = decode_block(joined_segments(list(r.parts)))
-                sizes.append(len(payload))
-                digests.append(hashlib.sha256(payload).hexdigest())
-            else:
-                sizes.append(int(r.payload_bytes))
-                digests.append(r.payload_digest)
-            if r.declared != digests[-1]:
-                raise ValueError("payload does not match its digest")
-        yield pd.DataFrame(
-            {
-                "page_id": batch["page_id"].astype("Int64"),
-                "payload_bytes": sizes,
-                "payload_digest": digests,
-                "record_type": batch["record_type"],
-                "refers_to": batch["refers_to"].astype("Int64"),
-            }
-        )
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page that the archives under ``path`` hold."""
+def _reassemble(skip: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                try:
+                    if r.record_type is None:
+                        raise ValueError("continuation of no record")
+                    size, digest = r.payload_bytes, r.payload_digest
+                    if digest is None:
+                        payload = decode_block(joined_segments(list(r.parts)))
+                        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                    if r.declared is not None and r.declared != digest:
+                        raise ValueError("payload does not match its digest")
+                except (KeyError, ValueError):
+                    if not skip:
+                        raise
+                    continue
+                rows.append((r.page_id, int(size), digest, r.record_type, r.refers_to))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE.split(", ")])
+
+    return run
+
+
+def read_archives(spark: SparkSession, path: str, skip: bool = False) -> DataFrame:
+    """One row per page that the archives under ``path`` hold.  A record that
+    is broken, incomplete or does not match its digest raises, or with ``skip``
+    is left out."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    parsed = files.mapInPandas(_parse, PARSED)
+    parsed = files.mapInPandas(_parse(skip), PARSED)
     part = F.when(F.col("segment").isNotNull(), F.struct("segment", "total", "block"))
     # One row an origin, except for segments: their blocks are all that moves.
     grouped = parsed.groupBy("origin").agg(
         *[F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "declared", "payload_bytes", "payload_digest")],
         F.collect_list(part).alias("parts"),
     )
-    return grouped.drop("origin").mapInPandas(_reassemble, PAGE)
+    pages = grouped.drop("origin").mapInPandas(_reassemble(skip), PAGE)
+    return pages.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -46,6 +46,28 @@ def test_chunked_framing_and_segments():
             warc.joined_segments(wrong)
 
 
+def test_archives_of_many_members_and_broken_records(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    def record(n, body, kind="response", length=None):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:{n}>\r\nX-Page-Id: {(1 << 53) + n}\r\nContent-Length: {length or len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    whole = [record(n, b"page %d" % n) for n in range(1, 6)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, [record(0, b"", "warcinfo"), *whole])))
+    got = {r.page_id: r.payload_digest for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {(1 << 53) + n: hashlib.sha256(b"page %d" % n).hexdigest() for n in range(1, 6)}
+    bad = [record(6, b"x", length=9999), record(7, b"good"), b"junk\r\n", record(8, b"also good")]
+    (tmp_path / "b.warc").write_bytes(b"".join(bad))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record(9, b"nine")) + gzip.compress(record(10, b"cut"))[:-12])
+    with pytest.raises(Exception):
+        warc.read_archives(spark, str(tmp_path)).collect()
+    kept = {r.page_id - (1 << 53) for r in warc.read_archives(spark, str(tmp_path), skip=True).collect()}
+    assert kept >= {1, 2, 3, 4, 5, 7, 8, 9} and 6 not in kept
+
+
 PAGE = """<html><body class="nav-open"><header><h1>Site</h1></header><div class="menu">m</div><div id="wrap12"><div class="post-body{n}">
 <h2>T &amp; U</h2><p>First para &eacute; with <a href=x>link</a> text that is long enough.<p>Second&nbsp;para <b>bo</b>ld<br>line</div>
 <section class="comments"><p>very long comment text very long comment text very long comment text very long comment</p></section></div>
