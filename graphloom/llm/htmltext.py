@@ -14,30 +14,34 @@ text, by element or by the words in their class and id.
 
 Defined results: null and empty html give an empty text; pages without a url
 or host share the host of the empty name; repeated rows are extracted as
-often as they occur; an empty table gives no rows; extra columns are ignored.
+often as they occur; null ids stay null; an empty table gives no rows; extra
+columns are ignored; open quotes, tags and elements, however many or deep,
+cost time and memory in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Ranked paths of a host that a page may fall back through.
 PATHS_KEPT = 8
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S,
-)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas xmp".split())
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog fieldset label".split())
 #: The end of each raw element; only that ends it, whatever its text looks like.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -55,22 +59,28 @@ _CLOSES_P = frozenset(
     "main menu nav ol p pre section table ul".split()
 )
 _STOPS = frozenset("article body div main section table td th ul ol dl blockquote aside nav".split())
-#: Words in class, id or role that mark boilerplate.
+#: Words in class, id or role that mark menus, headers, footers,
+#: sidebars, notices, adverts, forms and comments.
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert\w*|popup|"
-    r"modal|overlay|sidebar\w*|side|rail|widget\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer\w*|"
+    r"modal|overlay|sidebar\w*|rail|widget\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer\w*|"
     r"comments?|commentlist|respond|disqus\w*|replies|share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter|"
-    r"subscri\w*|signup|login|search\w*|pagination|pager|toolbar|skip|copyright|legal|toc|tags?)(?:$|[\s_-])",
+    r"subscri\w*|signup|login|searchbox|searchform|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
     re.I,
 )
 _SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "noise", "items", "length", "linked", "score")
+    """``path``: a hash of the generalised path from the root, so that deep
+    pages cost no more than their nodes; ``article``: the outermost article
+    around the node, if any."""
+
+    __slots__ = ("tag", "parent", "path", "noise", "items", "length", "linked", "score", "article")
 
-    def __init__(self, tag: str, parent: Node | None, path: str, noise: bool) -> None:
+    def __init__(self, tag: str, parent: Node | None, path: int, noise: bool) -> None:
         self.tag, self.parent, self.path, self.noise = tag, parent, path, noise
+        self.article = parent.article if parent is not None and parent.article is not None else self if tag == "article" else None
         self.items: list = []
         self.length = self.linked = 0
         self.score = 0.0
@@ -80,51 +90,108 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
 
+def _step(path: int, step: str) -> int:
+    """The path one step on: signed, as Spark keeps it."""
+    value = xxhash.xxh64_intdigest(f"{path}/{step}")
+    return value - (1 << 64) if value >> 63 else value
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): text, a start or an end tag.  Raw elements, comments
+    and declarations are left out.  Every character is looked at a bounded
+    number of times, whatever is left open: a quote without a partner is a
+    plain character, a raw element without an end loses its start only."""
+    at, n = 0, len(html)
+    unpaired: set[str] = set()
+    endless: set[str] = set()
+    last = html.rfind(">")
+    while at < n:
+        begin = html.find("<", at)
+        if begin < 0:
+            yield "text", "", html[at:]
+            return
+        if begin > at:
+            yield "text", "", html[at:begin]
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if html[begin + 1 : begin + 2] in ("!", "?"):
+            end = html.find(">", begin)
+            at = n if end < 0 else end + 1
+            continue
+        m = _NAME.match(html, begin + 1)
+        if m is None or begin > last:
+            yield "text", "", "<"
+            at = begin + 1
+            continue
+        stop = m.end()
+        while (found := _INSIDE.search(html, stop)) is not None and found[0] != ">":
+            quote, stop = found[0], found.end()
+            if quote not in unpaired:
+                partner = html.find(quote, stop)
+                if partner < 0:
+                    unpaired.add(quote)
+                elif partner < last:
+                    stop = partner + 1
+        if found is None:
+            yield "text", "", "<"
+            at = begin + 1
+            continue
+        at, name, rest = found.end(), m[1].lower(), html[m.end() : found.start()]
+        if m[0][0] == "/":
+            yield "end", name, ""
+        elif name not in RAW:
+            yield "start", name, rest
+        elif not rest.endswith("/") and name not in endless:
+            end = _RAW_END[name].search(html, at)
+            if end is None:
+                endless.add(name)
+            else:
+                at = end.end()
+
+
 def parse(html: str) -> Node:
     """A forgiving tree: unclosed elements end with what holds them."""
-    root = at = Node("", None, "", False)
-    position, endless = 0, set()
-    while (m := _TOKEN.match(html, position)) is not None:
-        position = m.end()
-        token = m.group(0)
-        name = m.group(1)
-        if name is None:
-            if token[:2] not in ("<!", "<?"):
-                at.items.append(token)
+    root = at = Node("", None, 0, False)
+    # How many elements of each name are open: none, none is looked for.
+    opened: Counter[str] = Counter()
+
+    def leave(up: Node) -> Node:
+        node = at
+        while node is not up:
+            opened[node.tag] -= 1
+            node = node.parent
+        opened[up.tag] -= 1
+        return up.parent
+
+    for kind, name, rest in tokens(html):
+        if kind == "text":
+            at.items.append(rest)
             continue
-        name = name.lower()
-        if token[1] == "/":
-            up = at
+        if kind == "end":
+            up = at if opened[name] > 0 else root
             while up is not root and up.tag != name:
                 if name in INLINE and up.tag not in INLINE:
                     up = root
                     break
                 up = up.parent
             if up is not root:
-                at = up.parent
+                at = leave(up)
             elif name not in INLINE:
                 at.items.append(" ")
             continue
-        if name in RAW:
-            # Without an end only the start is skipped.
-            if not token.endswith("/>") and name not in endless:
-                end = _RAW_END[name].search(html, position)
-                if end is None:
-                    endless.add(name)
-                else:
-                    position = end.end()
-            continue
         if name in VOID:
             at.items.append(" " if name in ("br", "hr") else "")
             continue
         ends = ENDS.get(name, {"p"} if name in _CLOSES_P else ())
-        if ends:
+        if any(opened[e] > 0 for e in ends):
             up = at
             while up is not root and up.tag not in ends and up.tag not in _STOPS:
                 up = up.parent
             if up is not root and up.tag in ends:
-                at = up.parent
-        found = _attributes(m.group(2)) if m.group(2).strip() else {}
+                at = leave(up)
+        found = _attributes(rest) if rest.strip() else {}
         words = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
         # The page's frame is never noise, whatever its classes say.
         noise = name not in ("html", "body") and (
@@ -136,10 +203,11 @@ def parse(html: str) -> Node:
         )
         first = re.sub(r"\d+", "", found.get("class", "").split()[0]) if found.get("class", "").split() else ""
         step = f"{name}.{first}" if first else name
-        child = Node(name, at, at.path if name in INLINE else f"{at.path}/{step}", noise or at.noise)
+        child = Node(name, at, at.path if name in INLINE else _step(at.path, step), noise or at.noise)
         at.items.append(child)
-        if not token.endswith("/>"):
+        if not rest.endswith("/"):
             at = child
+            opened[name] += 1
     return root
 
 
@@ -181,12 +249,7 @@ def _weigh(root: Node) -> list[Node]:
 
 def _widened(node: Node) -> Node:
     """The outermost article that holds the container, if one does."""
-    best, up = node, node
-    while up is not None:
-        if up.tag == "article":
-            best = up
-        up = up.parent
-    return best
+    return node.article or node
 
 
 def _text(nodes: list[Node]) -> str:
@@ -205,27 +268,25 @@ def _text(nodes: list[Node]) -> str:
     return _SPACE.sub(" ", unescape("".join(parts))).strip()
 
 
-def candidates(html: str | None) -> list[tuple[str, float]]:
+def candidates(html: str | None) -> list[tuple[int, float]]:
     """(path, score) of a page's containers, each path once."""
-    found: dict[str, float] = {}
+    found: dict[int, float] = {}
     for node in _weigh(parse(html or "")):
         path = _widened(node).path
         found[path] = max(found.get(path, 0.0), node.score)
     return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
 
-def extract(html: str | None, paths: list[str]) -> str:
+def extract(html: str | None, paths: list[int]) -> str:
     """Text of the containers at the first of ``paths`` that the page has,
     else of the page's best container."""
     root = parse(html or "")
     scored = [(_widened(n), n.score) for n in _weigh(root)]
     if not scored:
         return _text([root])
-    by_path: dict[str, list[Node]] = {}
+    by_path: dict[int, dict[int, Node]] = {}
     for node, _ in scored:
-        held = by_path.setdefault(node.path, [])
-        if node not in held:
-            held.append(node)
+        by_path.setdefault(node.path, {})[id(node)] = node
     best = min(scored, key=lambda x: (-x[1], x[0].path))[0].path
     path = next((p for p in paths if p in by_path), best)
     order: dict[int, int] = {}
@@ -234,7 +295,7 @@ def extract(html: str | None, paths: list[str]) -> str:
         node = stack.pop()
         order[id(node)] = len(order)
         stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
-    return _text(sorted(by_path[path], key=lambda n: order[id(n)]))
+    return _text(sorted(by_path[path].values(), key=lambda n: order[id(n)]))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -250,25 +311,29 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     votes = (
         rows.select("host", "html")
-        .mapInPandas(vote, "host string, path string, score double")
+        .mapInPandas(vote, "host string, path long, score double")
         .groupBy("host", "path")
         .agg(F.sum("score").alias("score"))
     )
     by_host = Window.partitionBy("host").orderBy(F.desc("score"), "path")
-    winners = (
+    winners = materialize(
         votes.withColumn("rank", F.row_number().over(by_host))
         .filter(F.col("rank") <= PATHS_KEPT)
         .groupBy("host")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths")),
+        "winners",
     )
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [extract(h, [] if p is None else list(p)) for h, p in zip(batch["html"], batch["paths"])]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts})
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
-    return joined.mapInPandas(again, "page_id long, url string, text string")
+    # The winners' size is known: where they are small pages stay in place,
+    # else both sides are sorted and a large host's pages are split.
+    joined = rows.join(winners, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "paths")
+    out = joined.mapInPandas(again, "page_id string, url string, text string")
+    return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
 
 
 def digest(pages: DataFrame) -> DataFrame:

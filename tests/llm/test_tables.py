@@ -104,3 +104,20 @@ def test_raw_elements_end_at_their_own_end_tag_alone():
                 "<script>", "<noscript>", "<svg/>", "<title>a<b</title>"):
         for html in (f"<html><body>{raw}{body}</body></html>", f"<div>{body}{raw}</div>"):
             assert htmltext.extract(html, []) == "The body of the page.", html
+
+
+def test_articles_keep_what_the_contract_does_not_name():
+    html = "<article><p>Energy is <math>E</math> here.</p><div class='legal'>The court held so.</div><ul class=tags><li>one</ul><div class='side-by-side'>pair</div></article>"
+    assert htmltext.extract(html, []) == "Energy is E here. The court held so. one pair"
+
+
+def test_extreme_pages_cost_what_their_size_does():
+    import time
+
+    began = time.perf_counter()
+    for page, want in (("<a x='" * 30_000, None), ("<div>" * 60_000 + "deep text" + "</div>" * 60_000, "deep text"), ("<b>" * 20_000 + "</i>" * 20_000 + "x", "x"),
+                       ('<p title="' * 20_000 + ">", None), ("<p>a<i>" * 20_000, None), ("<" * 200_000, None), ("<!--" * 100_000, "")):
+        got = htmltext.extract(page, [])
+        assert want is None or got == want
+        htmltext.candidates(page)
+    assert time.perf_counter() - began < 40
