@@ -85,7 +85,8 @@ def explorer_metadata(nodes: DataFrame, site: str) -> DataFrame:
 
 def markdown_section(body, heading: str) -> Column:
     """The text under a second-level heading, up to the next one."""
-    return F.trim(F.regexp_extract(body, rf"(?ms)^## {heading}[^\n]*\n(.*?)(?=^## |\Z)", 1))
+    found = F.regexp_extract(body, rf"(?ms)^## {heading}[^\n]*\n(.*?)(?=^## |\Z)", 1)
+    return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
 def pane_height(width, height) -> Column:

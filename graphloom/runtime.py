@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``;
-    a temporary folder only where that is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    Where that is unset, a temporary folder of the one machine in local mode;
+    on a cluster, an error, as executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="graphloom-")

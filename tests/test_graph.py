@@ -3,19 +3,21 @@ from pyspark.sql import functions as F
 from graphloom.operators import expand, graph, lint, routes, snapshot, traverse
 from graphloom.plans import star
 
-ROOT = "school_stage:class-10"
+ROOT = "school_stage:start"
 EDGES = [
-    (ROOT, "stream:commerce", "progression", True),
-    ("stream:commerce", "degree:bca", "progression", True),
-    ("degree:bca", "degree:mba", "progression", True),
-    (ROOT, "stream:science-pcm", "progression", True),
-    ("stream:science-pcm", "job_role:developer", "progression", True),
-    ("job_role:developer", "degree:mba", "lateral", True),
-    (ROOT, "degree:b-arch", "progression", False),
-    ("degree:b-arch", "degree:mba", "lateral", False),
-    ("degree:mba", "job_role:developer", "lateral", True),
-    ("degree:mba", "job_role:cycle-only", "lateral", True),
-    ("job_role:cycle-only", "degree:mba", "lateral", True),
+    (ROOT, "stream:arts", "progression", True),
+    (ROOT, "diploma:film", "progression", True),
+    (ROOT, "certification:restoring", "progression", False),
+    ("stream:arts", "degree:history", "progression", True),
+    ("diploma:film", "degree:history", "lateral", False),
+    ("degree:history", "degree:archives", "progression", True),
+    ("degree:archives", "job_role:curator", "progression", True),
+    ("diploma:film", "job_role:editor", "progression", True),
+    ("job_role:editor", "diploma:film", "lateral", False),
+    ("job_role:editor", "job_role:curator", "lateral", True),
+    ("certification:restoring", "job_role:curator", "progression", False),
+    ("job_role:curator", "job_role:patron", "lateral", True),
+    ("job_role:patron", "job_role:curator", "lateral", True),
 ]
 
 
@@ -31,27 +33,27 @@ def nodes(spark, ids=None):
 
 
 def test_routes_are_ranked_by_niche_lateral_length(spark):
-    found = routes.top_routes(routes.simple_routes(edges(spark), ROOT)).filter("target = 'degree:mba'").orderBy("rank").collect()
+    found = routes.top_routes(routes.simple_routes(edges(spark), ROOT)).filter("target = 'job_role:curator'").orderBy("rank").collect()
     assert [(r.niche, r.sideways, r.hops, r.nodes[-2]) for r in found] == [
-        (0, 0, 3, "degree:bca"), (0, 1, 3, "job_role:developer"), (2, 1, 2, "degree:b-arch")]
+        (0, 0, 4, "degree:archives"), (0, 1, 3, "job_role:editor"), (1, 1, 4, "degree:archives"), (2, 0, 2, "certification:restoring")]
     assert all(len(set(r.nodes)) == len(r.nodes) for r in found)
 
 
 def test_requested_parent_comes_first(spark):
     every = routes.simple_routes(edges(spark), ROOT)
-    via = routes.routes_via_parent(every, edges(spark)).filter("target = 'degree:mba'")
+    via = routes.routes_via_parent(every, edges(spark)).filter("target = 'job_role:curator'")
     firsts = {r.parent: r.nodes for r in via.filter("rank = 1").collect()}
-    assert firsts["job_role:developer"][-2] == "job_role:developer"
-    assert firsts["degree:bca"][-2] == "degree:bca"
+    assert firsts["job_role:editor"][-2] == "job_role:editor"
+    assert firsts["degree:archives"][-2] == "degree:archives"
     # Only routes through the target lead to this parent: nothing to extend.
-    assert firsts["job_role:cycle-only"][-2] == "degree:bca"
+    assert firsts["job_role:patron"][-2] == "degree:archives"
 
 
 def test_default_parent(spark):
     every = routes.simple_routes(edges(spark), ROOT)
-    rank = routes.parent_ranking(nodes(spark), edges(spark), every).filter("child_id = 'degree:mba'")
+    rank = routes.parent_ranking(nodes(spark), edges(spark), every).filter("child_id = 'job_role:curator'")
     assert [r.parent_id for r in rank.orderBy("rank").collect()] == [
-        "degree:bca", "job_role:developer", "job_role:cycle-only", "degree:b-arch"]
+        "degree:archives", "job_role:editor", "job_role:patron", "certification:restoring"]
 
 
 def test_merged_map_has_no_cycle(spark):
@@ -71,15 +73,16 @@ def test_beam_keeps_the_best(spark):
 def test_traversals(spark):
     e = edges(spark)
     d = {r.id: r.distance for r in traverse.root_distance(nodes(spark), e, ROOT).collect()}
-    assert d[ROOT] == 0 and d["degree:mba"] == 2 and d["job_role:cycle-only"] == 3
+    assert d[ROOT] == 0 and d["job_role:curator"] == 2 and d["job_role:patron"] == 3
     core = {r.id for r in traverse.cyclic_core(e).collect()}
-    assert core == {"degree:mba", "job_role:developer", "job_role:cycle-only"}
+    # Two cycles, and what lies between them.
+    assert core == {"diploma:film", "job_role:editor", "degree:history", "degree:archives", "job_role:curator", "job_role:patron"}
     assert traverse.cyclic_core(e.filter("edge_type = 'progression'")).isEmpty()
     trail = {r.id: r.trail for r in traverse.shortest_trails(e, ROOT).collect()}
-    assert trail["degree:mba"] == [ROOT, "degree:b-arch", "degree:mba"]
-    asked = spark.createDataFrame([("degree:mba", ROOT), (ROOT, "degree:mba")], "from_id string, to_id string")
+    assert trail["job_role:curator"] == [ROOT, "certification:restoring", "job_role:curator"]
+    asked = spark.createDataFrame([("job_role:curator", ROOT), (ROOT, "job_role:curator")], "from_id string, to_id string")
     closes = {(r.from_id, r.to_id): r.closes for r in traverse.would_close_cycle(asked, e).collect()}
-    assert closes == {("degree:mba", ROOT): True, (ROOT, "degree:mba"): False}
+    assert closes == {("job_role:curator", ROOT): True, (ROOT, "job_role:curator"): False}
 
 
 def test_cycle_of_more_than_64_edges(spark):
@@ -90,6 +93,37 @@ def test_cycle_of_more_than_64_edges(spark):
     assert closes == {("n66", "n0"): True, ("n0", "n66"): False}
 
 
+def test_settled_edges_equal_one_by_one_insertion(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [p for p in {(rng.randrange(9), rng.randrange(9)) for _ in range(40)} if p[0] != p[1]]
+    there = [(9, 0), (1, 9)]
+    rows = [(f"{a}->{b}", str(a), str(b), rng.choice(["progression", "progression", "lateral"]), n) for n, (a, b) in enumerate(sorted(pairs))]
+    schema = "id string, from_id string, to_id string, edge_type string, pos long"
+    known = spark.createDataFrame([(f"{a}->{b}", str(a), str(b), "progression", -1) for a, b in there], schema)
+    got = {r.id: r.edge_type for r in expand.settle_edges(known, spark.createDataFrame(rows, schema)).collect()}
+    nexts = {str(a): {str(b)} for a, b in there}
+
+    def leads(a, b):
+        seen, todo = set(), [a]
+        while todo:
+            x = todo.pop()
+            if x == b:
+                return True
+            if x not in seen:
+                seen.add(x)
+                todo += nexts.get(x, ())
+        return False
+
+    want = {}
+    for i, a, b, kind, _ in rows:
+        want[i] = "lateral" if kind == "progression" and leads(b, a) else kind
+        if want[i] == "progression":
+            nexts.setdefault(a, set()).add(b)
+    assert got == want and list(want.values()).count("lateral") > sum(r[3] == "lateral" for r in rows)
+
+
 def test_insert_edges(spark):
     e = edges(spark).withColumn("pos", F.lit(0))
     new = spark.createDataFrame(
@@ -101,7 +135,7 @@ def test_insert_edges(spark):
 
 def test_hubs_pin_the_root(spark):
     hubs = [r.id for r in graph.top_hubs(nodes(spark), edges(spark), ROOT, 2).orderBy("rank").collect()]
-    assert hubs == [ROOT, "degree:mba", "job_role:developer"]
+    assert hubs == [ROOT, "job_role:curator", "degree:history"]
 
 
 def test_carousel_wraps_without_clones(spark):
@@ -120,7 +154,7 @@ def test_grammar_and_lint(spark):
     assert fixed == {("degree", "exam"): "exam_gate", ("degree", "degree"): "progression", ("job_role", "degree"): "lateral"}
     rules = {r.rule for r in lint.report(nodes(spark), edges(spark), ROOT).collect()}
     assert rules == set()
-    broken = edges(spark, [*EDGES, ("degree:mba", "nowhere:x", "progression", True), ("degree:mba", "degree:bca", "progression", True)])
+    broken = edges(spark, [*EDGES, ("degree:archives", "nowhere:x", "progression", True), ("degree:archives", "degree:history", "progression", True)])
     found = lint.report(nodes(spark), broken, ROOT)
     assert {r.rule for r in found.collect()} == {"unknown endpoint", "progression cycle"}
     assert lint.exit_code(found) == 1

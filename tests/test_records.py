@@ -36,7 +36,7 @@ def test_titles(spark):
 
 
 @pytest.mark.parametrize("url, norm", [
-    (" HTTPS://UGC.GOV.IN/path#details ", "https://ugc.gov.in/path"), ("http://x.org", "http://x.org/"), ("http://x.org:80/?a=1", "http://x.org:80/?a=1"),
+    (" HTTPS://Museum.Example.ORG/visit#hours ", "https://museum.example.org/visit"), ("http://x.org", "http://x.org/"), ("http://x.org:80/?a=1", "http://x.org:80/?a=1"),
     ("ftp://x.org/", None), ("http://127.0.0.1/", None), ("http://169.254.169.254/", None), ("http://[::1]/", None),
     ("http://localhost/", None), ("http://a.local/", None), ("http://u:p@x.org/", None), ("nonsense", None),
 ])
@@ -111,6 +111,81 @@ def test_snapshot_is_written_only_if_it_changed(spark, tmp_path):
     assert writers.sync_documents(docs, str(tmp_path / "docs")) == 0
 
 
+def test_a_broken_move_is_recovered(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    writers.overwrite(spark.range(3), path)
+    os.rename(path, f"{path}.old")
+    assert spark.read.parquet(writers.recovered(spark, path)).count() == 3
+    writers.overwrite(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.old")
+
+
+def test_guarded_calls():
+    from graphloom.operators import service
+
+    waits, seen = [], []
+
+    def flaky(request):
+        seen.append(request)
+        if len(seen) < 3:
+            raise OSError("busy")
+        return "ok" if "not valid" in request else "nonsense"
+
+    assert service.call("ask", flaky, lambda a: None if a == "ok" else "say ok", sleep=waits.append) == "ok"
+    assert waits == [0.5, 1.0] and seen[-1].endswith("say ok")
+    with pytest.raises(ValueError, match="never right"):
+        service.call("ask", lambda r: "x", lambda a: "never right", sleep=waits.append)
+
+
+def test_a_service_that_is_down_stops_the_job(spark):
+    from graphloom.operators import service
+
+    def down(request):
+        raise OSError("no service")
+
+    requests = spark.createDataFrame([(str(i), "r") for i in range(4)], "key string, request string").coalesce(1)
+    rows = service.answers(requests, down, attempts=1).collect()
+    assert len(rows) == 4 and all(r.error == "no service" for r in rows)
+    more = requests.unionByName(requests).coalesce(1)
+    with pytest.raises(Exception, match="5 failures in a row"):
+        service.answers(more, down, attempts=1).collect()
+
+
+def test_neighbours_equal_brute_force_in_small_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"n{i}", f"t{i % 2}", (rng.integers(-3, 4, 4) / 2).tolist(), i) for i in range(60)]
+    rows += [("same1", "t0", rows[0][2], 70), ("same2", "t0", rows[0][2], 71), ("zero", "t0", [0.0] * 4, 72), ("none", "t0", None, 73), ("alone", "t9", [1.0] * 4, 74)]
+    v = spark.createDataFrame(rows, "id string, type string, vec array<double>, pos long")
+    got = {}
+    for r in resolve.nearest(v, v, 4, block=7).orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append(r.id)
+    for q, kind, a, _ in rows:
+        if a is None:
+            continue
+        scored = []
+        for i, t, b, pos in rows:
+            if b is not None and t == kind and i != q:
+                scale = np.linalg.norm(a) * np.linalg.norm(b)
+                scored.append((-round(float(np.dot(a, b) / scale), 9) if scale else 0.0, pos, i))
+        assert got.get(q, []) == [i for _, _, i in sorted(scored)[:4]]
+
+
+def test_rubric_section_and_frontier(spark, tmp_path):
+    from graphloom.functions import pages
+
+    body = "# Guide\n\n## Table of rules\n1. one\n2. two\n\n## Other\nx"
+    assert one(spark, pages.markdown_section(F.lit(body), "Table of rules")) == "1. one\n2. two"
+    path = str(tmp_path / "frontier.json")
+    assert writers.start_frontier(spark, path, "a:x") and not writers.start_frontier(spark, path, "b:y")
+    row = readers.frontier(spark, path).first()
+    assert (row.id, row.depth, row.expanded) == ("a:x", 0, False)
+    assert one(spark, text.today("2020-02-03")) == "2020-02-03"
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("a", 9)], "k string, v int")
