@@ -118,9 +118,11 @@ def _laid_out(held):
 
 
 def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
-    frame = frame.sort_values(["doc_id", "text"], kind="stable", na_position="last")
-    ids = frame["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(dtype=np.int64)
-    return ids, [(t or "").encode() if isinstance(t, str) else b"" for t in frame["text"]]
+    """Ids, which travel as text (a float would not hold them), and texts in order."""
+    texts = [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
+    ids = [int(i) if isinstance(i, str) else NO_ID for i in frame["doc_id"]]
+    order = sorted(range(len(ids)), key=lambda n: (ids[n], texts[n]))
+    return np.array([ids[n] for n in order], dtype=np.int64), [texts[n] for n in order]
 
 
 def _chunk_digits(frame: pd.DataFrame):
@@ -308,7 +310,7 @@ def _tell_windows(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _finish(with_text: bool):
@@ -345,7 +347,7 @@ def _finish(with_text: bool):
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             out.append((ids[i], len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         result = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-        result["doc_id"] = result["doc_id"].astype("Int64").where(result["doc_id"] != NO_ID)
+        result["doc_id"] = [None if i == NO_ID else str(i) for i in result["doc_id"].tolist()]
         return result
 
     return finish
@@ -353,14 +355,15 @@ def _finish(with_text: bool):
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) what is left of its bytes."""
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     chunks = bucket_count(docs.sparkSession, rows, 4 << 20)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", "text")), F.lit(chunks)).cast("int"))
     ask = dealt.groupBy("chunk").applyInPandas(_ask_digits(chunks), ASK_DIGITS)
     told = ask.groupBy("owner").applyInPandas(_tell_digits, TELL_DIGITS)
     asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_ask_windows(chunks), ASK_WINDOWS)
     answers = asked.groupBy("owner").applyInPandas(_tell_windows, TELL_WINDOWS)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_finish(with_text), RESULT)
+    left = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_finish(with_text), RESULT)
+    return left.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ the final ranking.  No task holds all queries or all vectors.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, neither as query nor as candidate; vectors shorter than the
 longest count as padded with zeros; rows with a null id take no part; rows
-that repeat a query's id are not candidates of that query, repeated candidate
-rows count once each; an empty table gives no rows; extra columns are
+that share an id are one query, with the smallest of their vectors, and not
+candidates of it, but candidates of others once each; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -139,7 +139,8 @@ def search(
     groups = materialize(ranges.withColumn("g", F.monotonically_increasing_id()), "topk-groups")
     pieces = materialize(
         rows.filter("is_query")
-        .select("id", "v")
+        .groupBy("id")
+        .agg(F.min("v").alias("v"))
         .repartitionByRange("id")
         .mapInPandas(_packer(PIECE_ROWS), PACKED)
         .withColumn("p", F.monotonically_increasing_id()),

@@ -19,6 +19,9 @@ def test_topk_edges(spark):
     got = [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
     a = 256 * 256
     assert got == [(0, 1, 1, a + 128 * 128), (0, 2, 2, a), (0, 3, 6, -a - 128 * 256)]
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [0.5]), (1, [0.5])], "vec_id long, embedding array<float>")
+    again = [(r.query_id, r.rank, r.vec_id) for r in topk.search(twice, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert again == [(0, 1, 1), (0, 2, 1)]
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
