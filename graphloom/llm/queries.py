@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, htmltext, packing, pitman_yor, repeats, secrets, simhash, topk, toxicity, warc
+from . import codes, decontam, htmltext, packing, pitman_yor, repeats, secrets, simhash, topk, toxicity, trie, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digest(table(spark, sf_dir, "embeddings"))
 
@@ -72,11 +76,13 @@ QUERIES = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_exact_topk": op9_exact_topk,
     "op10_secret_linking": op10_secret_linking,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc_round_trip": warc.ORACLE,
     "op9_exact_topk": topk.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
     "op12_vector_codes": codes.ORACLE,
 }
