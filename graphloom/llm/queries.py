@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, htmltext, packing, pitman_yor, repeats, secrets, simhash, topk, toxicity, trie, warc
+from . import codes, decontam, htmltext, licenses, packing, pitman_yor, repeats, secrets, simhash, topk, toxicity, trie, warc
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents")).drop("places")
+
+
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_simhash_components": op2_simhash_components,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_secret_linking": op10_secret_linking,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_vector_codes": op12_vector_codes,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLES: dict[str, str] = {
