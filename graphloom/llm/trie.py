@@ -265,13 +265,14 @@ def ends_digests(ends: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            key = batch[["depth", "k1", "k2"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            depth, k1, k2, ids = (batch[c].to_numpy() for c in ("depth", "k1", "k2", "conv_id"))
+            new = (depth[1:] != depth[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            cuts = (np.flatnonzero(new) + 1).tolist()
+            texts = list(map(str, ids.tolist()))
             rows = []
             for a, b in zip([0, *cuts], [*cuts, len(batch)]):
                 for s in range(a, b, RUN_BYTES // 8):
-                    ids = batch["conv_id"].iloc[s : min(b, s + RUN_BYTES // 8)]
-                    rows.append((*batch.iloc[a][["depth", "k1", "k2"]], ids.iloc[0], ",".join(map(str, ids))))
+                    rows.append((depth[a], k1[a], k2[a], ids[s], ",".join(texts[s : min(b, s + RUN_BYTES // 8)])))
             yield pd.DataFrame(rows, columns=["depth", "k1", "k2", "first", "run"])
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
