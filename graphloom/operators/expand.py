@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from ..schemas import EDUCATION_TYPES, WORKING_TYPES
+from . import components
 from .traverse import _closing
 
 
@@ -29,12 +30,22 @@ def settle_edges(edges: DataFrame, proposals: DataFrame) -> DataFrame:
     one after another in order of ``pos``: a progression edge that would close
     a cycle with the progression edges there by then becomes lateral.
 
-    In each round, a proposal that no earlier undecided one can turn into a
-    cycle is accepted, and one that closes a cycle with what is accepted turns
-    lateral; the first undecided one is always decided."""
-    known = edges.filter("edge_type = 'progression'").select(F.col("from_id").alias("at"), F.col("to_id").alias("next"))
+    A proposal whose ends are in different strong components of the graph with
+    all proposals in it can't close a cycle, whatever becomes of the others:
+    one pass over the edges accepts all of these.  Only proposals inside a
+    component, with the edges of that component, go through rounds: one that
+    no earlier undecided one can turn into a cycle is accepted, and one that
+    closes a cycle with what is accepted turns lateral; the first undecided
+    one is always decided."""
+    there = edges.filter("edge_type = 'progression'").select("from_id", "to_id")
+    wanted = proposals.filter("edge_type = 'progression'")
+    within = components.strong_components(there.unionByName(wanted.select("from_id", "to_id")))
+    ends = lambda df: df.join(within.select(F.col("id").alias("from_id"), F.col("component").alias("ca")), "from_id").join(
+        within.select(F.col("id").alias("to_id"), F.col("component").alias("cb")), "to_id"
+    ).filter("ca = cb").drop("ca", "cb")
+    known = ends(there).select(F.col("from_id").alias("at"), F.col("to_id").alias("next"))
     known = materialize(known.distinct().withColumn("since", F.lit(None).cast("long")), "hops")
-    open_ = materialize(proposals.filter("edge_type = 'progression'").select("id", "from_id", "to_id", F.col("pos").cast("long").alias("before")), "open")
+    open_ = materialize(ends(wanted).select("id", "from_id", "to_id", F.col("pos").cast("long").alias("before")), "open")
     turned = None
     while not open_.isEmpty():
         earlier = open_.select(F.col("from_id").alias("at"), F.col("to_id").alias("next"), F.col("before").alias("since"))

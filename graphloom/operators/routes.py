@@ -1,62 +1,196 @@
 """Ranked simple routes from the root.
 
 Routes grow level by level, one join with the edges a level, each carrying
-its nodes and its running counts, so a route never visits a node twice and
-no search runs in one process.  ``beam`` bounds the routes that may go on
-from one node (None: exact).
+its nodes and its running counts, so a route never visits a node twice and no
+search runs in one process.
+
+A dense cyclic graph has exponentially many simple routes; the k best of every
+node are found exactly without listing them, by two rules.
+
+* **Dominance.**  A route can only meet itself again inside the strong
+  component of its last node.  Of the routes that end at one node, have the
+  same nodes of that component behind them and are no longer, only the k best
+  can be part of a best route: whatever completes a worse one completes them.
+* **Bounds.**  A first search that keeps the k best routes a node and level
+  gives a k-th best cost for every target.  A backward pass over the edges
+  turns these into the largest cost that a route to each node may have and
+  still become one of the k best somewhere (costs are compared in order:
+  niche, lateral, hops; each edge takes its own from what is allowed).
+  Costlier routes go at once.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .components import strong_components
 
 MAX_DEPTH = 20
 MAX_ROUTES = 10
 #: Preference of routes: fewer niche edges, fewer lateral ones, shorter, ids.
 ORDER = ("niche", "sideways", "hops", "path")
+COST = ("niche", "sideways", "hops")
 
 
-def simple_routes(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH, beam: int | None = None) -> DataFrame:
-    """(target, nodes, niche, sideways, hops, path) of all simple routes."""
-    spark = edges.sparkSession
-    # Written once: every level joins these few columns, not the edges' origin.
-    hops = materialize(
-        edges.select(
-            F.col("from_id").alias("target"), F.col("to_id").alias("next"),
-            (~F.col("is_common_route")).cast("int").alias("n"), (F.col("edge_type") == "lateral").cast("int").alias("l"),
-        ),
-        "hops",
+def _cost() -> Column:
+    return F.struct(*COST)
+
+
+def _hops(edges: DataFrame, root: str) -> DataFrame:
+    """The few columns that levels join, with the component of both ends (null
+    on no cycle); written once.  No route comes back to the root."""
+    edges = edges.filter(F.col("to_id") != root)
+    inside = strong_components(edges)
+    of = lambda side, name: inside.select(F.col("id").alias(side), F.col("component").alias(name))
+    hops = edges.select(
+        F.col("from_id").alias("target"), F.col("to_id").alias("next"),
+        (~F.col("is_common_route")).cast("int").alias("n"), (F.col("edge_type") == "lateral").cast("int").alias("l"),
     )
-    level = materialize(
+    # Of parallel edges the cheapest is the only one in a best route.
+    hops = hops.groupBy("target", "next").agg(F.min(F.struct("n", "l")).alias("e")).select("target", "next", "e.n", "e.l")
+    return materialize(hops.join(of("target", "from_c"), "target", "left").join(of("next", "to_c"), "next", "left"), "hops")
+
+
+def _start(spark, root: str) -> DataFrame:
+    """The route of no hop.  ``ring``: the nodes of the last node's component
+    that the route has behind it (the root's own is added when it is left)."""
+    return materialize(
         spark.range(1).select(
-            F.lit(root).alias("target"), F.array(F.lit(root)).alias("nodes"),
+            F.lit(root).alias("target"), F.array(F.lit(root)).alias("nodes"), F.array(F.lit(root)).alias("ring"),
             F.lit(0).alias("niche"), F.lit(0).alias("sideways"), F.lit(0).alias("hops"),
         ),
         "routes",
     )
+
+
+def _grown(level: DataFrame, hops: DataFrame) -> DataFrame:
+    stays = F.col("to_c").isNotNull() & F.col("from_c").eqNullSafe(F.col("to_c"))
+    return (
+        level.join(hops, "target")
+        .filter(~F.array_contains("nodes", F.col("next")))
+        .select(
+            F.col("next").alias("target"), F.array_append("nodes", F.col("next")).alias("nodes"),
+            F.when(stays, F.array_append("ring", F.col("next"))).otherwise(F.array("next")).alias("ring"),
+            (F.col("niche") + F.col("n")).alias("niche"), (F.col("sideways") + F.col("l")).alias("sideways"), (F.col("hops") + 1).alias("hops"),
+        )
+    )
+
+
+def _best(rows: DataFrame, k: int, *by) -> DataFrame:
+    """The k best rows of each group, cut before the shuffle as well."""
+    order = Window.partitionBy(*by).orderBy(*COST, "nodes")
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
+def simple_routes(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH, beam: int | None = None) -> DataFrame:
+    """(target, nodes, niche, sideways, hops, path) of all simple routes, whose
+    number is exponential in a dense cyclic graph; ``beam`` bounds those that
+    go on from one node and level."""
+    found = _beam(_hops(edges, root), root, beam, max_depth)
+    return found.drop("ring").withColumn("path", F.array_join("nodes", "\u0000"))
+
+
+def _beam(hops: DataFrame, root: str, k: int | None, max_depth: int) -> DataFrame:
+    """Simple routes found by keeping the k best of each node and level."""
+    level = _start(hops.sparkSession, root)
     found = level
     for _ in range(max_depth):
-        grown = (
-            level.join(hops, "target")
-            .filter(~F.array_contains("nodes", F.col("next")))
-            .select(
-                F.col("next").alias("target"), F.array_append("nodes", F.col("next")).alias("nodes"),
-                (F.col("niche") + F.col("n")).alias("niche"), (F.col("sideways") + F.col("l")).alias("sideways"),
-                (F.col("hops") + 1).alias("hops"),
-            )
-        )
-        if beam:
-            best = Window.partitionBy("target").orderBy("niche", "sideways", F.array_join("nodes", "\u0000"))
-            grown = grown.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r")
-        level = materialize(grown, "routes")
+        grown = _grown(level, hops)
+        level = materialize(grown if k is None else _best(grown, k, "target"), "routes")
         if level.isEmpty():
             break
         found = found.unionByName(level)
-    return found.withColumn("path", F.array_join("nodes", "\u0000"))
+    return found
+
+
+def _dead(found: DataFrame, hops: DataFrame, root: str) -> DataFrame:
+    """(target, next): edges of a component into a node that every route to
+    their start has behind it, so that no simple route takes them.  Starts to
+    which a route without ``next`` is known are out of question; for the
+    others, what the component's entries reach without ``next`` decides."""
+    inner = hops.filter("from_c = to_c").select("target", "next", F.col("from_c").alias("c"))
+    fine = inner.join(found.select("target", "nodes"), "target").filter(~F.array_contains("nodes", F.col("next"))).select("target", "next").distinct()
+    doubt = materialize(inner.join(fine, ["target", "next"], "left_anti"), "doubt")
+    if doubt.isEmpty():
+        return doubt.select("target", "next")
+    entered = hops.join(found.select("target").distinct(), "target", "left_semi").filter("NOT from_c <=> to_c").select(F.col("next").alias("at"), F.col("to_c").alias("c"))
+    entered = entered.unionByName(inner.filter(F.col("target") == root).select(F.col("target").alias("at"), "c")).distinct()
+    without = doubt.select(F.col("next").alias("without"), "c").distinct()
+    level = materialize(without.join(entered, "c").filter("at <> without").select("without", "at"), "doubt-level")
+    seen = level
+    steps = inner.select(F.col("target").alias("at"), F.col("next").alias("to"))
+    while not level.isEmpty():
+        level = level.join(steps, "at").filter("to <> without").select("without", F.col("to").alias("at")).distinct().join(seen, ["without", "at"], "left_anti")
+        level = materialize(level, "doubt-level")
+        seen = materialize(seen.unionByName(level), "doubt-seen")
+    return doubt.join(seen.select(F.col("without").alias("next"), F.col("at").alias("target")), ["target", "next"], "left_anti").select("target", "next")
+
+
+def _bounds(found: DataFrame, hops: DataFrame, k: int, max_depth: int) -> DataFrame:
+    """(target, allowed, open): the largest cost of a route to each node that
+    can still matter; ``open`` where some target it leads to has fewer than k
+    routes so far, so that nothing can be ruled out.
+
+    A route matters for the targets it leads to, and for the edges within a
+    component that leave its last node: the best route that avoids the far
+    end is asked for by ``routes_via_parent``."""
+    ranked = _best(found, k, "target").groupBy("target").agg(F.max(_cost()).alias("kth"), F.count("*").alias("n"))
+    inner = hops.filter("from_c = to_c").select("target", "next")
+    avoiding = inner.join(found.select("target", "nodes", *COST), "target", "left").groupBy("target", "next").agg(
+        F.min(F.when(~F.array_contains("nodes", F.col("next")), _cost())).alias("least")
+    ).groupBy("target").agg(F.max("least").alias("least"), F.bool_or(F.col("least").isNull()).alias("missing"))
+    own = ranked.join(avoiding, "target", "left").select(
+        "target", F.greatest("kth", F.coalesce("least", "kth")).alias("allowed"), ((F.col("n") < k) | F.coalesce("missing", F.lit(False))).alias("open")
+    )
+    bounds = changed = materialize(own, "bounds")
+    for _ in range(max_depth):
+        told = hops.join(changed.withColumnRenamed("target", "next"), "next").select(
+            "target", "open", F.struct((F.col("allowed.niche") - F.col("n")).alias("niche"), (F.col("allowed.sideways") - F.col("l")).alias("sideways"), (F.col("allowed.hops") - 1).alias("hops")).alias("allowed"),
+        ).groupBy("target").agg(F.max("allowed").alias("told"), F.bool_or("open").alias("told_open"))
+        news = bounds.join(told, "target").filter("told > allowed OR (told_open AND NOT open)")
+        changed = materialize(news.select("target", F.greatest("allowed", "told").alias("allowed"), (F.col("open") | F.col("told_open")).alias("open")), "bounds-news")
+        if changed.isEmpty():
+            break
+        bounds = materialize(bounds.join(changed.select("target"), "target", "left_anti").unionByName(changed), "bounds")
+    return bounds
+
+
+def best_routes(edges: DataFrame, root: str, k: int = MAX_ROUTES, max_depth: int = MAX_DEPTH, max_states: int | None = None) -> DataFrame:
+    """(target, nodes, niche, sideways, hops, path): simple routes from the
+    root, of at most ``max_depth`` hops, among them the k best of every node
+    and the best of every node that avoids one next node.
+
+    Exact without ``max_states``; with it, growing ends after the level in
+    which that many routes have been kept, as a best-first search with a
+    budget would, and long routes may be missing.  No edges give the root
+    alone; parallel edges count as the cheapest of them."""
+    hops = _hops(edges, root)
+    first = _beam(hops, root, k, max_depth)
+    hops = materialize(hops.join(_dead(first, hops, root), ["target", "next"], "left_anti"), "hops")
+    allowed = _bounds(first, hops, k, max_depth)
+    level = _start(edges.sparkSession, root)
+    found, states = level, 1
+    kept = level.select("target", F.array_sort("ring").alias("ring"), *COST, "nodes")
+    for _ in range(max_depth):
+        grown = _grown(level, hops).join(allowed, "target").filter(F.col("open") | (_cost() <= F.col("allowed"))).drop("allowed", "open")
+        fresh = _best(grown.withColumn("sorted", F.array_sort("ring")), k, "target", "sorted")
+        # Against those of lower levels with the same ring: all no longer.
+        both = fresh.withColumn("new", F.lit(True)).unionByName(
+            kept.select("target", F.col("ring").alias("sorted"), *COST, "nodes").withColumn("ring", F.lit(None).cast("array<string>")).withColumn("new", F.lit(False))
+        )
+        level = materialize(_best(both, k, "target", "sorted").filter("new").drop("new", "sorted"), "routes")
+        count = level.count()
+        if not count:
+            break
+        found = found.unionByName(level)
+        states += count
+        kept = materialize(_best(kept.unionByName(level.select("target", F.array_sort("ring").alias("ring"), *COST, "nodes")), k, "target", "ring"), "kept")
+        if max_states is not None and states >= max_states:
+            break
+    return found.drop("ring").withColumn("path", F.array_join("nodes", "\u0000"))
 
 
 def top_routes(routes: DataFrame, k: int = MAX_ROUTES) -> DataFrame:
@@ -69,8 +203,8 @@ def entry_parent():
 
 
 def routes_via_parent(routes: DataFrame, edges: DataFrame, k: int = MAX_ROUTES) -> DataFrame:
-    """For every edge (parent, target): the target's routes with one through
-    that parent first.  That is its best listed route entering there, or else
+    """For every edge (parent, target), ``routes`` being those of
+    ``best_routes``: the target's routes with one through that parent first.  That is its best listed route entering there, or else
     the parent's best route that avoids the target, extended by the edge."""
     listed = top_routes(routes, k)
     pairs = edges.select(

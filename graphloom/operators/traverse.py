@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from . import components
 
 
 def distances(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
@@ -101,15 +102,16 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def would_close_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidates`` (from_id, to_id) with ``closes``: whether the progression
     edges already lead from to_id back to from_id."""
-    hops = edges.filter("edge_type = 'progression'").select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
-    hops = materialize(hops.withColumn("since", F.lit(None).cast("long")), "hops")
-    return _closing(candidates, candidates.select("from_id", "to_id").distinct().withColumn("before", F.lit(None).cast("long")), hops)
+    reach = components.Reach(edges.filter("edge_type = 'progression'"))
+    asked = candidates.select(F.col("to_id").alias("x"), F.col("from_id").alias("y")).distinct()
+    answers = reach.answers(asked).select(F.col("y").alias("from_id"), F.col("x").alias("to_id"), F.col("reaches").alias("closes"))
+    return candidates.join(answers, ["from_id", "to_id"], "left").withColumn("closes", F.coalesce("closes", F.lit(False)))
 
 
 def _closing(candidates: DataFrame, wanted: DataFrame, hops: DataFrame) -> DataFrame:
-    """The search behind ``would_close_cycle``: ``wanted`` (from_id, to_id,
-    before) walk ``hops`` (at, next, since), those with a position only if it
-    is before theirs."""
+    """``candidates`` with ``closes``: ``wanted`` (from_id, to_id, before)
+    walk ``hops`` (at, next, since), those with a position only if it is
+    before theirs."""
     level = materialize(wanted.select("from_id", "to_id", "before", F.col("to_id").alias("at")), "reach")
     known = level
     rounds = 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import expand, graph, lint, routes, snapshot, traverse
+from ..operators import components, expand, graph, lint, routes, snapshot, traverse
 from ..plans import star
 from ..plans.star import ROOT, oracle
 
@@ -28,13 +28,13 @@ def shown_path():
     return F.replace("path", F.lit("\u0000"), F.lit(" > ")).alias("path")
 
 
-#: All simple routes of the walk graph, and their ranks.
+#: All simple routes of the star graph, and their ranks.
 ROUTES = """r AS (
   SELECT 'market:all' AS target, ['market:all'] AS nodes, CAST([] AS VARCHAR[]) AS eids, 0 AS niche, 0 AS sideways, 0 AS hops
   UNION ALL
   SELECT e.to_id, list_append(r.nodes, e.to_id), list_append(r.eids, e.id), r.niche + CASE WHEN e.is_common_route THEN 0 ELSE 1 END,
     r.sideways + CASE WHEN e.edge_type = 'lateral' THEN 1 ELSE 0 END, r.hops + 1
-  FROM r JOIN walk_edges e ON e.from_id = r.target
+  FROM r JOIN star_edges e ON e.from_id = r.target
   WHERE NOT list_contains(r.nodes, e.to_id) AND r.hops < 20
 )"""
 RANKED = """p AS (SELECT *, array_to_string(nodes, chr(1)) AS path FROM r), ranked AS (
@@ -42,14 +42,14 @@ RANKED = """p AS (SELECT *, array_to_string(nodes, chr(1)) AS path FROM r), rank
 ), listed AS (SELECT * FROM ranked WHERE rank <= 10)"""
 VIA = """own AS (
   SELECT e.from_id AS parent, l.target, l.nodes, l.niche, l.sideways, l.hops, l.path, l.rank + 1 AS pos, l.nodes[-2] = e.from_id AS enters
-  FROM walk_edges e JOIN listed l ON l.target = e.to_id
+  FROM star_edges e JOIN listed l ON l.target = e.to_id
 ), through AS (
   SELECT parent, target, min(pos) AS first FROM own WHERE enters GROUP BY ALL
 ), ext0 AS (
   SELECT e.from_id AS parent, e.to_id AS target, list_append(q.nodes, e.to_id) AS nodes,
     q.niche + CASE WHEN e.is_common_route THEN 0 ELSE 1 END AS niche, q.sideways + CASE WHEN e.edge_type = 'lateral' THEN 1 ELSE 0 END AS sideways,
     q.hops + 1 AS hops, row_number() OVER (PARTITION BY e.from_id, e.to_id ORDER BY q.niche, q.sideways, q.hops, q.path) AS k
-  FROM walk_edges e JOIN p q ON q.target = e.from_id
+  FROM star_edges e JOIN p q ON q.target = e.from_id
   WHERE NOT list_contains(q.nodes, e.to_id)
     AND NOT EXISTS (SELECT 1 FROM through t WHERE t.parent = e.from_id AND t.target = e.to_id)
 ), via0 AS (
@@ -66,12 +66,12 @@ PARENTS = """best AS (SELECT * FROM ranked WHERE rank = 1), prank AS (
   SELECT e.to_id AS child_id, e.from_id AS parent_id, CAST(row_number() OVER (PARTITION BY e.to_id ORDER BY
     e.is_common_route DESC, CASE e.edge_type WHEN 'progression' THEN 0 WHEN 'exam_gate' THEN 1 ELSE 2 END,
     CASE WHEN b.target IS NULL THEN 1 ELSE 0 END, b.niche, b.sideways, b.hops, b.path, n.title, e.from_id) AS INTEGER) AS rank
-  FROM walk_edges e JOIN star_nodes n ON n.id = e.from_id LEFT JOIN best b ON b.target = e.from_id
+  FROM star_edges e JOIN star_nodes n ON n.id = e.from_id LEFT JOIN best b ON b.target = e.from_id
 )"""
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.simple_routes(star.walk_edges(spark, sf_dir), ROOT)
+    return routes.best_routes(star.edges(spark, sf_dir), ROOT)
 
 
 @query(oracle(
@@ -84,24 +84,24 @@ def routes_topk(spark, sf_dir):
 @query(oracle(
     "SELECT parent, target, rank, niche, sideways, hops, replace(path, chr(1), ' > ') AS path FROM via WHERE rank <= 10", ROUTES, RANKED, VIA))
 def routes_via_parent(spark, sf_dir):
-    out = routes.routes_via_parent(_routes(spark, sf_dir), star.walk_edges(spark, sf_dir))
+    out = routes.routes_via_parent(_routes(spark, sf_dir), star.edges(spark, sf_dir))
     return out.select("parent", "target", "rank", "niche", "sideways", "hops", shown_path())
 
 
 @query(oracle("SELECT child_id, parent_id, rank FROM prank", ROUTES, RANKED, PARENTS))
 def parent_ranking(spark, sf_dir):
-    return routes.parent_ranking(star.nodes(spark, sf_dir), star.walk_edges(spark, sf_dir), _routes(spark, sf_dir))
+    return routes.parent_ranking(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), _routes(spark, sf_dir))
 
 
 @query(oracle("""SELECT n.id,
-  (SELECT count(*) FROM walk_edges e WHERE e.to_id = n.id) AS n_parents,
-  (SELECT count(*) FROM walk_edges e WHERE e.from_id = n.id) AS n_children,
+  (SELECT count(*) FROM star_edges e WHERE e.to_id = n.id) AS n_parents,
+  (SELECT count(*) FROM star_edges e WHERE e.from_id = n.id) AS n_children,
   (SELECT count(*) FROM listed l WHERE l.target = n.id) AS n_routes,
   s.parent_id AS selected_parent, v.nodes[list_position(v.nodes, s.parent_id) - 1] AS back_to
 FROM star_nodes n LEFT JOIN prank s ON s.child_id = n.id AND s.rank = 1
 LEFT JOIN via v ON v.target = n.id AND v.parent = s.parent_id AND v.rank = 1""", ROUTES, RANKED, VIA, PARENTS))
 def node_page_view(spark, sf_dir):
-    return routes.page_views(star.nodes(spark, sf_dir), star.walk_edges(spark, sf_dir), _routes(spark, sf_dir))
+    return routes.page_views(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), _routes(spark, sf_dir))
 
 
 @query(oracle("""SELECT target, nodes[-2] AS parent, min(rank) AS rank FROM listed WHERE len(nodes) > 1 GROUP BY ALL""", ROUTES, RANKED))
@@ -117,7 +117,7 @@ def route_map_merge(spark, sf_dir):
 @query(oracle("""SELECT target AS id, CAST(hops AS INTEGER) AS distance, array_to_string(nodes, ' > ') AS trail FROM (
   SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops, eids) AS k FROM r) WHERE k = 1""", ROUTES))
 def shortest_trail(spark, sf_dir):
-    out = traverse.shortest_trails(star.walk_edges(spark, sf_dir), ROOT)
+    out = traverse.shortest_trails(star.edges(spark, sf_dir), ROOT)
     return out.select("id", "distance", F.array_join("trail", " > ").alias("trail"))
 
 
@@ -128,15 +128,15 @@ DISTANCE = """near AS (SELECT target, min(hops) AS d FROM r GROUP BY target), di
 
 @query(oracle("SELECT id, distance FROM dist", ROUTES, DISTANCE))
 def root_distance(spark, sf_dir):
-    return traverse.root_distance(star.nodes(spark, sf_dir), star.walk_edges(spark, sf_dir), ROOT)
+    return traverse.root_distance(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), ROOT)
 
 
 @query(oracle("""SELECT id, type FROM star_nodes WHERE id NOT IN (SELECT b FROM seen)""",
-  """seen AS (SELECT 'market:all' AS b UNION SELECT e.to_id FROM seen JOIN walk_edges e ON e.from_id = seen.b
+  """seen AS (SELECT 'market:all' AS b UNION SELECT e.to_id FROM seen JOIN star_edges e ON e.from_id = seen.b
   WHERE NOT (e.edge_type = 'progression' AND NOT e.is_common_route))"""))
 def unreachable_nodes(spark, sf_dir):
     """What common routes and sideways steps do not reach."""
-    usable = star.walk_edges(spark, sf_dir).filter("NOT (edge_type = 'progression' AND NOT is_common_route)")
+    usable = star.edges(spark, sf_dir).filter("NOT (edge_type = 'progression' AND NOT is_common_route)")
     return traverse.unreachable(star.nodes(spark, sf_dir), usable, ROOT).select("id", "type")
 
 
@@ -154,13 +154,32 @@ def progression_cycle_core(spark, sf_dir):
 
 @query(oracle("""SELECT c.from_id, c.to_id, c.from_id = c.to_id OR EXISTS (
   SELECT 1 FROM reach WHERE reach.a = c.to_id AND reach.b = c.from_id) AS closes
-FROM (SELECT from_id, to_id FROM walk_edges UNION SELECT to_id, from_id FROM walk_edges) c""",
-  """reach AS (SELECT from_id AS a, to_id AS b FROM walk_edges WHERE edge_type = 'progression'
-  UNION SELECT reach.a, e.to_id FROM reach JOIN walk_edges e ON e.from_id = reach.b WHERE e.edge_type = 'progression')"""))
+FROM (SELECT from_id, to_id FROM star_edges UNION SELECT to_id, from_id FROM star_edges) c""",
+  """reach AS (SELECT from_id AS a, to_id AS b FROM star_edges WHERE edge_type <> 'lateral'
+  UNION SELECT reach.a, e.to_id FROM reach JOIN star_edges e ON e.from_id = reach.b WHERE e.edge_type <> 'lateral')"""))
 def would_create_cycle(spark, sf_dir):
-    e = star.walk_edges(spark, sf_dir)
+    """Every edge and its reverse, against all edges that are not sideways."""
+    e = star.edges(spark, sf_dir)
     both = e.select("from_id", "to_id").unionByName(e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
-    return traverse.would_close_cycle(both.distinct(), e)
+    ways = e.withColumn("edge_type", F.when(F.col("edge_type") == "lateral", "lateral").otherwise("progression"))
+    return traverse.would_close_cycle(both.distinct(), ways)
+
+
+#: The star graph, and a ring of the customers of each nation and segment.
+RINGED = """ringed AS (SELECT from_id, to_id FROM star_edges UNION ALL
+  SELECT 'customer:' || c_custkey, 'customer:' || coalesce(lead(c_custkey) OVER w, first_value(c_custkey) OVER w)
+  FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)
+), ringed_reach AS (SELECT from_id AS a, to_id AS b FROM ringed UNION SELECT r.a, e.to_id FROM ringed_reach r JOIN ringed e ON e.from_id = r.b)"""
+
+
+@query(oracle("""SELECT x.a AS id, min(x.b) AS component FROM ringed_reach x JOIN ringed_reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""", RINGED))
+def cycle_components(spark, sf_dir):
+    """The strong components of the star graph with rings of customers."""
+    ring = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    after = F.coalesce(F.lead("c_custkey").over(ring), F.min("c_custkey").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    name = lambda c: F.concat(F.lit("customer:"), c.cast("string"))
+    rings = spark.read.parquet(f"{sf_dir}/customer.parquet").select(name(F.col("c_custkey")).alias("from_id"), name(after).alias("to_id"))
+    return components.strong_components(star.edges(spark, sf_dir).select("from_id", "to_id").unionByName(rings))
 
 
 DEGREES = """deg AS (SELECT n.id, coalesce(i.c, 0) AS in_count, coalesce(o.c, 0) AS out_count FROM star_nodes n
@@ -225,9 +244,9 @@ def child_title_exists(spark, sf_dir):
 
 
 @query(oracle("""SELECT e.id, CAST(least(d.distance, 5) AS INTEGER) AS bucket, CASE WHEN e.is_common_route THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS width,
-  CASE WHEN e.edge_type = 'lateral' THEN 0.35::DOUBLE ELSE 0.75::DOUBLE END AS opacity FROM walk_edges e JOIN dist d ON d.id = e.to_id""", ROUTES, DISTANCE))
+  CASE WHEN e.edge_type = 'lateral' THEN 0.35::DOUBLE ELSE 0.75::DOUBLE END AS opacity FROM star_edges e JOIN dist d ON d.id = e.to_id""", ROUTES, DISTANCE))
 def map_edges_styled(spark, sf_dir):
-    e = star.walk_edges(spark, sf_dir)
+    e = star.edges(spark, sf_dir)
     return graph.styled_edges(e, traverse.root_distance(star.nodes(spark, sf_dir), e, ROOT))
 
 
@@ -341,16 +360,16 @@ def context_slice(spark, sf_dir):
     return expand.context_slice(own.unionByName(up).unionByName(down), 300, 2000)
 
 
-@query(oracle("""SELECT target AS id, CAST(min(hops) AS INTEGER) AS depth, min(hops) < 3 AS expanded FROM r GROUP BY target HAVING min(hops) <= 3""", ROUTES))
+@query(oracle("""SELECT target AS id, CAST(min(hops) AS INTEGER) AS depth, min(hops) < 4 AS expanded FROM r GROUP BY target HAVING min(hops) <= 4""", ROUTES))
 def frontier_expand(spark, sf_dir):
-    e = star.walk_edges(spark, sf_dir)
+    e = star.edges(spark, sf_dir)
     step = lambda level: e.join(level.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    return expand.expand(ROOT, spark, step, 3)
+    return expand.expand(ROOT, spark, step, 4)
 
 
-@query(oracle("""SELECT count(*) FILTER (d < 3) AS pending, count(*) FILTER (d = 3) AS retained FROM (SELECT min(hops) AS d FROM r GROUP BY target)""", ROUTES))
+@query(oracle("""SELECT count(*) FILTER (d < 4) AS pending, count(*) FILTER (d = 4) AS retained FROM (SELECT min(hops) AS d FROM r GROUP BY target)""", ROUTES))
 def frontier_counts(spark, sf_dir):
-    return expand.frontier_counts(frontier_expand(spark, sf_dir), 3)
+    return expand.frontier_counts(frontier_expand(spark, sf_dir), 4)
 
 
 @query(oracle("""SELECT id, 'https://example.org/careers/' || type || '/' || substr(id, strpos(id, ':') + 1) AS url, (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders) AS lastmod FROM star_nodes"""))

@@ -34,7 +34,7 @@ SUBMITTED = """q AS (SELECT conv_id * 1000 + turn AS req_id, turn < 6 AS allowed
 dec AS (SELECT req_id, CAST(CASE WHEN NOT allowed THEN 429 WHEN NOT well_formed THEN 400
   WHEN NOT (regexp_matches(parent_id, '^(?:region|nation|supplier):[0-9]+$') AND length(trim(title)) BETWEEN 5 AND 100 AND length(trim(description)) BETWEEN 10 AND 1000) THEN 400
   WHEN parent_id NOT IN (SELECT id FROM star_nodes) THEN 400
-  WHEN EXISTS (SELECT 1 FROM walk_edges e JOIN star_nodes n ON n.id = e.to_id WHERE e.from_id = q.parent_id AND (lower(trim(n.title)) = lower(trim(q.title)) OR lower(trim(q.title)) = lower(trim(n.aliases[1])))) THEN 409
+  WHEN EXISTS (SELECT 1 FROM star_edges e JOIN star_nodes n ON n.id = e.to_id WHERE e.from_id = q.parent_id AND (lower(trim(n.title)) = lower(trim(q.title)) OR lower(trim(q.title)) = lower(trim(n.aliases[1])))) THEN 409
   ELSE 200 END AS INTEGER) AS status FROM q)"""
 
 
@@ -48,7 +48,7 @@ def _submissions(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    return intake.decide_suggestions(_submissions(spark, sf_dir), star.nodes(spark, sf_dir), star.walk_edges(spark, sf_dir), STAR_ID)
+    return intake.decide_suggestions(_submissions(spark, sf_dir), star.nodes(spark, sf_dir), star.edges(spark, sf_dir), STAR_ID)
 
 
 @query(oracle("SELECT req_id, status FROM dec", SUBMITTED))

@@ -134,9 +134,9 @@ def edge_inserts(spark, sf_dir):
     return n.join(kept, "a", "left").select("a", "b", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query(oracle("""SELECT e.from_id AS node_id, count(*) AS n, min(e.id) AS first, max(e.id) AS last FROM walk_edges e GROUP BY e.from_id"""))
+@query(oracle("""SELECT e.from_id AS node_id, count(*) AS n, min(e.id) AS first, max(e.id) AS last FROM star_edges e GROUP BY e.from_id"""))
 def adjacency_lists(spark, sf_dir):
-    lists = graph.adjacency(star.walk_edges(spark, sf_dir))
+    lists = graph.adjacency(star.edges(spark, sf_dir))
     return lists.select("node_id", F.size("edges").cast("long").alias("n"), F.col("edges")[0]["id"].alias("first"), F.element_at("edges", -1)["id"].alias("last"))
 
 

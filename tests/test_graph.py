@@ -33,14 +33,14 @@ def nodes(spark, ids=None):
 
 
 def test_routes_are_ranked_by_niche_lateral_length(spark):
-    found = routes.top_routes(routes.simple_routes(edges(spark), ROOT)).filter("target = 'job_role:curator'").orderBy("rank").collect()
+    found = routes.top_routes(routes.best_routes(edges(spark), ROOT)).filter("target = 'job_role:curator'").orderBy("rank").collect()
     assert [(r.niche, r.sideways, r.hops, r.nodes[-2]) for r in found] == [
         (0, 0, 4, "degree:archives"), (0, 1, 3, "job_role:editor"), (1, 1, 4, "degree:archives"), (2, 0, 2, "certification:restoring")]
     assert all(len(set(r.nodes)) == len(r.nodes) for r in found)
 
 
 def test_requested_parent_comes_first(spark):
-    every = routes.simple_routes(edges(spark), ROOT)
+    every = routes.best_routes(edges(spark), ROOT)
     via = routes.routes_via_parent(every, edges(spark)).filter("target = 'job_role:curator'")
     firsts = {r.parent: r.nodes for r in via.filter("rank = 1").collect()}
     assert firsts["job_role:editor"][-2] == "job_role:editor"
@@ -50,7 +50,7 @@ def test_requested_parent_comes_first(spark):
 
 
 def test_default_parent(spark):
-    every = routes.simple_routes(edges(spark), ROOT)
+    every = routes.best_routes(edges(spark), ROOT)
     rank = routes.parent_ranking(nodes(spark), edges(spark), every).filter("child_id = 'job_role:curator'")
     assert [r.parent_id for r in rank.orderBy("rank").collect()] == [
         "degree:archives", "job_role:editor", "job_role:patron", "certification:restoring"]

@@ -28,7 +28,7 @@ def test_route_map_merge_equals_brute_force(spark, sf_dir):
     for r in queries.QUERIES["route_map_merge"](spark, sf_dir).collect():
         got.setdefault(r.target, {})[r.from_id, r.to_id] = (r.selected, r.layer)
     listed = {}
-    for r in routes.top_routes(routes.simple_routes(star.walk_edges(spark, sf_dir), star.ROOT)).collect():
+    for r in routes.top_routes(routes.best_routes(star.edges(spark, sf_dir), star.ROOT)).collect():
         listed.setdefault(r.target, []).append((r["rank"], list(r.nodes)))
     want = {}
     for target, ways in listed.items():
