@@ -57,7 +57,7 @@ def expansion_prompt(title, definition, trail: Column, known: Column, instructio
     part = lambda label, body: F.concat(F.lit(f"{label}: "), body)
     return F.concat_ws(
         "\n\n", F.lit(instruction), part("NODE", title),
-        F.when(F.coalesce(F.trim(definition), F.lit("")) != "", part("DEFINITION", F.trim(definition))),
+        F.when(F.coalesce(text.strip(definition), F.lit("")) != "", part("DEFINITION", text.strip(definition))),
         F.when(F.size(trail) > 0, part("WAY FROM THE START", F.array_join(trail, " → "))),
         F.concat(F.lit("ALREADY KNOWN:\n"), F.array_join(known, "\n")),
     )

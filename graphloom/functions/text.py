@@ -10,10 +10,25 @@ from pyspark.sql import functions as F
 from ..schemas import ABBREVIATIONS, BARE_GENERICS, LEVEL_TOKENS, SECTION_KEYS
 
 
+#: The characters that the web's string trimming takes as white
+#: space.
+SPACE = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_c(x), f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def collapse(x) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(_c(x), f"[{SPACE}]+", " "))
+
+
 def slugify(title) -> Column:
     """Lower case, other characters to single hyphens, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(_c(title)), "[^a-z0-9]+", "-"), "^-|-$", "")
@@ -31,7 +46,7 @@ def normalize_title(title) -> Column:
 
 def looks_aggregate(title) -> Column:
     base = F.regexp_replace(_c(title), r"\([^)]*\)", "")
-    parts = F.filter(F.transform(F.split(base, r"\|| or "), lambda x: F.trim(x)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(base, r"\|| or "), strip), lambda p: p != "")
     return (F.size(parts) >= 2) & F.forall(parts, lambda p: F.char_length(p) >= 8)
 
 
@@ -47,13 +62,13 @@ def level_tokens(title) -> Column:
 
 def qualified_title(title, parent_title) -> Column:
     """A generic title made specific by its parent."""
-    parent = F.trim(F.regexp_replace(_c(parent_title), r"\([^)]*\)", ""))
+    parent = strip(F.regexp_replace(_c(parent_title), rf"[{SPACE}]*\([^)]*\)", ""))
     return F.concat(F.regexp_replace(_c(title), r"\.+$", ""), F.lit(" in "), parent)
 
 
 def clean_title(title) -> Column:
-    """Pipes to slashes and single spaces."""
-    return F.trim(F.regexp_replace(F.replace(_c(title), F.lit("|"), F.lit("/")), r"\s+", " "))
+    """Single spaces, and a pipe with the blanks round it as a slash."""
+    return F.regexp_replace(collapse(title), r" *\| *", "/")
 
 
 def id_type(node_id) -> Column:
@@ -118,7 +133,7 @@ def pair_text(context) -> Column:
     """The last two parts of a slash-separated context."""
     parts = F.split(_c(context), "/")
     size = F.least(F.size(parts), F.lit(2))
-    return F.array_join(F.transform(F.slice(parts, -size, size), lambda x: F.trim(x)), " / ")
+    return F.array_join(F.transform(F.slice(parts, -size, size), strip), " / ")
 
 
 def font_bucket(title) -> Column:
@@ -141,12 +156,12 @@ def allowed_keys(node_type) -> Column:
 
 
 def newline_list(text) -> Column:
-    return F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(text), "\n"), strip), lambda x: x != "")
 
 
 def client_ip(forwarded, real) -> Column:
-    first = F.nullif(F.trim(F.substring_index(_c(forwarded), ",", 1)), F.lit(""))
-    return F.coalesce(first, F.nullif(F.trim(_c(real)), F.lit("")), F.lit("unknown"))
+    first = F.nullif(strip(F.substring_index(_c(forwarded), ",", 1)), F.lit(""))
+    return F.coalesce(first, F.nullif(strip(real), F.lit("")), F.lit("unknown"))
 
 
 def today(day: str | None = None) -> Column:

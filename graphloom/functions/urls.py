@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip
+
 
 def public_url(value: str | None) -> str | None:
     """The normal form of a public http(s) URL, or None."""
@@ -41,7 +43,7 @@ def normalize_url(urls: pd.Series) -> pd.Series:
 def normalize_domain_url(url) -> Column:
     """The same for hosts by name, without Python: null where it would be
     refused; addresses count as refused."""
-    raw = F.trim(F.col(url) if isinstance(url, str) else url)
+    raw = strip(url)
     m = lambda g: F.regexp_extract(raw, r"^(?i)(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", g)
     authority = m(2)
     host = F.lower(F.regexp_replace(authority, r":\d*$", ""))

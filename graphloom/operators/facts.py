@@ -16,7 +16,7 @@ from ..schemas import FACTS
 def section_violations(sections: DataFrame) -> DataFrame:
     """(node_id, rule) of ``sections`` (node_id, type, key, heading, body,
     source_urls, last_reviewed)."""
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    blank = lambda c: F.coalesce(text.strip(c) == "", F.lit(True))
     rules = F.array(
         F.when(~F.array_contains(text.allowed_keys("type"), F.col("key")), "unsupported section"),
         F.when(blank(F.col("heading")), "empty heading"),
@@ -43,7 +43,7 @@ def document_violations(documents: DataFrame, model: str, prompt_version: str, s
     links that are no public address, sections the type does not have."""
     body = F.col("body")
     known = F.from_json(body, FACTS)
-    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    blank = lambda x: F.coalesce(text.strip(x) == "", F.lit(True))
     extra = lambda json, keys: F.size(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in keys]))) > 0
     more_than = lambda keys: lambda x: extra(x, keys)
     date = lambda x: F.coalesce(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) & F.try_to_date(x, "yyyy-MM-dd").isNotNull()

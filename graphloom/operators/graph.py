@@ -103,8 +103,8 @@ def has_child_title(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -
     title or alias already, letter case apart."""
     names = edges.join(nodes.select(F.col("id").alias("to_id"), "title", "aliases"), "to_id").select(
         F.col("from_id").alias("parent_id"), F.explode(surfaces()).alias("name")
-    ).select("parent_id", F.lower(F.trim("name")).alias("folded"))
-    return candidates.withColumn("folded", F.lower(F.trim("title"))).join(
+    ).select("parent_id", F.lower(text.strip("name")).alias("folded"))
+    return candidates.withColumn("folded", F.lower(text.strip("title"))).join(
         names, ["parent_id", "folded"], "left_semi"
     ).drop("folded")
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import STABLE_ID
 from . import graph
 
@@ -16,7 +17,7 @@ PER_WINDOW = 5
 
 
 def _between(c: Column, low: int, high: int) -> Column:
-    return F.coalesce(F.char_length(F.trim(c)).between(low, high), F.lit(False))
+    return F.coalesce(F.char_length(strip(c)).between(low, high), F.lit(False))
 
 
 def valid_suggestion(parent_id: Column, title: Column, description: Column, id_pattern: str = STABLE_ID) -> Column:
@@ -24,7 +25,7 @@ def valid_suggestion(parent_id: Column, title: Column, description: Column, id_p
 
 
 def valid_edit(target_id: Column, title: Column, description: Column, aliases: Column, id_pattern: str = STABLE_ID) -> Column:
-    names = (F.size(aliases) <= 25) & F.forall(aliases, lambda a: F.char_length(F.trim(a)).between(1, 150))
+    names = (F.size(aliases) <= 25) & F.forall(aliases, lambda a: F.char_length(strip(a)).between(1, 150))
     return (
         F.coalesce(target_id.rlike(id_pattern), F.lit(False)) & _between(title, 2, 150) & _between(description, 10, 4000)
         & F.coalesce(names, F.lit(False))
@@ -36,14 +37,41 @@ def unknown_keys(raw: Column, allowed: list[str]) -> Column:
     return F.array_except(F.json_object_keys(raw), F.array(*[F.lit(k) for k in allowed]))
 
 
+#: Keys that a submission's body, and an edit's proposed data, may have.
+SUGGESTION_KEYS = ["parentNodeId", "title", "description"]
+EDIT_KEYS = ["targetNodeId", "proposedData"]
+PROPOSED_KEYS = ["title", "description", "aliases"]
+
+
+def _strict(rows: DataFrame, edit: bool = False) -> Column:
+    """Whether the body (column ``raw``, where there is one) is an object
+    without keys beyond the known ones."""
+    if "raw" not in rows.columns:
+        return F.lit(True)
+    raw = F.col("raw")
+    fine = F.size(unknown_keys(raw, EDIT_KEYS if edit else SUGGESTION_KEYS)) == 0
+    if edit:
+        fine = fine & (F.size(unknown_keys(F.get_json_object(raw, "$.proposedData"), PROPOSED_KEYS)) == 0)
+    return F.coalesce(fine, F.lit(False))
+
+
+def after_sink(decided: DataFrame, failed: DataFrame) -> DataFrame:
+    """``decided`` (req_id, status, ...) once the accepted ones were written:
+    those that the sink refused (``failed``: req_id) end as 500."""
+    lost = failed.select("req_id").distinct().withColumn("lost", F.lit(True))
+    status = F.when((F.col("status") == 200) & F.col("lost"), 500).otherwise(F.col("status"))
+    return decided.join(lost, "req_id", "left").withColumn("status", status).drop("lost")
+
+
 def decide_suggestions(rows: DataFrame, nodes: DataFrame, edges: DataFrame, id_pattern: str = STABLE_ID) -> DataFrame:
-    """``rows`` (req_id, allowed, well_formed, parent_id, title, description)
-    with the status that each gets, first reason first."""
+    """``rows`` (req_id, allowed, well_formed, parent_id, title, description,
+    and raw, the body's text, if unknown keys are to be refused) with the
+    status that each gets, first reason first."""
     known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     twin = graph.has_child_title(rows.select("req_id", "parent_id", "title"), nodes, edges).select("req_id", F.lit(True).alias("twin"))
     ok = valid_suggestion(F.col("parent_id"), F.col("title"), F.col("description"), id_pattern)
     status = (
-        F.when(~F.col("allowed"), 429).when(~F.col("well_formed"), 400).when(~ok, 400)
+        F.when(~F.col("allowed"), 429).when(~F.col("well_formed"), 400).when(~(ok & _strict(rows)), 400)
         .when(F.col("known").isNull(), 400).when(F.col("twin").isNotNull(), 409).otherwise(200)
     )
     return rows.join(known, "parent_id", "left").join(twin, "req_id", "left").select("req_id", status.alias("status"))
@@ -52,25 +80,28 @@ def decide_suggestions(rows: DataFrame, nodes: DataFrame, edges: DataFrame, id_p
 def accepted_suggestions(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """Moderation rows of the accepted ones."""
     return rows.join(decided.filter("status = 200").select("req_id"), "req_id", "left_semi").select(
-        F.col("parent_id").alias("parent_node_id"), F.trim("title").alias("suggested_name"),
-        F.trim("description").alias("suggested_description"), F.lit("pending_review").alias("status"),
+        F.col("parent_id").alias("parent_node_id"), strip("title").alias("suggested_name"),
+        strip("description").alias("suggested_description"), F.lit("pending_review").alias("status"),
     )
 
 
 def decide_edits(rows: DataFrame, nodes: DataFrame, id_pattern: str = STABLE_ID) -> DataFrame:
     """``rows`` (req_id, allowed, well_formed, target_id, title, description,
-    aliases) against ``nodes`` (id, title, description, aliases)."""
+    aliases, and raw as for suggestions) against ``nodes`` (id, title,
+    description, aliases): the status, and for accepted ones the ``original``
+    that goes into the moderation row beside the proposal."""
     old = nodes.select(F.col("id").alias("target_id"), F.struct("title", "description", "aliases").alias("original"))
     ok = valid_edit(F.col("target_id"), F.col("title"), F.col("description"), F.col("aliases"), id_pattern)
     proposed = F.struct(
-        F.trim("title").alias("title"), F.trim("description").alias("description"),
-        F.transform("aliases", lambda x: F.trim(x)).alias("aliases"),
+        strip("title").alias("title"), strip("description").alias("description"),
+        F.transform("aliases", strip).alias("aliases"),
     )
     status = (
-        F.when(~F.col("allowed"), 429).when(~F.col("well_formed"), 400).when(~ok, 400)
+        F.when(~F.col("allowed"), 429).when(~F.col("well_formed"), 400).when(~(ok & _strict(rows, edit=True)), 400)
         .when(F.col("original").isNull(), 400).when(F.col("original").eqNullSafe(proposed), 409).otherwise(200)
     )
-    return rows.join(old, "target_id", "left").select("req_id", status.alias("status"))
+    out = rows.join(old, "target_id", "left").select("req_id", status.alias("status"), "original")
+    return out.withColumn("original", F.when(F.col("status") == 200, F.col("original")))
 
 
 class Limiter:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, dot
+from ..runtime import materialize
 
 SHORTLIST = 3
 NEIGHBOURS = 5
@@ -51,74 +54,155 @@ def new_aliases(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-BLOCK = 4096
-_PACKED = "grp string, block int, ids array<string>, pos array<long>, matrix binary"
+BLOCK = 1024
+#: Random planes by whose sides vectors are dealt to blocks.
+PLANES = 16
+_PACKED = "grp string, block long, ids array<string>, pos array<long>, matrix binary, centre array<double>, radius double"
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Unit vectors packed in blocks of about ``block`` rows of one group."""
+def _planes(dims: int) -> np.ndarray:
+    return np.random.default_rng(dims).standard_normal((dims, PLANES))
+
+
+def _unit(vectors) -> np.ndarray:
+    m = np.stack(list(vectors)).astype(np.float64)
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+@F.pandas_udf(T.LongType())
+def _side(vectors: pd.Series) -> pd.Series:
+    """One bit for each plane a vector is above: near ones share most."""
+    out = np.empty(len(vectors), dtype=np.int64)
+    sizes = vectors.map(len).to_numpy()
+    for dims in np.unique(sizes):
+        at = sizes == dims
+        above = _unit(vectors[at]) @ _planes(dims) > 0
+        out[at] = above @ (1 << np.arange(PLANES)[::-1])
+    return pd.Series(out)
+
+
+def packed_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (grp, id, pos, vec) as blocks of about ``block`` unit vectors
+    of one group, each with its centre and the angle round it that holds all
+    of its vectors.  A block is a cell of as many leading planes as the group
+    needs; crowded cells are dealt on by hash."""
+    sided = rows.withColumn("side", _side("vec"))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    dealt = rows.join(sizes, "grp").select(
-        "grp", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).cast("int").alias("block"), "id", "pos", "vec"
-    )
+    bits = F.least(F.lit(PLANES), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block)).cast("int")))
+    celled = sided.join(sizes, "grp").withColumn("cell", F.floor(F.col("side") / F.pow(F.lit(2.0), F.lit(PLANES) - bits)).cast("long"))
+    crowd = celled.groupBy("grp", "cell").agg(F.count("*").alias("in_cell"))
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("in_cell") / block)).cast("long")
+    dealt = celled.join(crowd, ["grp", "cell"]).select("grp", (F.col("cell") * (1 << 40) + salt).alias("block"), "id", "pos", "vec")
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(frame["vec"].to_numpy()).astype(np.float64)
-        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-        return pd.DataFrame({"grp": [key[0]], "block": [key[1]], "ids": [frame["id"].tolist()], "pos": [frame["pos"].tolist()], "matrix": [m.tobytes()]})
+        m = _unit(frame["vec"])
+        centre = m.mean(axis=0)
+        length = np.sqrt(centre @ centre)
+        centre = centre / length if length > 0 else centre
+        # A vector without length has cosine 0 with all: a quarter turn covers it.
+        radius = float(np.arccos(np.clip(m @ centre, -1, 1)).max()) if length > 0 else np.pi
+        return pd.DataFrame({"grp": [key[0]], "block": [key[1]], "ids": [frame["id"].tolist()], "pos": [frame["pos"].tolist()],
+                             "matrix": [m.tobytes()], "centre": [centre.tolist()], "radius": [radius + 1e-9]})
 
     return dealt.groupBy("grp", "block").applyInPandas(pack, _PACKED)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, same_type: bool = True, block: int = BLOCK) -> DataFrame:
+def _grouped(df: DataFrame, position: Column, same_type: bool) -> DataFrame:
+    """(grp, id, pos, vec): groups of one type, or of all, and one length."""
+    kind = F.coalesce(F.col("type"), F.lit("")) if same_type else F.lit("")
+    return df.filter("vec IS NOT NULL AND id IS NOT NULL").select(
+        F.concat(kind, F.lit("/"), F.size("vec").cast("string")).alias("grp"), F.col("id").cast("string").alias("id"), position.cast("long").alias("pos"), "vec"
+    )
+
+
+def _scores(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best of one block of vectors for each query of one block."""
+    for batch in batches:
+        for row in batch.itertuples():
+            ids, pos = np.array(list(row.ids), dtype=object), np.array(list(row.pos), dtype=np.int64)
+            order = np.argsort(pos, kind="stable")
+            ids, pos = ids[order], pos[order]
+            m = np.frombuffer(row.matrix).reshape(len(ids), -1)[order]
+            place = {x: i for i, x in enumerate(ids)}
+            q_ids = np.array(list(row.q_ids), dtype=object)
+            q = np.frombuffer(row.q_matrix).reshape(len(q_ids), -1)
+            for low in range(0, len(q_ids), 512):
+                part = q_ids[low : low + 512]
+                scores = np.round(q[low : low + 512] @ m.T, 12)
+                for i, x in enumerate(part):
+                    if x in place:
+                        scores[i, place[x]] = -np.inf
+                n = min(k, len(ids))
+                # All that reach the nth best, then the first of equal ones.
+                least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+                at, col = np.nonzero((scores >= least) & np.isfinite(scores))
+                s = scores[at, col]
+                by = np.lexsort((col, -s, at))
+                at, col, s = at[by], col[by], s[by]
+                kept = np.arange(len(at)) - np.searchsorted(at, at) < n
+                yield pd.DataFrame({"q_block": row.q_block, "q_id": part[at[kept]], "id": ids[col[kept]], "pos": pos[col[kept]], "score": s[kept]})
+
+
+_SCORED = "q_block long, q_id string, id string, pos long, score double"
+
+
+def nearest_blocks(left: DataFrame, right: DataFrame, k: int, stats: dict | None = None) -> DataFrame:
+    """(q_id, id, pos, score, rank) of the blocks of queries ``left`` against
+    the blocks ``right``, both written tables of ``packed_blocks``.
+
+    The schedule pairs block heads (centre and angle) alone; every pair is a
+    row of its own, so one group spreads over all tasks.  First each block of
+    queries meets the block whose centre is nearest.  What that gives is a
+    floor under its queries' k-th best scores, and of the other pairs only
+    those are scored whose vectors could reach it.  ``stats`` gets the number
+    of pairs and of those scored."""
+    head = lambda df, s: df.select("grp", F.col("block").alias(f"{s}block"), F.col("centre").alias(f"{s}centre"), F.col("radius").alias(f"{s}radius"))
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot("q_centre", "d_centre"))))
+    apart = F.greatest(F.lit(0.0), angle - F.col("q_radius") - F.col("d_radius"))
+    pairs = head(left, "q_").join(head(right, "d_"), "grp").select("grp", "q_block", "d_block", F.cos(F.least(apart, F.lit(math.pi))).alias("bound"), angle.alias("angle"))
+    pairs = materialize(pairs, "block-pairs")
+    queries = left.select("grp", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    vectors = right.select("grp", F.col("block").alias("d_block"), "ids", "pos", "matrix")
+
+    def met(schedule: DataFrame) -> DataFrame:
+        columns = ["q_block", "q_ids", "q_matrix", "ids", "pos", "matrix"]
+        spread = schedule.select("grp", "q_block", "d_block").join(queries, ["grp", "q_block"]).join(vectors, ["grp", "d_block"])
+        return spread.repartition("grp", "q_block", "d_block").select("grp", *columns).mapInPandas(
+            lambda batches: _scores(batches, k), _SCORED
+        )
+
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("grp", "q_block").orderBy("angle", "d_block"))).filter("r = 1")
+    opening = materialize(met(first), "opening")
+    # Without k scores yet, a query's floor is below everything.
+    floors = left.select("block", F.explode("ids").alias("q_id")).join(
+        opening.groupBy("q_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")), "q_id", "left"
+    ).groupBy(F.col("block").alias("q_block")).agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-2.0))).alias("floor"))
+    rest = pairs.join(first.select("grp", "q_block", "d_block"), ["grp", "q_block", "d_block"], "left_anti").join(floors, "q_block").filter(F.col("bound") >= F.col("floor") - 1e-9)
+    rest = materialize(rest, "block-rest")
+    if stats is not None:
+        stats |= {"pairs": pairs.count(), "scored": left.count() + rest.count()}
+    both = opening.unionByName(met(rest))
+    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "pos")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("q_block")
+
+
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, same_type: bool = True, block: int = BLOCK, stats: dict | None = None
+) -> DataFrame:
     """(q_id, id, score, rank): the k most similar other vectors of each
     query; ties by position.  Both sides (id, type, vec, pos); scores are
     compared to twelve decimals.
 
     Vectors are brought to length one once and packed in blocks of one type
-    (of any type for a stated set of queries); blocks of queries meet blocks
-    of vectors by type, are scored by one matrix product, and only the k best
-    of each meeting move on."""
-    wanted = F.concat(F.coalesce(F.col("type"), F.lit("")) if same_type else F.lit(""), F.lit("/"), F.size("vec").cast("string"))
-    packed = lambda df, position: _blocks(
-        df.filter("vec IS NOT NULL AND id IS NOT NULL").select(wanted.alias("grp"), F.col("id").cast("string").alias("id"), position.cast("long").alias("pos"), "vec"), block
-    )
-    left = packed(queries, F.lit(0)).select("grp", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    met = left.join(packed(vectors, F.col("pos")).select("grp", "ids", "pos", "matrix"), "grp")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                ids, pos = np.array(list(row.ids), dtype=object), np.array(list(row.pos), dtype=np.int64)
-                order = np.argsort(pos, kind="stable")
-                ids = ids[order]
-                m = np.frombuffer(row.matrix).reshape(len(ids), -1)[order]
-                place = {x: i for i, x in enumerate(ids)}
-                q_ids = list(row.q_ids)
-                q = np.frombuffer(row.q_matrix).reshape(len(q_ids), -1)
-                for low in range(0, len(q_ids), 512):
-                    part = q_ids[low : low + 512]
-                    scores = np.round(q[low : low + 512] @ m.T, 12)
-                    for i, x in enumerate(part):
-                        if x in place:
-                            scores[i, place[x]] = -np.inf
-                    n = min(k, len(ids))
-                    # All that reach the nth best, then the first of equal ones.
-                    least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-                    at, col = np.nonzero((scores >= least) & np.isfinite(scores))
-                    s = scores[at, col]
-                    by = np.lexsort((col, -s, at))
-                    at, col, s = at[by], col[by], s[by]
-                    rank = np.arange(len(at)) - np.searchsorted(at, at)
-                    kept = rank < n
-                    yield pd.DataFrame(
-                        {"q_id": np.array(part, dtype=object)[at[kept]], "id": ids[col[kept]], "pos": pos[order][col[kept]], "score": s[kept]}
-                    )
-
-    scored = met.mapInPandas(best, "q_id string, id string, pos long, score double")
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    (of any type for a stated set of queries); ``nearest_blocks`` leaves out
+    pairs of blocks that cannot hold a neighbour."""
+    left = materialize(packed_blocks(_grouped(queries, F.lit(0), same_type), block), "query-blocks")
+    right = materialize(packed_blocks(_grouped(vectors, F.col("pos"), same_type), block), "blocks")
+    # Blocks of two groups may share a number.
+    named = lambda df: df.withColumn("block", F.xxhash64("grp", "block"))
+    found = nearest_blocks(named(left), named(right), k, stats)
+    return found.select(
         F.col("q_id").cast(queries.schema["id"].dataType).alias("q_id"), F.col("id").cast(vectors.schema["id"].dataType).alias("id"), "score", "rank"
     )
 
@@ -169,9 +253,9 @@ def resolve(
     near duplicates within one batch are not seen."""
     cleaned = text.clean_title("title")
     cases = candidates.select(
-        "case_id", "type", "vec", F.col("title").alias("given"), text.looks_aggregate("title").alias("aggregate"),
+        "case_id", "type", "vec", F.col("title").alias("given"), text.looks_aggregate(text.collapse("title")).alias("aggregate"),
         F.contains("title", F.lit("|")).alias("piped"),
-        F.when(text.is_bare_generic("title") & F.col("parent_title").isNotNull(),
+        F.when(text.is_bare_generic(cleaned) & F.col("parent_title").isNotNull(),
                text.qualified_title(cleaned, "parent_title")).otherwise(cleaned).alias("title"),
     )
     gated = exact_gate(cases, alias_index(nodes)).withColumn("norm", text.normalize_title("title"))

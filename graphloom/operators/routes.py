@@ -33,6 +33,9 @@ MAX_ROUTES = 10
 #: Preference of routes: fewer niche edges, fewer lateral ones, shorter, ids.
 ORDER = ("niche", "sideways", "hops", "path")
 COST = ("niche", "sideways", "hops")
+#: Components of up to so many nodes have few enough sets of nodes behind a
+#: route for dominance alone; bounds are looked for only beyond.
+SMALL = 8
 
 
 def _cost() -> Column:
@@ -168,14 +171,19 @@ def best_routes(edges: DataFrame, root: str, k: int = MAX_ROUTES, max_depth: int
     budget would, and long routes may be missing.  No edges give the root
     alone; parallel edges count as the cheapest of them."""
     hops = _hops(edges, root)
-    first = _beam(hops, root, k, max_depth)
-    hops = materialize(hops.join(_dead(first, hops, root), ["target", "next"], "left_anti"), "hops")
-    allowed = _bounds(first, hops, k, max_depth)
+    ends = hops.filter("from_c = to_c").select(F.explode(F.array("target", "next")).alias("id"), "from_c").distinct()
+    allowed = None
+    if not ends.groupBy("from_c").count().filter(F.col("count") > SMALL).isEmpty():
+        first = _beam(hops, root, k, max_depth)
+        hops = materialize(hops.join(_dead(first, hops, root), ["target", "next"], "left_anti"), "hops")
+        allowed = _bounds(first, hops, k, max_depth)
     level = _start(edges.sparkSession, root)
     found, states = level, 1
     kept = level.select("target", F.array_sort("ring").alias("ring"), *COST, "nodes")
     for _ in range(max_depth):
-        grown = _grown(level, hops).join(allowed, "target").filter(F.col("open") | (_cost() <= F.col("allowed"))).drop("allowed", "open")
+        grown = _grown(level, hops)
+        if allowed is not None:
+            grown = grown.join(allowed, "target").filter(F.col("open") | (_cost() <= F.col("allowed"))).drop("allowed", "open")
         fresh = _best(grown.withColumn("sorted", F.array_sort("ring")), k, "target", "sorted")
         # Against those of lower levels with the same ring: all no longer.
         both = fresh.withColumn("new", F.lit(True)).unionByName(

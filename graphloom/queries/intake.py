@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
 from ..operators import intake
 from ..plans import star
 from ..plans.star import oracle
@@ -24,18 +25,23 @@ def query(sql: str | None = None):
     return add
 
 
+#: The oracle's word for trimmed: all white space, not blanks alone.
+def sql_strip(c: str) -> str:
+    return f"regexp_replace({c}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+
+
 STAR_ID = r"^(?:region|nation|supplier):[0-9]+$"
 #: Three calls in two days: the events are sparse.
 LIMIT, SPAN_MS = 3, 2 * 86_400_000
 
-SUBMITTED = """q AS (SELECT conv_id * 1000 + turn AS req_id, turn < 6 AS allowed, role <> 'system' AS well_formed,
+SUBMITTED = f"""q AS (SELECT conv_id * 1000 + turn AS req_id, turn < 6 AS allowed, role <> 'system' AS well_formed,
   CASE WHEN conv_id % 4 = 0 THEN 'bad id' ELSE 'nation:' || (conv_id % 30) END AS parent_id,
-  CASE WHEN conv_id % 3 = 0 THEN ' customer_' || conv_id ELSE substr(text, 1, 100) END AS title, text AS description FROM conversations),
+  CASE WHEN conv_id % 3 = 0 THEN chr(9) || 'customer_' || conv_id || chr(10) WHEN conv_id % 5 = 0 THEN chr(10) || chr(13) || chr(10) || 'abc' || chr(9) ELSE substr(text, 1, 100) END AS title, text AS description, conv_id % 11 = 0 AS odd_key, conv_id % 7 = 0 AS refused FROM conversations),
 dec AS (SELECT req_id, CAST(CASE WHEN NOT allowed THEN 429 WHEN NOT well_formed THEN 400
-  WHEN NOT (regexp_matches(parent_id, '^(?:region|nation|supplier):[0-9]+$') AND length(trim(title)) BETWEEN 5 AND 100 AND length(trim(description)) BETWEEN 10 AND 1000) THEN 400
+  WHEN odd_key OR NOT (regexp_matches(parent_id, '^(?:region|nation|supplier):[0-9]+$') AND length({sql_strip('title')}) BETWEEN 5 AND 100 AND length({sql_strip('description')}) BETWEEN 10 AND 1000) THEN 400
   WHEN parent_id NOT IN (SELECT id FROM star_nodes) THEN 400
-  WHEN EXISTS (SELECT 1 FROM star_edges e JOIN star_nodes n ON n.id = e.to_id WHERE e.from_id = q.parent_id AND (lower(trim(n.title)) = lower(trim(q.title)) OR lower(trim(q.title)) = lower(trim(n.aliases[1])))) THEN 409
-  ELSE 200 END AS INTEGER) AS status FROM q)"""
+  WHEN EXISTS (SELECT 1 FROM star_edges e JOIN star_nodes n ON n.id = e.to_id WHERE e.from_id = q.parent_id AND (lower({sql_strip('n.title')}) = lower({sql_strip('q.title')}) OR lower({sql_strip('q.title')}) = lower({sql_strip('n.aliases[1]')}))) THEN 409
+  WHEN refused THEN 500 ELSE 200 END AS INTEGER) AS status FROM q)"""
 
 
 def _submissions(spark, sf_dir):
@@ -43,12 +49,16 @@ def _submissions(spark, sf_dir):
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), (F.col("turn") < 6).alias("allowed"), (F.col("role") != "system").alias("well_formed"),
         F.when(F.col("conv_id") % 4 == 0, "bad id").otherwise(F.concat(F.lit("nation:"), (F.col("conv_id") % 30).cast("string"))).alias("parent_id"),
-        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(" customer_"), F.col("conv_id").cast("string"))).otherwise(F.substring("text", 1, 100)).alias("title"),
-        F.col("text").alias("description"))
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("\tcustomer_"), F.col("conv_id").cast("string"), F.lit("\n")))
+        .when(F.col("conv_id") % 5 == 0, "\n\r\nabc\t").otherwise(F.substring("text", 1, 100)).alias("title"),
+        F.col("text").alias("description"),
+        F.when(F.col("conv_id") % 11 == 0, '{"parentNodeId": 1, "title": 2, "note": 3}').otherwise('{"parentNodeId": 1, "title": 2, "description": 3}').alias("raw"))
 
 
 def _decided(spark, sf_dir):
-    return intake.decide_suggestions(_submissions(spark, sf_dir), star.nodes(spark, sf_dir), star.edges(spark, sf_dir), STAR_ID)
+    rows = _submissions(spark, sf_dir)
+    decided = intake.decide_suggestions(rows, star.nodes(spark, sf_dir), star.edges(spark, sf_dir), STAR_ID)
+    return intake.after_sink(decided, rows.filter("req_id div 1000 % 7 = 0"))
 
 
 @query(oracle("SELECT req_id, status FROM dec", SUBMITTED))
@@ -62,10 +72,11 @@ def moderation_counts(spark, sf_dir):
     return rows.groupBy("parent_node_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS req_id, p_name, 'job_role:part-' || CASE WHEN p_size % 9 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS target_id,
-  CASE WHEN p_size % 4 = 0 THEN ' ' || p_name ELSE p_name || ' new' END AS title, p_size % 13 <> 0 AS allowed FROM part)
-SELECT req_id, CAST(CASE WHEN NOT allowed THEN 429 WHEN length(trim(title)) NOT BETWEEN 2 AND 150 THEN 400
-  WHEN target_id NOT IN (SELECT 'job_role:part-' || p_partkey FROM part) THEN 400 WHEN trim(title) = p_name THEN 409 ELSE 200 END AS INTEGER) AS status FROM e""")
+@query(f"""WITH e AS (SELECT p_partkey AS req_id, p_name, 'job_role:part-' || CASE WHEN p_size % 9 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS target_id,
+  CASE WHEN p_size % 4 = 0 THEN chr(9) || p_name || chr(10) ELSE p_name || ' new' END AS title, p_size % 13 <> 0 AS allowed, p_size % 12 = 5 AS odd_key, p_brand FROM part), d AS (
+SELECT req_id, CAST(CASE WHEN NOT allowed THEN 429 WHEN odd_key OR length({sql_strip('title')}) NOT BETWEEN 2 AND 150 THEN 400
+  WHEN target_id NOT IN (SELECT 'job_role:part-' || p_partkey FROM part) THEN 400 WHEN {sql_strip('title')} = p_name THEN 409 ELSE 200 END AS INTEGER) AS status, p_name, p_brand FROM e)
+SELECT req_id, status, CASE WHEN status = 200 THEN p_name || ' / ' || p_brand END AS original FROM d""")
 def edit_decisions(spark, sf_dir):
     """An edit for each part; some change nothing, some miss their target."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -75,9 +86,11 @@ def edit_decisions(spark, sf_dir):
     nodes = p.select(slug(F.col("p_partkey")).alias("id"), F.col("p_name").alias("title"), about.alias("description"), names.alias("aliases"))
     rows = p.select(
         F.col("p_partkey").alias("req_id"), (F.col("p_size") % 13 != 0).alias("allowed"), F.lit(True).alias("well_formed"), slug(target).alias("target_id"),
-        F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.concat("p_name", F.lit(" new"))).alias("title"),
-        about.alias("description"), names.alias("aliases"))
-    return intake.decide_edits(rows, nodes)
+        F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("\t"), "p_name", F.lit("\n"))).otherwise(F.concat("p_name", F.lit(" new"))).alias("title"),
+        about.alias("description"), names.alias("aliases"),
+        F.when(F.col("p_size") % 12 == 5, '{"targetNodeId": 1, "proposedData": {"title": 1, "id": 2}}').otherwise('{"targetNodeId": 1, "proposedData": {"title": 1, "aliases": []}}').alias("raw"))
+    was = F.concat("original.title", F.lit(" / "), F.array_join("original.aliases", ","))
+    return intake.decide_edits(rows, nodes).select("req_id", "status", was.alias("original"))
 
 
 RATE = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),

@@ -75,12 +75,12 @@ def exact_gate(spark, sf_dir):
 #: Registry: vectors with an odd id, named after their label; cases: the
 #: even ones, some with a known title, some aggregates, the rest new.
 CASE_TITLE = """CASE WHEN vec_id % 6 = 0 THEN 'VECTOR  ' || (vec_id + 1) || '!' WHEN vec_id % 10 = 4 THEN 'First long title ' || vec_id || ' | second long title'
-  WHEN vec_id % 10 = 8 THEN 'Short ' || vec_id || ' | x' ELSE 'Model ' || vec_id END"""
+  WHEN vec_id % 10 = 8 THEN 'Short ' || vec_id || '  |' || chr(9) || ' x ' ELSE 'Model ' || vec_id END"""
 
 
 @query(f"""WITH {VEC}, reg AS (SELECT 'label' || label || ':' || vec_id AS id, 'label' || label AS type, 'Vector ' || vec_id AS title, vec_id, e FROM v WHERE vec_id % 2 = 1),
 c0 AS (SELECT vec_id AS case_id, 'label' || label AS type, e, {CASE_TITLE} AS given FROM v WHERE vec_id % 2 = 0),
-c AS (SELECT *, trim(regexp_replace(replace(given, '|', '/'), '\\s+', ' ', 'g')) AS title, contains(given, '|') AS piped, given LIKE 'First long%' AS agg FROM c0),
+c AS (SELECT *, regexp_replace(trim(regexp_replace(given, '\\s+', ' ', 'g')), ' *\\| *', '/', 'g') AS title, contains(given, '|') AS piped, given LIKE 'First long%' AS agg FROM c0),
 g AS (SELECT c.*, reg.id AS matched FROM c LEFT JOIN reg ON reg.type = c.type AND {sql_norm('reg.title')} = {sql_norm('c.title')}),
 near AS (SELECT g.case_id, reg.id, list_cosine_similarity(g.e, reg.e) AS s, row_number() OVER (PARTITION BY g.case_id ORDER BY list_cosine_similarity(g.e, reg.e) DESC, reg.vec_id) AS k
   FROM g JOIN reg ON reg.type = g.type WHERE NOT agg AND matched IS NULL),

@@ -65,7 +65,7 @@ def aggregate_titles(spark, sf_dir):
 
 
 @query(f"""SELECT p_partkey, {sql_norm('word')} IN ({', '.join(f"'{g}'" for g in BARE_GENERICS)}) AS generic,
-  regexp_replace(word, '\\.+$', '') || ' in ' || trim(regexp_replace(p_type, '\\([^)]*\\)', '', 'g')) AS qualified
+  regexp_replace(word, '\\.+$', '') || ' in ' || trim(regexp_replace(p_type, ' *\\([^)]*\\)', '', 'g')) AS qualified
 FROM (SELECT p_partkey, p_type, {WORD.replace('p_name', 'part.p_name')} AS word FROM part)""")
 def generic_titles(spark, sf_dir):
     return _parts(spark, sf_dir).select(

@@ -174,6 +174,26 @@ def test_neighbours_equal_brute_force_in_small_blocks(spark):
         assert got.get(q, []) == [i for _, _, i in sorted(scored)[:4]]
 
 
+def test_blocks_that_cannot_hold_a_neighbour_are_left_out(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 16))
+    rows = [(f"n{i}", "t", (centres[i % 12] + 0.02 * rng.standard_normal(16)).tolist(), i) for i in range(720)]
+    v = spark.createDataFrame(rows, "id string, type string, vec array<double>, pos long").repartition(3)
+    stats = {}
+    got = {}
+    for r in resolve.nearest(v, v, 3, block=20, stats=stats).orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append(r.id)
+    m = np.array([r[2] for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    scores = m @ m.T
+    np.fill_diagonal(scores, -2)
+    for i, best in enumerate(np.argsort(-scores, axis=1, kind="stable")[:, :3]):
+        assert set(got[f"n{i}"]) == {f"n{j}" for j in best}
+    assert stats["pairs"] > 1000 and stats["scored"] < 0.5 * stats["pairs"]
+
+
 def test_rubric_section_and_frontier(spark, tmp_path):
     from graphloom.functions import pages
 
