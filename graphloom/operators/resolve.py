@@ -305,6 +305,78 @@ def resolve(
     )
 
 
+def _meets(candidates: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(case_id, last): for each candidate the latest earlier one of its type
+    that could change its result if it was minted: one of the same normalised
+    title, or one at least as near as the candidate's fifth registry vector.
+
+    Pairs are looked at in blocks; a row a candidate and block comes out."""
+    cases = candidates.withColumn("order", F.col("case_id").cast("long"))
+    near = nearest(cases.select(F.col("order").alias("id"), "type", "vec"), vectors.withColumn("id", F.col("id").cast("string")), NEIGHBOURS, block=block)
+    floor = near.groupBy(F.col("q_id").alias("order")).agg(F.when(F.count("*") >= NEIGHBOURS, F.min("score")).alias("floor"))
+    floored = cases.filter("vec IS NOT NULL").join(floor, "order", "left").select(
+        F.concat("type", F.lit("/"), F.size("vec").cast("string")).alias("grp"), F.col("order").alias("id"), F.coalesce("floor", F.lit(-2.0)).alias("floor"), "vec")
+    sizes = floored.groupBy("grp").agg(F.count("*").alias("n"))
+    dealt = floored.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grp": [key[0]], "block": [key[1]], "ids": [frame["id"].tolist()], "floors": [frame["floor"].tolist()], "matrix": [_unit(frame["vec"]).tobytes()]})
+
+    packed = materialize(dealt.groupBy("grp", "block").applyInPandas(pack, "grp string, block long, ids array<long>, floors array<double>, matrix binary"), "case-blocks")
+    other = packed.select("grp", F.col("block").alias("o_block"), F.col("ids").alias("o_ids"), F.col("matrix").alias("o_matrix"))
+
+    def latest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ids, others = np.array(list(row.ids)), np.array(list(row.o_ids))
+                m, o = np.frombuffer(row.matrix).reshape(len(ids), -1), np.frombuffer(row.o_matrix).reshape(len(others), -1)
+                may = (np.round(m @ o.T, 12) >= np.array(list(row.floors))[:, None]) & (others[None] < ids[:, None])
+                last = np.where(may, others[None], -1).max(axis=1)
+                yield pd.DataFrame({"case_id": ids[last >= 0], "last": last[last >= 0]})
+
+    pairs = packed.select("grp", "block").join(other.select("grp", "o_block"), "grp")
+    met = pairs.join(packed, ["grp", "block"]).join(other, ["grp", "o_block"]).repartition("grp", "block", "o_block").drop("grp", "block", "o_block")
+    by_vector = met.mapInPandas(latest, "case_id long, last long")
+    twins = cases.withColumn("norm", text.normalize_title("title")).select(
+        F.col("order").alias("case_id"), F.lag("order").over(Window.partitionBy("type", "norm").orderBy("order")).alias("last")
+    ).filter("last IS NOT NULL")
+    return by_vector.unionByName(twins).groupBy("case_id").agg(F.max("last").alias("last"))
+
+
+def resolve_in_order(
+    candidates: DataFrame, nodes: DataFrame, vectors: DataFrame, judge: Callable[[DataFrame], DataFrame], band: float = DEFAULT_BAND
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What resolving ``candidates`` one after another (whole, not negative
+    ``case_id``, ascending) gives, each against the registry with all that was
+    minted before it: (decisions, nodes, vectors) of which the last two have
+    grown.  ``nodes`` (id, type, title, aliases, pos), ``vectors`` (id, type,
+    vec, pos); columns beyond these are left out.
+
+    Runs of candidates that cannot change each other's results are resolved
+    together, so near duplicates of one batch meet.  A run ends where a
+    candidate could be changed by one inside it."""
+    cases = materialize(candidates.withColumn("case_id", F.col("case_id").cast("long")), "cases")
+    meets = materialize(cases.select("case_id").join(_meets(cases, vectors), "case_id", "left"), "meets")
+    nodes = nodes.select("id", "type", "title", "aliases", F.col("pos").cast("long").alias("pos"))
+    vectors = vectors.select("id", "type", "vec", F.col("pos").cast("long").alias("pos"))
+    top = nodes.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
+    decisions, low = None, cases.agg(F.min("case_id")).first()[0]
+    while low is not None:
+        high = meets.filter((F.col("case_id") > low) & (F.col("last") >= low)).agg(F.min("case_id")).first()[0]
+        run = cases.filter(F.col("case_id") >= low)
+        run = run if high is None else run.filter(F.col("case_id") < high)
+        decided = materialize(resolve(run, nodes, vectors, judge, band), "decided")
+        minted = decided.filter("action = 'minted'").select(
+            F.col("node_id").alias("id"), "type", "title", F.array().cast("array<string>").alias("aliases"), (F.col("case_id") + (top + 1)).alias("pos"))
+        vectors = materialize(grown_vectors(vectors, decided, run.select("case_id", "type", "vec")), "vectors")
+        nodes = materialize(nodes.unionByName(minted), "nodes")
+        decisions = decided if decisions is None else decisions.unionByName(decided)
+        low = high
+    if decisions is None:
+        decisions = resolve(cases, nodes, vectors, judge, band)
+    return decisions, nodes, vectors
+
+
 def ledger(decided: DataFrame, day: str, judge_model: str) -> DataFrame:
     """One row of the decision ledger for each case that ``resolve`` decided;
     the judge and what it saw only where one was asked."""

@@ -12,7 +12,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 STOP_AFTER = 5
 
@@ -47,25 +48,57 @@ def call(
 
 
 def answers(
-    requests: DataFrame, service: Callable[[str], str], check: Callable[[str], str | None] = lambda _: None,
-    stop_after: int = STOP_AFTER, **options,
+    requests: DataFrame, service: Callable[[str], str | tuple[str, int]], check: Callable[[str], str | None] = lambda _: None,
+    stop_after: int = STOP_AFTER, observation: Observation | None = None, **options,
 ) -> DataFrame:
-    """(key, answer, error) for ``requests`` (key, request): a failed row keeps
-    its error and can be asked again; ``stop_after`` failures in a row abort."""
+    """(key, answer, error, calls, tokens) for ``requests`` (key, request): a
+    failed row keeps its error and can be asked again; ``stop_after`` failures
+    in a row abort.
+
+    A service that counts tokens returns (answer, tokens); all calls of a row
+    count, refused answers included.  ``observation`` gets the job's calls,
+    tokens and failures when it has run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failures = 0
         for batch in batches:
             rows = []
             for key, request in zip(batch["key"], batch["request"]):
+                used = [0, 0]
+
+                def counted(text: str) -> str:
+                    used[0] += 1
+                    got = service(text)
+                    answer, tokens = got if isinstance(got, tuple) else (got, 0)
+                    used[1] += tokens
+                    return answer
+
                 try:
-                    rows.append((key, call(request, service, check, **options), None))
+                    rows.append((key, call(request, counted, check, **options), None, *used))
                     failures = 0
                 except Exception as error:  # noqa: BLE001 - whatever the service raises is the row's error
-                    rows.append((key, None, str(error)))
+                    rows.append((key, None, str(error), *used))
                     failures += 1
                     if failures >= stop_after:
                         raise ServiceDown(f"{failures} failures in a row, the last: {error}") from error
-            yield pd.DataFrame(rows, columns=["key", "answer", "error"])
+            yield pd.DataFrame(rows, columns=["key", "answer", "error", "calls", "tokens"])
+
+    out = requests.select("key", "request").mapInPandas(run, "key string, answer string, error string, calls long, tokens long")
+    if observation is not None:
+        out = out.observe(observation, F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.count("error").alias("failures"))
+    return out
+
+
+def usage_rows(answered: DataFrame, provider: str, model: str, prompt_version: str) -> DataFrame:
+    """One row of the usage ledger for each row that was answered."""
+    return answered.filter("error IS NULL").select(
+        "key", F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), F.col("tokens").alias("usage_tokens")
+    )
+
 
-    return requests.select("key", "request").mapInPandas(run, "key string, answer string, error string")
+def usage_rollup(ledger: DataFrame, *by: str) -> DataFrame:
+    """Rows and tokens of the ledger by provider, model and prompt version, or
+    by the columns named."""
+    return ledger.groupBy(*(by or ("provider", "model", "prompt_version"))).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("usage_tokens"), F.lit(0)).alias("usage_tokens")
+    )

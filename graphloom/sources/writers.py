@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import snapshot
-from ..runtime import scratch_path
+from ..runtime import materialize, scratch_path
 from .readers import exists
 
 
@@ -104,18 +104,31 @@ def start_frontier(spark: SparkSession, path: str, root: str) -> bool:
     return True
 
 
-def sync_documents(docs: DataFrame, path: str) -> int:
+def sync_documents(docs: DataFrame, path: str, buckets: int = 64) -> int:
     """Bring a keyed table of documents (name, body) up to date; returns how
-    many were changed, added or pruned."""
+    many were changed, added or pruned.
+
+    A document lives in the bucket that its name hashes to.  Only buckets in
+    which something differs by digest are written, each as a whole and in the
+    place of its old files; buckets that lost their last document go."""
     spark = docs.sparkSession
-    mark = docs.withColumn("digest", F.sha2("body", 256))
+    bucket = F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int")
+    mark = docs.withColumn("digest", F.sha2("body", 256)).withColumn("bucket", bucket)
     if not exists(spark, path):
-        overwrite(mark, path)
+        mark.repartition("bucket").write.partitionBy("bucket").parquet(path)
         return mark.count()
-    changes = snapshot.difference(mark, spark.read.parquet(path)).count()
-    if changes:
-        overwrite(mark, path)
-    return changes
+    there = spark.read.schema(mark.schema).parquet(path)
+    changed = materialize(snapshot.difference(mark, there).withColumn("bucket", bucket), "changes")
+    count = changed.count()
+    if count:
+        touched = changed.select("bucket").distinct()
+        fresh = materialize(mark.join(touched, "bucket", "left_semi"), "changed-buckets")
+        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        gone = touched.join(fresh.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most ``buckets``
+        for row in gone:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row.bucket}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return count
 
 
 __all__ = ["append", "overwrite", "read_snapshot", "recovered", "save_sorted", "start_frontier", "scratch_path", "sync_documents", "upsert", "write_snapshot"]
