@@ -83,7 +83,8 @@ def answers(
                         raise ServiceDown(f"{failures} failures in a row, the last: {error}") from error
             yield pd.DataFrame(rows, columns=["key", "answer", "error", "calls", "tokens"])
 
-    out = requests.select("key", "request").mapInPandas(run, "key string, answer string, error string, calls long, tokens long")
+    kind = requests.schema["key"].dataType.simpleString()
+    out = requests.select("key", "request").mapInPandas(run, f"key {kind}, answer string, error string, calls long, tokens long")
     if observation is not None:
         out = out.observe(observation, F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.count("error").alias("failures"))
     return out

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import facts, graph, intake, records, resolution, text
+from . import facts, graph, intake, records, resolution, stores, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (graph, text, resolution, facts, intake, records):
+for _part in (graph, text, resolution, facts, intake, records, stores):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
