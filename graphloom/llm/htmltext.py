@@ -60,14 +60,41 @@ _CLOSES_P = frozenset(
 )
 _STOPS = frozenset("article body div main section table td th ul ol dl blockquote aside nav".split())
 #: Words in class, id or role that mark menus, headers, footers,
-#: sidebars, notices, adverts, forms and comments.
+#: sidebars, notices, adverts, forms and comments, ...
+_COMMENTS = r"comments?|commentlist|respond|disqus\w*|replies"
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert\w*|popup|"
-    r"modal|overlay|sidebar\w*|rail|widget\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer\w*|"
-    r"comments?|commentlist|respond|disqus\w*|replies|share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter|"
-    r"subscri\w*|signup|login|searchbox|searchform|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
-    re.I,
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar\w*|rail|"
+    r"widget\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer\w*|share\w*|sharing|social\w*|related\w*|"
+    rf"recommend\w*|newsletter|subscri\w*|signup|login|searchbox|searchform|pagination|pager|toolbar|copyright|{_COMMENTS})\Z", re.I)
+_TALK = re.compile(rf"(?:{_COMMENTS})\Z", re.I)
+#: ... words that may follow one of these and say only where or how much, ...
+_AFTER = frozenset(
+    "area bar block bottom box button buttons col column container content desktop form group icons inner item items left link links list main "
+    "mobile outer panel posts articles stories primary right row secondary section slot text top unit wrap wrapper zone".split()
 )
+#: ... and words before which a name only says what its page has.
+_BEFORE = frozenset("has no with without is not hide show".split())
+#: Elements that tell an article's frame from a box beside it.
+_HEADS = frozenset(("main", "article", "h1"))
+
+
+def _noisy(words: str) -> tuple[bool, bool]:
+    """Whether one of the names in ``words`` names a part of a page that is no
+    article, and whether it names comments.  The noise word must be what the
+    name is about: ``site-header`` and ``comment-list`` are, ``has-sidebar``,
+    ``header-fixed``, ``share-price`` and ``comments-on-kant`` are not."""
+    noise = talk = False
+    for name in words.split():
+        parts = [x for x in re.split(r"[_-]+|\d+\w*", name.lower()) if x]
+        if not parts or parts[0] in _BEFORE:
+            continue
+        while len(parts) > 1 and parts[-1] in _AFTER and not _NOISE.match(parts[-1]):
+            parts.pop()
+        if _NOISE.match(parts[-1]):
+            noise, talk = True, talk or bool(_TALK.match(parts[-1]))
+    return noise, talk
+
+
 _SPACE = re.compile(r"[\s ]+")
 
 
@@ -76,10 +103,11 @@ class Node:
     pages cost no more than their nodes; ``article``: the outermost article
     around the node, if any."""
 
-    __slots__ = ("tag", "parent", "path", "noise", "items", "length", "linked", "score", "article")
+    __slots__ = ("tag", "parent", "path", "noise", "named", "talk", "items", "length", "linked", "score", "article")
 
-    def __init__(self, tag: str, parent: Node | None, path: int, noise: bool) -> None:
+    def __init__(self, tag: str, parent: Node | None, path: int, noise: bool, named: bool = False, talk: bool = False) -> None:
         self.tag, self.parent, self.path, self.noise = tag, parent, path, noise
+        self.named, self.talk = named, talk
         self.article = parent.article if parent is not None and parent.article is not None else self if tag == "article" else None
         self.items: list = []
         self.length = self.linked = 0
@@ -194,23 +222,52 @@ def parse(html: str) -> Node:
         found = _attributes(rest) if rest.strip() else {}
         words = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
         # The page's frame is never noise, whatever its classes say.
-        noise = name not in ("html", "body") and (
+        framed = name in ("html", "body")
+        noise = not framed and (
             name in BOILERPLATE
             or "hidden" in found
             or found.get("aria-hidden") == "true"
             or "display:none" in found.get("style", "").replace(" ", "").lower()
-            or (words.strip() != "" and bool(_NOISE.search(words)))
         )
+        named, talk = _noisy(words) if not framed and words.strip() else (False, False)
         first = re.sub(r"\d+", "", found.get("class", "").split()[0]) if found.get("class", "").split() else ""
         step = f"{name}.{first}" if first else name
-        child = Node(name, at, at.path if name in INLINE else _step(at.path, step), noise or at.noise)
+        child = Node(name, at, at.path if name in INLINE else _step(at.path, step), noise or at.noise, named, talk)
         at.items.append(child)
         if not rest.endswith("/"):
             at = child
             opened[name] += 1
+    _judge(root)
     return root
 
 
+def _judge(root: Node) -> None:
+    """Mark as noise what is named so, and all within it.  A name alone never
+    drops the article: an element that holds a heading of the page, its main
+    part or an article, and half of the text, is its frame, unless it is named
+    for comments."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.items if isinstance(x, Node) and not x.noise)
+    if not any(node.named for node in order):
+        return
+    size: dict[int, int] = {}
+    heads: set[int] = set()
+    for node in reversed(order):
+        size[id(node)] = size.get(id(node), 0) + sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        if node.tag in _HEADS:
+            heads.add(id(node))
+        if node.parent is not None:
+            size[id(node.parent)] = size.get(id(node.parent), 0) + size[id(node)]
+            if id(node) in heads:
+                heads.add(id(node.parent))
+    for node in order:  # parents come first
+        frame = id(node) in heads and not node.talk and 2 * size[id(node)] >= size[id(root)]
+        node.noise = (node.named and not frame) or (node.parent is not None and node.parent.noise)
+
+
 def _weigh(root: Node) -> list[Node]:
     """Score the containers: a block's text counts for its parent, and half
     for the parent's parent."""

@@ -124,3 +124,37 @@ def test_extreme_pages_cost_what_their_size_does():
         assert want is None or got == want
         htmltext.candidates(page)
     assert time.perf_counter() - began < 40
+
+
+def test_names_that_only_mention_a_part_keep_the_article():
+    body = "<article><h1>Title</h1><p>The whole article stands here.</p>{}</article>"
+    want = "Title The whole article stands here."
+    for wrapper in ("class='content has-sidebar'", "id=page class='header-fixed'", "class='page no-sidebar'", "class='layout widget'", "class='main_content with-banner'"):
+        for tag in ("div", "main"):
+            html = f"<body><div class=site-header>Site</div><{tag} {wrapper}>{body.format('')}</{tag}><div class='comment-list'>said</div><div id=sidebar-left>side</div></body>"
+            assert htmltext.extract(html, []) == want, wrapper
+    for inner in ("share-price", "related-work", "alert", "comments-on-kant", "social-history"):
+        assert htmltext.extract(body.format(f"<div class='{inner}'>And more.</div>"), []) == f"{want} And more.", inner
+    for inner in ("share-buttons", "related-posts", "ad", "ad-300x250", "cookie-notice", "post-comments", "newsletter_signup", "comments2"):
+        assert htmltext.extract(body.format(f"<div class='{inner}'>And more.</div>"), []) == want, inner
+    talk = "<div class=comments>" + "<article><p>A comment longer than the article itself.</p></article>" * 9 + "</div>"
+    assert htmltext.extract(f"<body>{body.format('')}{talk}</body>", []) == want
+
+
+def test_generated_pages_give_their_text(spark):
+    import random
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for n in range(40):
+        paragraphs = [line(r.randint(8, 60)) for _ in range(r.randint(2, 6))]
+        wrapper = r.choice(["content has-sidebar", "wrap header-fixed", "page no-sidebar", "main-wrapper"])
+        boxes = [f"<div class='{c}'><p>{line(6)}</p></div>" for c in r.sample(["ad", "related-posts", "share-bar", "cookie-notice", "comment-list"], 3)]
+        article = "".join(f"<p>{p}</p>" + (f"<div class=ad>{line(3)}</div>" if r.random() < 0.3 else "") for p in paragraphs)
+        html = f"<html><body class='nav-open'><nav>{line(4)}</nav><div class='{wrapper}'><div class=story{n % 3}><h1>t{n}</h1>{article}</div></div>{''.join(boxes)}<footer>{line(5)}</footer></body></html>"
+        rows.append((n, f"http://h{n % 4}.org/{n}", html))
+        want[n] = " ".join([f"t{n}", *paragraphs])
+    got = {x.page_id: x.text for x in htmltext.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
