@@ -127,10 +127,13 @@ class TextEncoder:
         return cls.shared[path]
 
     def _ids(self, text: str) -> list[int]:
-        if self.merge is None or "<|" in text or not text.isascii() and self.odd.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        low = text.lower()
+        # Lower case can leave the plain characters, and can come from others.
+        odd = not text.isascii() and (self.odd.search(text) or self.odd.search(low))
+        if self.merge is None or odd or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         pieces = self.pieces.findall
-        words = [w if w.isalpha() else " ".join(pieces(w)) for w in text.lower().split()]
+        words = [w if w.isalpha() else " ".join(pieces(w)) for w in low.split()]
         return self.merge(" ".join(words) + " ") if words else []
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -280,8 +283,9 @@ def pack(
     (these come when all others are dry); None keeps the sources' own."""
     tokens = materialize(tokenize(docs, tokenizer_path), "tokens")
     blocks = materialize(tokens.groupBy("queue", "block").agg(F.sum("n").alias("n")), "blocks")
-    # The largest sources, one row each and bounded in number.
-    largest = blocks.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue").limit(queues)
+    # The sources named in the weights, then the largest, one row each and bounded in number.
+    wanted = F.col("queue").isin(*[s for s, w in (weights or {}).items() if w > 0])
+    largest = blocks.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc(wanted), F.desc("n"), "queue").limit(queues)
     named = [r.queue for r in largest.collect()]
     shared = named[queues - 1 :]
     named = sorted(named[: queues - 1])

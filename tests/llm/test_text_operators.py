@@ -623,3 +623,33 @@ def test_secrets(spark, docs, none):
         1: (None, "my [REDACTED] x"), 2: (None, "clean"), 3: (7, "[REDACTED]"), 4: (7, "a perfectly clean line"), 5: ((1 << 53) + 1, "[REDACTED] [REDACTED]")}
     full = spark.createDataFrame([(1, "x token = abcdefgh y", 20), (2, None, None)], "doc_id long, text string, n_chars long")
     assert {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(full).collect()} == {1: ("x [REDACTED] y", 14), 2: (None, None)}
+
+
+def test_fast_ids_equal_the_tokenizer_on_every_plain_character():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import packing
+    from graphloom.llm.queries import tokenizer_path
+
+    plain, own = Tokenizer.from_file(tokenizer_path()), packing.TextEncoder.of(tokenizer_path())
+    for c in range(0x300):
+        for text in (chr(c), f"a{chr(c)}b", f"{chr(c)}EL, {chr(c)}{chr(c)}"):
+            assert list(own._ids(text)) == plain.encode(text, add_special_tokens=False).ids, hex(c)
+    r = random.Random(7)
+    wide = [*range(0x20, 0x300), *range(0x1E00, 0x2200), 0x212A, 0x130, 0x23A, 0x23E, 0xFB01, 0x1F600]
+    for _ in range(3000):
+        text = "".join(chr(r.choice(wide)) if r.random() < 0.3 else r.choice("aeinst 's,.1") for _ in range(r.randint(0, 30)))
+        assert list(own._ids(text)) == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sources_with_a_weight_keep_it_beyond_the_queues(spark):
+    from graphloom.llm import packing
+    from graphloom.llm.queries import tokenizer_path
+
+    rows = [(n, f"s{n % 6}", "word " * (400 if n % 6 < 5 else 300)) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = packing.pack(docs, tokenizer_path(), weights={"s0": 1, "s5": 1}, queues=4)
+    first = out.filter("sequence_id = 0").groupBy("source").agg(F.sum("length").alias("n")).collect()
+    assert {r.source for r in first} == {"s0", "s5"} and min(r.n for r in first) > 800
