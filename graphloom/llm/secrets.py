@@ -3,17 +3,17 @@
 Strong spans stand alone: ``assign`` (a named value such as ``password=...``),
 ``access`` (an access-key identifier) and ``hex`` (a long run of lower-case
 hexadecimal digits).  Weak candidates mean little alone and are reported only
-next to the parts that complete a credential, within ``radius`` code points
-and one scope (a block of text without a blank line):
+next to the parts that complete a credential in the same scope (a block of
+text without a blank line, however long):
 
 * ``secret``: a run of 32 or more base64 characters that mixes upper case,
-  lower case and digits, if an access identifier is near;
-* ``endpoint``: a service address, if an access identifier and a value
-  (assign, hex or a reported-by-shape secret) are both near.
+  lower case and digits, if the scope has an access identifier;
+* ``endpoint``: a service address, if the scope has an access identifier and
+  a value (assign, hex or a reported-by-shape secret).
 
-The interval join of candidates with their complements is a range-frame
-window over each document's spans ordered by start.  It finds whether a
-complement starts within the radius without emitting one row per pair, so a
+The interval join of spans with the scopes that hold them is a running count
+of scope ends over each document's spans ordered by start, and whether a scope
+has the complements is a window over it.  No row per pair is emitted, so a
 text with thousands of identifiers costs a sort, not a product.
 
 Defined results: a null text counts as empty and has no spans; null ids stay
@@ -40,7 +40,6 @@ BREAK = r"\n[ \t]*\n"
 
 #: The order in which kinds are listed when two spans start together.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
-RADIUS = 400
 
 
 def _hits(text: Column, kind: str, pattern: str, keep=None) -> Column:
@@ -77,7 +76,7 @@ def _secret_kept(text: Column, found: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (row_key, id_col, spans) with
     spans array<struct(start, kind_no, kind, end)> in order, code points,
     end exclusive.  Weak spans appear only where linked."""
@@ -113,7 +112,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
     scoped = placed.withColumn(
         "scope", F.sum((F.col("kind") == "break").cast("int")).over(by_row.orderBy("start", "end"))
     ).filter(F.col("kind").isNull() | F.col("keep") & (F.col("kind") != "break"))
-    near = Window.partitionBy("row_key", "scope").orderBy("start").rangeBetween(-radius, radius)
+    near = Window.partitionBy("row_key", "scope")
     has_access = F.max((F.col("kind") == "access").cast("int")).over(near) == 1
     has_value = F.max(F.col("kind").isin("assign", "hex", "secret").cast("int")).over(near) == 1
     reported = (
