@@ -1,5 +1,9 @@
 """Operators on pages and vectors, and the registered queries' SQL."""
 
+import math
+
+import numpy as np
+import pandas as pd
 import pytest
 from compare import differences
 from pyspark.sql import functions as F
@@ -25,6 +29,46 @@ def test_topk_edges(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def _brute_topk(rows, k=5):
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    out = set()
+    for q in whole:
+        if q % 50 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v)), -(2**63)), 2**63 - 1), i) for i, v in whole.items() if i != q)
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
+    return out
+
+
+def test_topk_leaves_out_blocks_of_clustered_vectors(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    heads = r.standard_normal((40, 16))
+    made = [(n, (heads[n % 40] + 0.05 * r.standard_normal(16)).astype(np.float32).tolist()) for n in range(4000)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    assert {tuple(x) for x in topk.search(df, F.col("vec_id") % 50 == 0).collect()} == _brute_topk(made)
+    # One group in the order of cells: fewer than half of its blocks are scored.
+    batch = pd.DataFrame({"id": [n for n, _ in made], "v": [v for _, v in made]})
+    ordered = next(topk._cells(iter([batch]))).sort_values(["cell", "id"])
+    d_ids, d = ordered["id"].to_numpy(), topk._matrix(ordered["v"].tolist(), 16)
+    asked = d_ids % 50 == 0
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    found, scored = topk.best_in_group(d_ids[asked], d[asked], d_ids, d, 5, {})
+    share = scored / (asked.sum() * -(-len(d) // 64))
+    assert share < 0.5, share
+    assert {(a, b, c) for a, b, c in found.itertuples(index=False)} == {(q, i, s) for q, _, i, s in _brute_topk(made)}
+
+
+def test_topk_over_several_groups_and_beyond_a_long(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    made = [(n, r.standard_normal(5).astype(np.float32).tolist()) for n in range(300)]
+    for size in ("GROUP_ROWS", "PIECE_ROWS", "BLOCK", "CHUNK_GROUPS"):
+        monkeypatch.setattr(topk, size, 7)
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    assert {tuple(x) for x in topk.search(df, F.col("vec_id") % 50 == 0).collect()} == _brute_topk(made)
+    huge = [(n, [float(np.float32(v)), 1.0]) for n, v in enumerate([3e38, 3e38, -3e38, 1e12, -1e12, 0.0, 2.5])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in topk.search(df, F.col("vec_id") % 50 == 0).collect()} == _brute_topk(huge)
+
+
 def test_warc_edges(spark):
     long = "<p>" + "é" * 60_000
     rows = [(1, "http://x/ y", long), (2, None, long), (3, "u", None), (None, "u", long), (4, "u", "short"), (5, "u", "short"), (6, "u", "\r\n\r\nWARC/1.1 " * 30), (1, "again", long)]
