@@ -76,10 +76,12 @@ def sitemap(nodes: DataFrame, site: str, static: list[str], guides: DataFrame |
 
 
 def explorer_metadata(nodes: DataFrame, site: str) -> DataFrame:
-    """(id, page_title, description) of the explorer's page of each node."""
+    """(id, page_title, description, robots, canonical) of the explorer's page
+    of each node, which points to the node's own page and is not indexed."""
     return nodes.select(
-        "id", F.concat(F.lit("Explore "), "title", F.lit(f" | {site}")).alias("page_title"),
-        F.concat(F.lit("Where "), "title", F.lit(" leads and how to get there.")).alias("description"),
+        "id", F.concat(F.lit("Explore paths around "), "title", F.lit(f" — {site}")).alias("page_title"),
+        F.concat(F.lit("Explore routes into and career options after "), "title", F.lit(".")).alias("description"),
+        F.lit("noindex, follow").alias("robots"), text.node_href("id").alias("canonical"),
     )
 
 

@@ -129,11 +129,12 @@ def embedding_text(node_type, title, description) -> Column:
     )
 
 
-def pair_text(context) -> Column:
-    """The last two parts of a slash-separated context."""
-    parts = F.split(_c(context), "/")
+def pair_text(title, context) -> Column:
+    """A title and the last two parts of its slash-separated context, which
+    may be empty or null."""
+    parts = F.split(F.coalesce(_c(context), F.lit("")), "/")
     size = F.least(F.size(parts), F.lit(2))
-    return F.array_join(F.transform(F.slice(parts, -size, size), strip), " / ")
+    return F.concat(_c(title), F.lit(" — context: "), F.array_join(F.slice(parts, -size, size), " / "))
 
 
 def font_bucket(title) -> Column:

@@ -109,6 +109,18 @@ def has_child_title(candidates: DataFrame, nodes: DataFrame, edges: DataFrame) -
     ).drop("folded")
 
 
+def by_route(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``wanted`` (type, slug, ...) with the ``node_id`` and ``title`` of the
+    node that has both, or nulls: a node counts only if its own type and slug
+    are those asked for, not if just the joined id agrees."""
+    at = nodes.select(
+        F.col("id").alias("node_id"), F.col("type").alias("_type"), text.id_slug("id").alias("_slug"), "title"
+    )
+    same = (F.col("type") == F.col("_type")) & (F.col("slug") == F.col("_slug"))
+    same = same & (F.col("node_id") == F.concat_ws(":", "type", "slug"))
+    return wanted.join(at, same, "left").drop("_type", "_slug")
+
+
 def last_wins(rows: DataFrame, key: str = "id", position: str = "pos") -> DataFrame:
     """One row per key, the one with the highest position."""
     fields = [F.col(c) for c in rows.columns if c != key]

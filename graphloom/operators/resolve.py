@@ -453,6 +453,15 @@ def calibrate(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     )
 
 
+def report(calibrated: DataFrame, **about: str) -> DataFrame:
+    """The report of a calibration, with what else is to be known ``about`` it
+    (provider, model, ...)."""
+    return calibrated.select(
+        F.col("band").alias("recommended_judge_band"), F.col("missed").alias("missed_duplicates"),
+        F.col("n_pairs").alias("labeled_pairs"), *[F.lit(v).alias(k) for k, v in about.items()],
+    )
+
+
 def cache_misses(texts: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
     """Rows of ``texts`` whose key the cache (key) does not hold."""
     return texts.withColumn("key", key).join(cache.select("key"), "key", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -18,10 +18,14 @@ def core(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("slug", text.id_slug("id")).drop("facts")
 
 
+def document_name(node_type: str, node_id: str) -> Column:
+    return F.concat(node_type, F.lit("--"), text.id_slug(node_id), F.lit(".json"))
+
+
 def documents(nodes: DataFrame) -> DataFrame:
     """(name, facts) of the nodes that have facts."""
     return nodes.filter("facts IS NOT NULL").select(
-        F.concat("type", F.lit("--"), text.id_slug("id"), F.lit(".json")).alias("name"), "facts"
+        document_name("type", "id").alias("name"), "facts"
     )
 
 
@@ -29,6 +33,15 @@ def with_facts(core_nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return core_nodes.join(facts.select("id", "facts"), "id", "left")
 
 
+def facts_at(wanted: DataFrame, nodes: DataFrame, kept: DataFrame) -> DataFrame:
+    """``wanted`` (node_id, ...) with the ``facts`` of the document that
+    ``kept`` (name, facts) holds for it: null where the graph has no such node
+    or the node no document.  Names come from the graph's node, never from the
+    id that was asked for."""
+    named = nodes.select(F.col("id").alias("node_id"), document_name("type", "id").alias("name"))
+    return wanted.join(named.join(kept, "name").select("node_id", "facts"), "node_id", "left")
+
+
 def checked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same tables; raises at the first rule that does not hold."""
     for found in (lint.bad_ids(nodes), lint.missing_endpoints(nodes, edges)):

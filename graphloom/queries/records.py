@@ -64,6 +64,39 @@ def counts_with_a_missing_table(spark, sf_dir):
     return readers.table_counts(spark, {t: f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "absent")})
 
 
+LOOKED_UP = """w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE l_linenumber % 4 WHEN 0 THEN 'supplier' WHEN 1 THEN 'Part' ELSE 'part' END AS type,
+  CASE l_linenumber % 4 WHEN 0 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN l_partkey || 'x' ELSE CAST(l_partkey AS VARCHAR) END AS slug FROM lineitem)"""
+
+
+@query(oracle("""SELECT l_orderkey, l_linenumber, w.type, slug, n.id AS node_id, n.title, CASE WHEN length(n.title) % 2 = 0 THEN n.title END AS fact
+FROM w LEFT JOIN star_nodes n ON n.id = w.type || ':' || w.slug AND n.type = w.type""", LOOKED_UP))
+def node_lookups(spark, sf_dir):
+    """Nodes and their documents by type and slug for every line of an order:
+    its part, its supplier, a type that differs by case, or a slug of none."""
+    line = F.col("l_linenumber") % 4
+    wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", F.when(line == 0, "supplier").when(line == 1, "Part").otherwise("part").alias("type"),
+        F.when(line == 0, F.col("l_suppkey").cast("string")).when(line == 2, F.concat("l_partkey", F.lit("x")))
+        .otherwise(F.col("l_partkey").cast("string")).alias("slug"),
+    )
+    n = star.nodes(spark, sf_dir)
+    kept = snapshot.documents(n.withColumn("facts", F.when(F.char_length("title") % 2 == 0, F.struct("title"))))
+    return snapshot.facts_at(graph.by_route(wanted, n), n, kept).select(
+        "l_orderkey", "l_linenumber", "type", "slug", "node_id", "title", F.col("facts.title").alias("fact"))
+
+
+@query(f"""SELECT band AS judge_band, missed AS missed_duplicates, n_pairs AS labeled_pairs, 'trained here' AS provider
+FROM ({resolution.ORACLES["er_calibration"]})""")
+def er_report(spark, sf_dir):
+    """A calibration's report, written, and what a later run reads of it."""
+    path = scratch_path(spark, "report")
+    done = resolve.calibrate(resolution._pairs(spark, sf_dir), resolution.THRESHOLDS)
+    writers.write_report(resolve.report(done, provider="trained here"), path)
+    again = readers.json_lines(spark, path, "missed_duplicates long, labeled_pairs long, provider string")
+    return again.select(F.lit(readers.judge_band(spark, path)).alias("judge_band"), "missed_duplicates", "labeled_pairs", "provider")
+
+
 GATES = """g AS (SELECT id, type, length(title) % 2 = 0 AS has FROM star_nodes WHERE type <> 'market'),
 gates AS (SELECT 'root is missing' AS rule, 'market:all' AS subject
   UNION ALL SELECT 'missing facts', id FROM g WHERE NOT has

@@ -108,6 +108,23 @@ def labels_and_links(spark, sf_dir):
     )
 
 
+@query(oracle("""SELECT id, 'Explore paths around ' || title || ' — example.org' AS page_title,
+  'Explore routes into and career options after ' || title || '.' AS description, 'noindex, follow' AS robots,
+  '/careers/' || substr(id, 1, strpos(id, ':') - 1) || '/' || substr(id, strpos(id, ':') + 1) AS canonical FROM star_nodes"""))
+def explorer_pages(spark, sf_dir):
+    return pages.explorer_metadata(star.nodes(spark, sf_dir), "example.org")
+
+
+@query("""WITH p AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN p_brand ELSE replace(p_type, ' ', '/ ') || '/' || p_brand END AS context FROM part)
+SELECT p_partkey, p_name || ' — context: ' || CASE WHEN coalesce(context, '') = '' THEN ''
+  WHEN strpos(context, '/') = 0 THEN context ELSE string_split(context, '/')[-2] || ' / ' || string_split(context, '/')[-1] END AS pair_text FROM p""")
+def pair_texts(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    long = F.concat(F.replace("p_type", F.lit(" "), F.lit("/ ")), F.lit("/"), "p_brand")
+    context = F.when(k == 0, "").when(k == 2, F.col("p_brand")).when(k > 2, long)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.pair_text("p_name", context).alias("pair_text"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS shown FROM orders""")
 def long_dates(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

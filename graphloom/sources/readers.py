@@ -81,10 +81,14 @@ def facts_of(facts: DataFrame, node_id: str) -> DataFrame:
 
 
 def judge_band(spark: SparkSession, path: str, default: float = 0.8) -> float:
+    """The band that a calibration report recommends; ``default`` only where
+    there is no report, and an error where there is one without a band."""
     if not exists(spark, path):
         return default
-    row = spark.read.schema("judge_band double").option("multiLine", True).json(path).first()
-    return default if row is None or row.judge_band is None else row.judge_band
+    row = spark.read.schema("recommended_judge_band double").option("multiLine", True).json(path).first()
+    if row is None or row.recommended_judge_band is None:
+        raise ValueError(f"no recommended_judge_band in {path}")
+    return row.recommended_judge_band
 
 
 def previous_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,11 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     _move(df.sparkSession, staging, path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as JSON with its keys in order, put in place whole."""
+    overwrite(report.select(*sorted(report.columns)).coalesce(1), path, "json")
+
+
 def save_sorted(df: DataFrame, path: str, key: str = "id") -> None:
     """JSON lines in order of the key over all files, nulls left out."""
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("ignoreNullFields", "true").json(path)

@@ -27,7 +27,9 @@ def test_titles(spark):
     assert one(spark, text.qualified_title(F.lit("Ph.D."), F.lit("Law (Hons)"))) == "Ph.D in Law"
     assert one(spark, text.explore_href(F.lit("degree:mba"), F.lit("degree:bca"))) == "/explore/degree/mba?from=degree%3Abca"
     assert one(spark, text.id_slug(F.lit("a:b:c"))) == "b:c"
-    assert one(spark, text.pair_text(F.lit("a/ b/c"))) == "b / c"
+    assert one(spark, text.pair_text(F.lit("T"), F.lit("a/b/c"))) == "T — context: b / c"
+    assert one(spark, text.pair_text(F.lit("T"), F.lit("c"))) == "T — context: c"
+    assert one(spark, text.pair_text(F.lit("T"), F.lit(None).cast("string"))) == "T — context: "
     assert one(spark, text.newline_list(F.lit(" a \n\n b0"))) == ["a", "b0"]
     assert one(spark, text.client_ip(F.lit(" 1.2.3.4, 5"), F.lit(None))) == "1.2.3.4"
     assert one(spark, text.client_ip(F.lit(None), F.lit(None))) == "unknown"
@@ -94,6 +96,13 @@ def test_registry_files(spark, tmp_path):
     row = nodes.first()
     assert (row.title, row.aliases, row.is_terminal) == ("Y", [], False) and edges.isEmpty()
     assert readers.judge_band(spark, str(tmp_path / "none.json")) == 0.8
+    report = spark.createDataFrame([(0.75, 0, "m")], "recommended_judge_band double, missed_duplicates int, model string")
+    writers.write_report(report, str(tmp_path / "report"))
+    assert readers.judge_band(spark, str(tmp_path / "report")) == 0.75
+    assert next((tmp_path / "report").glob("part-*")).read_text() == '{"missed_duplicates":0,"model":"m","recommended_judge_band":0.75}\n'
+    writers.write_report(report.drop("recommended_judge_band"), str(tmp_path / "report"))
+    with pytest.raises(ValueError, match="no recommended_judge_band"):
+        readers.judge_band(spark, str(tmp_path / "report"))
     assert readers.seeded(nodes, nodes).count() == 1
 
 
