@@ -263,9 +263,23 @@ def planted(rng, size, share):
     return " ".join(a), " ".join(last)
 
 
-@pytest.mark.parametrize("most", [4000, 60])
-def test_recall_of_near_duplicates_at_the_threshold(spark, monkeypatch, most):
+def test_bands_of_near_duplicates_follow_the_similarity_alone():
+    for similarity in (0.5, 0.8, 0.9, 1.0):
+        bands, minima = neardup.band_plan(similarity)
+        assert bands <= 30 and 1 - (1 - min(similarity, 0.99) ** minima) ** bands >= neardup.RECALL
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(200):
+        both, a, b = (rng.integers(2**64, size=n, dtype=np.uint64) for n in (160, 20, 20))
+        keys = [neardup.band_keys(np.unique(np.concatenate([both, x])), *neardup.band_plan(0.8)) for x in (a, b)]
+        met += any(x == y for x, y in zip(*keys))
+    assert met >= 196 and neardup.band_keys(both[:0], 11, 4) == []
+
+
+@pytest.mark.parametrize("most, levels", [(4000, 8), (60, 8), (20, 0)])
+def test_recall_of_near_duplicates_at_the_threshold(spark, monkeypatch, most, levels):
     monkeypatch.setattr(neardup, "SHARD_ROWS", most)
+    monkeypatch.setattr(neardup, "FURTHER_LEVELS", levels)
     rng = random.Random(most)
     rows, pairs = [], []
     for i in range(100):
