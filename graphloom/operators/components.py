@@ -14,11 +14,17 @@ from ..runtime import materialize
 ORDERS = 4
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
+#: Rounds of trimming before runs are looked for, and the share of nodes (one
+#: in so many) that must lie in runs for these to be contracted.
+TRIMS, IN_RUNS = 3, 8
+
+
+def trimmed(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``edges`` (a, b) without nodes that have no edge in or none out, again
-    and again: what lies on or between cycles."""
+    and again (``rounds`` times): what lies on or between cycles."""
     left, size = edges, edges.count()
-    while size:
+    while size and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
         sources = left.select(F.col("a").alias("b")).distinct()
         targets = left.select(F.col("b").alias("a")).distinct()
         left = materialize(left.join(targets, "a", "left_semi").join(sources, "b", "left_semi").select("a", "b"), "core")
@@ -54,21 +60,78 @@ def _back_to(roots: DataFrame, edges: DataFrame) -> DataFrame:
         known = materialize(known.unionByName(level), "back-known")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node on a cycle; the component is named by
-    its smallest id.  Nodes on no cycle have no row.
+def _runs(left: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Where the only way out of nodes with one edge leads, found by doubling:
+    tables (id, to) of 1, 2, 4, ... steps, no further than the first node with
+    another number of edges (``ends``), and the last table.  It has ``least``
+    besides: the smallest id passed, that of the ring for a node in one.
+
+    Done when a round finds no more ends, as those of a longer run follow
+    those of shorter ones, leads to as many nodes as the round before, which
+    then are those of rings, and lowers no ``least``."""
+    one = left.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("to")).filter("n = 1")
+    now = materialize(one.select(F.col("a").alias("id"), "to", F.col("a").alias("least"), F.lit(False).alias("ends")), "runs")
+    jumps, before = [now], None
+    while True:
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("least").alias("other"), F.col("ends").alias("there"))
+        lower = F.coalesce(F.col("other") < F.col("least"), F.lit(False))
+        now = materialize(
+            now.join(ahead, "to", "left").select(
+                "id", F.coalesce("next", "to").alias("to"), F.least("least", F.coalesce("other", "least")).alias("least"),
+                (F.col("next").isNull() | F.col("there")).alias("ends"), lower.alias("fell"),
+            ),
+            "runs",
+        )
+        on = ~F.col("ends")
+        seen = now.agg(F.count_if("ends").alias("ends"), F.count_if(on & F.col("fell")).alias("fell"), F.count_distinct(F.when(on, F.col("to"))).alias("led_to")).first()
+        if before is not None and not seen["fell"] and (seen["ends"], seen["led_to"]) == (before["ends"], before["led_to"]):
+            return jumps, now
+        jumps.append(now.select("id", "to"))
+        before = seen
+
+
+def _through_runs(left: DataFrame) -> DataFrame:
+    """(id, component) with the trees of nodes of one edge out drawn into
+    their roots.  A node of a tree is in its root's component if something in
+    that component has an edge to it or to a node that leads to it; nodes whose
+    only way is round a ring are the ring's component."""
+    jumps, last = _runs(left)
+    rings = last.filter("NOT ends").select(F.col("to").alias("id")).distinct().join(last.select("id", F.col("least").alias("component")), "id")
+    from_roots = left.join(jumps[0].select(F.col("id").alias("a")), "a", "left_anti")
+    trees = last.select(F.col("id").alias("b"), F.col("to").alias("root"), "ends")
+    drawn = from_roots.join(trees, "b", "left").filter("coalesce(ends, true)").select("a", "b", F.coalesce("root", "b").alias("root"))
+    drawn = materialize(drawn, "drawn")
+    small = materialize(drawn.select("a", F.col("root").alias("b")).distinct(), "drawn")
+    found = _strong(small.filter("a <> b"))
+    loops = small.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    found = materialize(found.unionByName(loops.join(found, "id", "left_anti")), "components")
+    of = lambda side, name: found.select(F.col("id").alias(side), F.col("component").alias(name))
+    marks = drawn.filter("b <> root").join(of("a", "component"), "a").join(of("root", "other"), "root").filter("component = other")
+    marks = materialize(marks.select(F.col("b").alias("id"), "component").distinct(), "marks")
+    if not marks.isEmpty():
+        for jump in jumps:
+            further = marks.join(jump, "id").select(F.col("to").alias("id"), "component")
+            marks = materialize(marks.unionByName(further).distinct(), "marks")
+    return materialize(found.unionByName(marks).unionByName(rings).distinct(), "components")
+
+
+def _strong(left: DataFrame) -> DataFrame:
+    """(id, component) of the nodes on a cycle of ``left`` (a, b: distinct, no
+    loops), the component named by one of its ids."""
+    left = trimmed(left, TRIMS)
+    for turned in (left, left.select(F.col("b").alias("a"), F.col("a").alias("b"))):
+        ways = turned.groupBy("a").count().agg(F.count("*").alias("n"), F.count_if(F.col("count") == 1).alias("single")).first()
+        if ways["single"] * IN_RUNS > ways["n"]:
+            return _through_runs(turned)
+    return _coloured(left)
+
 
-    Forward-backward colouring: each node takes the smallest id that reaches
+def _coloured(left: DataFrame) -> DataFrame:
+    """Forward-backward colouring: each node takes the smallest id that reaches
     it; a node of its own colour, and what leads back to it inside the colour,
     are one component.  Edges between colours are on no cycle and go, as do
-    found components, and the rest is coloured again.
-
-    ``edges``: (from_id, to_id, ...); null ends and repeats change nothing, a
-    loop is a component of one node."""
-    pairs = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
-    pairs = materialize(pairs, "pairs")
-    found = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    left = materialize(pairs.filter("a <> b"), "pairs")
+    found components, and the rest is coloured again."""
+    found = left.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     while True:
         left = trimmed(left)
         if left.isEmpty():
@@ -85,7 +148,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
         left = materialize(
             same.join(members.withColumnRenamed("id", "a"), "a", "left_anti").join(members.withColumnRenamed("id", "b"), "b", "left_anti"), "pairs"
         )
-    return materialize(found.groupBy("id").agg(F.min("component").alias("component")), "components")
+    return found
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node on a cycle; the component is named by
+    its smallest id.  Nodes on no cycle have no row.
+
+    Nodes with one edge out, or one in, are drawn into where it leads, as long
+    as many are left: a ring or a chain takes rounds by the logarithm of its
+    length.  What remains is coloured.
+
+    ``edges``: (from_id, to_id, ...); null ends and repeats change nothing, a
+    loop is a component of one node."""
+    pairs = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    # An edge to a node without a way out is on no cycle.
+    starts = pairs.select(F.col("a").alias("b")).distinct()
+    pairs = materialize(pairs.join(starts, "b", "left_semi").select("a", "b").distinct(), "pairs")
+    found = _strong(pairs.filter("a <> b"))
+    loops = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    found = materialize(found.unionByName(loops.join(found, "id", "left_anti")), "components")
+    names = found.groupBy("component").agg(F.min("id").alias("name"))
+    return materialize(found.join(names, "component").select("id", F.col("name").alias("component")), "components")
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:

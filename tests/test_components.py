@@ -49,6 +49,20 @@ def test_components_and_reach_equal_the_closure(spark, edges):
     assert all(r.reaches == (r.x == r.y or r.y in reach.get(r.x, ())) for r in got)
 
 
+def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch):
+    name = "n{:04d}".format
+    written = []
+    whole = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or whole(df, label))
+    ring = [(name(i), name((i + 1) % 300)) for i in range(300)]
+    chain = [(name(1000 + i), name(1001 + i)) for i in range(300)]
+    # A way from the ring into the chain, two back from its middle, and a hub before the ring.
+    more = [(name(7), name(1000)), (name(1150), name(3)), (name(1150), name(200)), *[("hub", name(i)) for i in range(300)], (name(1040), name(1010))]
+    got = {r.id: r.component for r in components.strong_components(spark.createDataFrame(ring + chain + more, EDGE)).collect()}
+    assert got == {name(i): name(0) for i in [*range(300), *range(1000, 1151)]}
+    assert len(written) < 90
+
+
 def test_components_of_nothing(spark):
     none = spark.createDataFrame([], EDGE)
     assert components.strong_components(none).count() == 0
