@@ -105,7 +105,8 @@ def context_slice(
     first that overflows.  One owner's tiers are a bounded group."""
     once = Window.partitionBy("owner", "id").orderBy("tier", "pos")
     order = Window.partitionBy("owner").orderBy("tier", "pos", "id")
-    first = tiers.withColumn("d", F.row_number().over(once)).filter("d = 1")
+    # Both windows work where the owner is: nothing is sorted before the one shuffle.
+    first = tiers.repartition("owner").withColumn("d", F.row_number().over(once)).filter("d = 1")
     return (
         first.withColumn("n", F.row_number().over(order))
         .withColumn("chars", F.sum(F.char_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
