@@ -15,10 +15,12 @@ def _rows(df: DataFrame, severity: str, rule: str, subject) -> DataFrame:
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
-    ends = edges.select("id", F.explode(F.array("from_id", "to_id")).alias("end"))
-    lost = ends.join(ids.withColumnRenamed("id", "end"), "end", "left_anti")
-    return _rows(lost.select("id").distinct(), "error", "unknown endpoint", F.col("id"))
+    lost = None
+    for end in ("from_id", "to_id"):
+        one = edges.select("id", end).filter(F.col(end).isNotNull()).join(nodes.select(F.col("id").alias(end)), end, "left_anti")
+        one = one.unionByName(edges.filter(F.col(end).isNull()).select("id", end)).select("id")
+        lost = one if lost is None else lost.unionByName(one)
+    return _rows(lost.distinct(), "error", "unknown endpoint", F.col("id"))
 
 
 def _each(rows: DataFrame, subject, *rules) -> DataFrame:
@@ -141,7 +143,20 @@ def report(
 
 
 def summary(violations: DataFrame) -> DataFrame:
-    return violations.groupBy("severity", "rule").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
+    """Number and first subject of each (severity, rule): no more than the
+    rules there are, which are looked up first, so that a task keeps one row a
+    rule and sorts none."""
+    violations = materialize(violations, "violations")
+    rules = violations.select("severity", "rule").distinct().collect()
+    if not rules:
+        return violations.groupBy("severity", "rule").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
+    one = []
+    for r in rules:
+        here = F.col("severity").eqNullSafe(F.lit(r.severity)) & F.col("rule").eqNullSafe(F.lit(r.rule))
+        one.append((F.lit(r.severity).alias("severity"), F.lit(r.rule).alias("rule"), F.count_if(here), F.min(F.when(here, F.col("subject")))))
+    counted = violations.agg(*[c for i, (_, _, n, first) in enumerate(one) for c in (n.alias(f"n{i}"), first.alias(f"first{i}"))])
+    rows = [F.struct(s, rule, F.col(f"n{i}").alias("n"), F.col(f"first{i}").alias("first")) for i, (s, rule, _, _) in enumerate(one)]
+    return counted.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def exit_code(violations: DataFrame) -> int:

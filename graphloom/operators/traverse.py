@@ -18,12 +18,14 @@ from . import components
 def distances(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """(id, distance) of all nodes that the root reaches over any edge."""
     spark = edges.sparkSession
-    hops = materialize(edges.select("from_id", "to_id").distinct(), "hops")
+    # Repeated edges stay: dropping them would hold a task's share of all pairs.
+    hops = materialize(edges.select("from_id", "to_id"), "hops")
     level = materialize(spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("distance")), "level")
     known, depth = level, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = level.join(hops, level["id"] == hops["from_id"]).select(F.col("to_id").alias("id")).distinct()
+        # Told apart after the shuffle, where a task has its share of ids only.
+        reached = level.join(hops, level["id"] == hops["from_id"]).select(F.col("to_id").alias("id")).repartition("id").distinct()
         level = materialize(
             reached.join(known.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("distance")), "level"
         )
