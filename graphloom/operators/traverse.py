@@ -8,7 +8,7 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -53,31 +53,25 @@ def shortest_trails(edges: DataFrame, root: str) -> DataFrame:
     short ones, the one whose parent came first, then the lower edge id."""
     spark = edges.sparkSession
     hops = materialize(edges.select("id", "from_id", "to_id"), "hops")
+    # ``place`` numbers a level's nodes in the order of their discovery.
     level = materialize(
-        spark.range(1).select(
-            F.lit(root).alias("node"), F.lit(0).alias("distance"), F.array(F.lit(root)).alias("trail"),
-            F.array().cast("array<string>").alias("rank"),
-        ),
-        "trail",
+        spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("distance"), F.array(F.lit(root)).alias("trail"), F.lit(0).cast("long").alias("place")), "trail"
     )
     known, depth = level, 0
     while True:
         depth += 1
-        # The order of discovery is the order of the edge ids along the trail.
-        step = hops.join(level, hops["from_id"] == level["node"]).select(
-            F.col("to_id").alias("node"),
-            F.array_append("trail", F.col("to_id")).alias("trail"),
-            F.array_append("rank", F.col("id")).alias("rank"),
-        )
-        best = step.groupBy("node").agg(F.min(F.struct("rank", "trail")).alias("b"))
+        # A node's first parent is found among numbers; trails and edge ids are fetched for that one only.
+        reached = hops.select("from_id", F.col("to_id").alias("node")).join(level.select(F.col("node").alias("from_id"), "place"), "from_id")
+        first = reached.repartition("node").groupBy("node").agg(F.min("place").alias("place")).join(known.select("node"), "node", "left_anti")
+        first = materialize(first.join(level.select("place", F.col("node").alias("from_id"), "trail"), "place"), "first")
+        if first.isEmpty():
+            break
+        by = hops.select("id", "from_id", F.col("to_id").alias("node")).join(first, ["from_id", "node"])
+        once = F.row_number().over(Window.partitionBy("node").orderBy("id"))
+        by = by.repartition("node").withColumn("_r", once).filter("_r = 1").orderBy("place", "id")
         level = materialize(
-            best.join(known.select("node"), "node", "left_anti").select(
-                "node", F.lit(depth).alias("distance"), F.col("b.trail").alias("trail"), F.col("b.rank").alias("rank")
-            ),
-            "trail",
+            by.select("node", F.lit(depth).alias("distance"), F.array_append("trail", F.col("node")).alias("trail"), F.monotonically_increasing_id().alias("place")), "trail"
         )
-        if level.isEmpty():
-            break
         known = known.unionByName(level)
     return known.select(F.col("node").alias("id"), "distance", "trail")
 
