@@ -18,8 +18,14 @@ the fingerprints, again in several bands; after ``FURTHER_LEVELS`` splits the
 parts of what is left meet two by two, each two in a row of their own.
 
 Proposed pairs are verified by the exact Jaccard similarity of their shingle
-sets; what remains is joined to components, of which the row with the smallest
-id stays.
+sets and joined to components.  These proposals are a first pass that joins
+most and promises nothing: afterwards every shard that holds more than one
+component has all its pairs within the radius met, block by block of
+``BLOCK_ROWS`` rows, and those between different components are verified too,
+the nearest of each text first and pairs that others joined meanwhile left
+out.  So no pair that shares a shard and lies within the radius is lost,
+whatever led, and whatever the first pass left out.  Of a component the row
+with the smallest id stays.
 
 Defined results: texts of the same shingle set (exact copies, letter case
 apart; all empty texts) are one node; of rows that share id and text one
@@ -54,6 +60,11 @@ FIRST = 2
 #: Differing bits of two fingerprints (128) up to which texts are copies.
 COPIES = 10
 SHARD_ROWS = 4000
+#: Rows of a block of a shard, of which two meet at a time.
+BLOCK_ROWS = 4096
+#: Pairs of a text that are verified in the first round of what the proposals
+#: left; as many times more in each further round.
+ROUND = 16
 FURTHER_BITS, FURTHER_BANDS, FURTHER_LEVELS = 3, 4, 8
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -177,11 +188,24 @@ def _bits(start: int, number: int) -> Column:
     return sum((F.shiftleft(one(b), i) for i, b in enumerate(places[1:], 1)), one(places[0]))
 
 
-def proposals(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of ``nodes`` (node, p0, p1, bands) with the bits
-    that tell them apart."""
+def radius_of(similarity: float) -> int:
+    """Differing bits (of 128) up to which texts may be alike."""
     share = differing(similarity)
-    radius = math.ceil(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
+    return math.ceil(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
+
+
+def members_of(nodes: DataFrame) -> DataFrame:
+    """(band, shard, node, fp, more): ``nodes`` (node, p0, p1, bands) in every
+    shard where they are not alone."""
+    member = nodes.select(F.posexplode("bands").alias("band", "shard"), "node", F.col("p0").alias("fp"), F.col("p1").alias("more"))
+    shared = member.groupBy("band", "shard").count().filter("count > 1").drop("count")
+    return materialize(member.join(shared.hint("merge"), ["band", "shard"]), "members")
+
+
+def proposals(members: DataFrame, similarity: float) -> DataFrame:
+    """The first candidate pairs (a, b) of ``members_of`` nodes, with the bits
+    that tell them apart; ``meetings`` has the rest."""
+    radius = radius_of(similarity)
     found, scratch = [], []
 
     def kept(df: DataFrame, label: str) -> DataFrame:
@@ -194,8 +218,7 @@ def proposals(nodes: DataFrame, similarity: float) -> DataFrame:
         return out
 
     keys = ["band", "shard"]
-    member = nodes.select(F.posexplode("bands").alias("band", "shard"), "node", F.col("p0").alias("fp"), F.col("p1").alias("more"))
-    rows = kept(member, "bands")
+    rows = members
     large = _large(rows, keys)
     led(rows.join(large, keys, "left_anti"), keys)
     level = 0
@@ -244,6 +267,54 @@ def proposals(nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs
 
 
+def _met(radius: int):
+    """(a, b, apart): the pairs of different labels within ``radius`` of two
+    blocks, or of one with itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low, high, owns, nodes, fps, mores, labels in batch.itertuples(index=False):
+                fps, mores = fps.view(np.uint64), mores.view(np.uint64)
+                one = np.flatnonzero(owns == low)
+                other = one if low == high else np.flatnonzero(owns == high)
+                for i in range(0, len(one), 64):
+                    rows = one[i : i + 64]
+                    apart = np.bitwise_count(fps[rows, None] ^ fps[other]) + np.bitwise_count(mores[rows, None] ^ mores[other])
+                    near = (apart <= radius) & (labels[rows, None] != labels[other])
+                    if low == high:
+                        near &= nodes[rows, None] > nodes[other]
+                    x, y = np.nonzero(near)
+                    if len(x):
+                        a, b = nodes[rows[x]], nodes[other[y]]
+                        yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": apart[x, y].astype(np.int32)})
+
+    return run
+
+
+def meetings(members: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a > b) of ``members`` that share a shard and lie within the
+    radius, with the bits that tell them apart, but for pairs of one component
+    of ``joined`` (node, component).
+
+    A shard's rows are dealt to blocks, and any two blocks are a row of their
+    own: a task holds two blocks at a time, however large the shard."""
+    keys = ["band", "shard"]
+    named = members.join(joined.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    named = materialize(named, "labelled")
+    mixed = named.groupBy(*keys).agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = mixed.filter("least < most").select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = named.join(mixed.hint("merge"), keys).withColumn("own", F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")).cast("int"))
+    two = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = two.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    columns = ["own", "node", "fp", "more", "label"]
+    blocks = two.groupBy(*keys, "low", "high").agg(F.collect_list(F.struct(*columns)).alias("members"))
+    blocks = blocks.select("low", "high", *[F.col(f"members.{c}").alias(f"{c}s") for c in columns])
+    with arrow_rows(members.sparkSession, 64):
+        found = materialize(blocks.mapInPandas(_met(radius_of(similarity)), "a long, b long, apart int"), "met")
+    drop_table(named)
+    return found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
 def _jaccard(words: int):
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -287,10 +358,11 @@ def _keepers(docs: DataFrame, id_col, text_col, similarity: float, words: int) -
     )
     same = [F.first(c).alias(c) for c in ("p0", "p1", "bands")]
     nodes = materialize(known.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("first"), *same), "nodes")
-    pairs = proposals(nodes, similarity)
+    members = members_of(nodes)
+    pairs = proposals(members, similarity)
     # One text a node: that of its first row.  The hints keep one plan at
     # every size.
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.*").hint("merge"), "node")
+    named = members.select("node").distinct().join(nodes.select("node", "first.*").hint("merge"), "node")
     texts = (
         docs.filter(id_col.isNotNull()).select(id_col.alias("id"), F.xxhash64(text_col).alias("text_key"), text_col.alias("text"))
         .join(named.hint("merge"), ["id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
@@ -309,10 +381,28 @@ def _keepers(docs: DataFrame, id_col, text_col, similarity: float, words: int) -
     ranked = materialize(pairs.withColumn("rank", rank), "ranked")
     edges = verified(ranked.filter(F.col("rank") <= FIRST))
     joined = materialize(connected_components(edges), "joined")
-    label = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
-    rest = ranked.filter(F.col("rank") > FIRST).join(label("a"), "a", "left").join(label("b"), "b", "left")
-    more = verified(materialize(rest.filter("NOT coalesce(of_a = of_b, false)"), "rest"))
-    joined = connected_components(edges.unionByName(more))
+
+    def apart_yet(wanted: DataFrame, joined: DataFrame) -> DataFrame:
+        """``wanted`` without the pairs that ``joined`` has in one component."""
+        label = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+        both = wanted.join(label("a"), "a", "left").join(label("b"), "b", "left")
+        return materialize(both.filter("NOT coalesce(of_a = of_b, false)").drop("of_a", "of_b"), "rest")
+
+    rest = apart_yet(ranked.filter(F.col("rank") > FIRST), joined)
+    edges = edges.unionByName(verified(rest))
+    joined = materialize(connected_components(edges), "joined")
+    # What no leader proposed: pairs of different components.
+    seen = ranked.filter(F.col("rank") <= FIRST).select("a", "b").unionByName(rest.select("a", "b"))
+    seen = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    unseen = meetings(members, joined, similarity).join(seen, ["a", "b"], "left_anti")
+    left, most = materialize(unseen.withColumn("rank", rank), "unseen"), ROUND
+    while not left.isEmpty():
+        new = verified(left.filter(F.col("rank") <= most))
+        left, most = left.filter(F.col("rank") > most), most * ROUND
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            joined = materialize(connected_components(edges), "joined")
+            left = apart_yet(left, joined)
     member = nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
     keeper = member.groupBy("group").agg(F.min("first").alias("keeper"))
     return known.join(member.join(keeper, "group").select("node", "keeper"), "node").select("id", "text_key", "keeper")

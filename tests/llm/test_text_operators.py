@@ -308,6 +308,47 @@ def test_recall_of_near_duplicates_at_the_threshold(spark, monkeypatch, most, le
     assert all(len(sets[i] & sets[i ^ 1]) >= 0.8 * len(sets[i] | sets[i ^ 1]) for i in gone if i < 1000)
 
 
+def crowd(size, seed):
+    """Texts of one template at about 0.75 to each other, pairs at 0.8 or more among them."""
+    rng = random.Random(seed)
+    frame = [f"t{rng.randrange(5000)}" for _ in range(200)]
+    out = []
+    for i in range(size):
+        own = [f"o{i // 2}x{k}" for k in range(26)]
+        if i % 2:
+            own[-8:] = [f"e{i}x{k}" for k in range(8)]
+        out.append(" ".join(frame[:100] + own + frame[100:]))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_near_duplicates_lose_no_pair_that_meets_in_a_shard(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block, raising=False)
+    monkeypatch.setattr(neardup, "ROUND", 2, raising=False)
+    texts = crowd(240, 3)
+    sets = [neardup.shingle_set(t, 5) for t in texts]
+    plan, share = neardup.band_plan(0.8), neardup.differing(0.8)
+    radius = math.ceil(128 * share + 3 * math.sqrt(128 * share * (1 - share)))
+    keys, prints = [neardup.band_keys(s, *plan) for s in sets], [neardup.prints_of(s) for s in sets]
+    wanted, crowded = list(range(len(texts))), 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if not any(x == y for x, y in zip(keys[i], keys[j])):
+                continue
+            if sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[i], prints[j])) > radius:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((wanted[i], wanted[j]))
+                wanted = [low if w == high else w for w in wanted]
+            else:
+                crowded += 1
+    assert crowded > 5000 and 100 <= sum(w != i for i, w in enumerate(wanted)) <= 130
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.keeper for r in neardup.duplicates(d).collect()}
+    assert got == {i: w for i, w in enumerate(wanted) if w != i}
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     big = (1 << 53) + 1
     long = " ".join(f"w{i}" for i in range(60))
