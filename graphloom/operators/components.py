@@ -174,14 +174,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(a, b): the acyclic graph of components; nodes on no cycle are
-    components of their own."""
+    components of their own.  Its edges come as often as they do in ``edges``."""
     of = lambda side, name: components.select(F.col("id").alias(side), F.col("component").alias(name))
     named = edges.select("from_id", "to_id").join(of("from_id", "ca"), "from_id", "left").join(of("to_id", "cb"), "to_id", "left")
-    return named.select(F.coalesce("ca", "from_id").alias("a"), F.coalesce("cb", "to_id").alias("b")).filter("a <> b").distinct()
+    return named.select(F.coalesce("ca", "from_id").alias("a"), F.coalesce("cb", "to_id").alias("b")).filter("a <> b")
 
 
 class Reach:
-    """Labels of a graph's nodes that decide most questions "does x reach y".
+    """Answers to questions "does x reach y" over ``edges`` (from_id, to_id).
+
+    Inside a strong component the answer is yes; of two nodes that an edge
+    joins it is yes along the edge, and against it no unless one component
+    holds both.  For what is left, the edges that may lie between an x and a y
+    get labels that decide most questions.
 
     A label holds the node's component, its level (longest way from a source
     of the condensed graph), the minima of ``ORDERS`` hashes over all that it
@@ -191,9 +196,24 @@ class Reach:
     through nodes that those tests leave open."""
 
     def __init__(self, edges: DataFrame):
-        self.components = strong_components(edges)
-        self.dag = materialize(condensed(edges, self.components), "dag")
-        self.labels = self._labels()
+        self.edges = materialize(edges.select("from_id", "to_id").filter("from_id IS NOT NULL AND to_id IS NOT NULL"), "edges")
+        self.components = strong_components(self.edges)
+
+    def _between(self, open_: DataFrame) -> DataFrame:
+        """Edges (a, b) of the condensed graph without those that lead to a
+        node that has no way out and is no y, or come from one that has no way
+        in and is no x, ``TRIMS`` times: what no way from an x to a y takes."""
+        left, size = condensed(self.edges, self.components), None
+        for _ in range(TRIMS):
+            starts = left.select(F.col("a").alias("b")).unionByName(open_.select(F.col("yc").alias("b"))).distinct()
+            left = materialize(left.join(starts, "b", "left_semi").select("a", "b"), "between")
+            targets = left.select(F.col("b").alias("a")).unionByName(open_.select(F.col("xc").alias("a"))).distinct()
+            left = materialize(left.join(targets, "a", "left_semi").select("a", "b").distinct(), "between")
+            now = left.count()
+            if now == size:
+                break
+            size = now
+        return left
 
     def _levels(self) -> tuple[DataFrame, DataFrame, int]:
         """(a, b, level of a) of all edges and (id, level) of all nodes."""
@@ -248,29 +268,48 @@ class Reach:
                 out = materialize(out, "dag-labels")
         return materialize(out.withColumn("high", F.col("low") + F.col("size")).drop("size"), "dag-labels")
 
-    def answers(self, pairs: DataFrame) -> DataFrame:
+    def answers(self, pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         """``pairs`` (x, y, ...) with ``reaches``: whether x leads to y over
-        one edge or more, or is y."""
+        one edge or more, or is y; false where one of them is null."""
+        of = lambda side, name: self.components.select(F.col("id").alias(side), F.col("component").alias(name))
+        # Pairs are told apart after the shuffle, where a task has its share only.
+        keys = [c for c in pairs.columns if c in (x, y)]
+        edge = lambda a, b: self.edges.select(F.col(a).alias(x), F.col(b).alias(y)).repartition(*keys).distinct()
+        along = edge("from_id", "to_id").withColumn("_along", F.lit(True))
+        against = edge("to_id", "from_id").withColumn("_against", F.lit(True))
+        xc, yc = F.coalesce("_xk", x), F.coalesce("_yk", y)
+        none = F.col(x).isNull() | F.col(y).isNull()
+        settled = F.when(none, False).when(xc == yc, True).when(F.col("_along"), True).when(F.col("_against"), False)
+        known = pairs.join(along, keys, "left").join(against, keys, "left").join(of(x, "_xk"), x, "left").join(of(y, "_yk"), y, "left")
+        known = materialize(known.select(*pairs.columns, "_xk", "_yk", settled.alias("reaches")), "asked")
+        open_ = materialize(known.filter("reaches IS NULL").select(xc.alias("xc"), yc.alias("yc")).distinct(), "open")
+        if open_.isEmpty():
+            return known.drop("_xk", "_yk")
+        hit = self._open_answers(open_).withColumnsRenamed({"xc": "_xc", "yc": "_yc"})
+        answered = known.join(hit, (xc == F.col("_xc")) & (yc == F.col("_yc")), "left")
+        return answered.select(*pairs.columns, F.coalesce("reaches", "hit", F.lit(False)).alias("reaches"))
+
+    def _open_answers(self, open_: DataFrame) -> DataFrame:
+        """(xc, yc, hit) of those pairs of components, none of them joined in
+        a cycle, of which xc reaches yc."""
+        self.dag = self._between(open_)
+        self.labels = self._labels()
         hashes = [f"h{i}" for i in range(ORDERS)]
         label = lambda side: self.labels.select(
             F.col("id").alias(f"{side}c"), *[F.col(c).alias(f"{side}_{c}") for c in ("level", *hashes, "tree", "low", "high")]
         )
-        of = lambda side: self.components.select(F.col("id").alias(side), F.col("component").alias(f"{side}k"))
-        asked = pairs.select("x", "y").distinct().join(of("x"), "x", "left").join(of("y"), "y", "left").select(
-            "x", "y", F.coalesce("xk", "x").alias("xc"), F.coalesce("yk", "y").alias("yc")
-        ).join(label("x"), "xc", "left").join(label("y"), "yc", "left")
         no = F.col("x_level").isNull() | F.col("y_level").isNull() | (F.col("x_level") >= F.col("y_level"))
         for h in hashes:
             no = no | (F.col(f"x_{h}") > F.col(f"y_{h}"))
         inside = (F.col("x_tree") == F.col("y_tree")) & (F.col("x_low") <= F.col("y_low")) & (F.col("y_low") < F.col("x_high"))
         # An edge between the two is an equality join: no search meets all edges into a hub for it.
         direct = self.dag.select(F.col("a").alias("xc"), F.col("b").alias("yc"), F.lit(True).alias("direct"))
-        settled = F.when(F.col("xc") == F.col("yc"), True).when(no, False).when(inside, True).when(F.col("direct"), True)
-        known = materialize(asked.join(direct, ["xc", "yc"], "left").withColumn("reaches", settled), "asked")
-        open_ = known.filter("reaches IS NULL").select("xc", "yc", "x_level", *[f"x_{h}" for h in hashes], "x_tree", "x_low", "x_high").distinct()
-        hit = self._search(open_, hashes)
-        answered = known.select("x", "y", "xc", "yc", "reaches").join(hit, ["xc", "yc"], "left").select("x", "y", F.coalesce("reaches", "hit", F.lit(False)).alias("reaches"))
-        return pairs.join(answered, ["x", "y"])
+        settled = F.when(no, False).when(inside, True).when(F.col("direct"), True)
+        asked = open_.join(label("x"), "xc", "left").join(label("y"), "yc", "left").join(direct, ["xc", "yc"], "left")
+        known = materialize(asked.withColumn("reaches", settled), "labelled")
+        rest = known.filter("reaches IS NULL").select("xc", "yc", "x_level", *[f"x_{h}" for h in hashes], "x_tree", "x_low", "x_high")
+        yes = known.filter("reaches").select("xc", "yc", F.lit(True).alias("hit"))
+        return materialize(yes.unionByName(self._search(rest, hashes)), "hits")
 
     def _search(self, open_: DataFrame, hashes: list[str]) -> DataFrame:
         """(xc, yc, hit) of the pairs that a search finds joined."""

@@ -99,9 +99,7 @@ def would_close_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidates`` (from_id, to_id) with ``closes``: whether the progression
     edges already lead from to_id back to from_id."""
     reach = components.Reach(edges.filter("edge_type = 'progression'"))
-    asked = candidates.select(F.col("to_id").alias("x"), F.col("from_id").alias("y")).distinct()
-    answers = reach.answers(asked).select(F.col("y").alias("from_id"), F.col("x").alias("to_id"), F.col("reaches").alias("closes"))
-    return candidates.join(answers, ["from_id", "to_id"], "left").withColumn("closes", F.coalesce("closes", F.lit(False)))
+    return reach.answers(candidates, "to_id", "from_id").withColumnRenamed("reaches", "closes")
 
 
 def _closing(candidates: DataFrame, wanted: DataFrame, hops: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import components, expand, graph, lint, routes, snapshot, traverse
 from ..plans import star
 from ..plans.star import ROOT, oracle
+from ..runtime import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -159,10 +160,10 @@ FROM (SELECT from_id, to_id FROM star_edges UNION SELECT to_id, from_id FROM sta
   UNION SELECT reach.a, e.to_id FROM reach JOIN star_edges e ON e.from_id = reach.b WHERE e.edge_type <> 'lateral')"""))
 def would_create_cycle(spark, sf_dir):
     """Every edge and its reverse, against all edges that are not sideways."""
-    e = star.edges(spark, sf_dir)
+    e = materialize(star.edges(spark, sf_dir).select("from_id", "to_id", "edge_type"), "star-edges")
     both = e.select("from_id", "to_id").unionByName(e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
     ways = e.withColumn("edge_type", F.when(F.col("edge_type") == "lateral", "lateral").otherwise("progression"))
-    return traverse.would_close_cycle(both.distinct(), ways)
+    return traverse.would_close_cycle(both.repartition("from_id", "to_id").distinct(), ways)
 
 
 #: The star graph, and a ring of the customers of each nation and segment.

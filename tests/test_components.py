@@ -96,3 +96,20 @@ def test_would_close_cycle_takes_loops_and_unknown_ends(spark):
     asked = spark.createDataFrame([("c", "a"), ("a", "c"), ("z", "z"), ("z", "a"), ("c", "a")], EDGE)
     got = [(x.from_id, x.to_id, x.closes) for x in traverse.would_close_cycle(asked, edges).collect()]
     assert sorted(got) == [("a", "c", False), ("c", "a", True), ("c", "a", True), ("z", "a", False), ("z", "z", True)]
+
+
+def test_labels_are_made_only_between_what_is_asked(spark, monkeypatch):
+    written = []
+    whole = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append((label, whole(df, label))) or written[-1][1])
+    fan = [("root", f"mid{i}") for i in range(20)] + [(f"mid{i}", f"leaf{i}.{k}") for i in range(20) for k in range(20)]
+    df = spark.createDataFrame([*fan, ("root", "ring0"), ("ring0", "ring1"), ("ring1", "ring0")], EDGE)
+    both = spark.createDataFrame([*fan, *[(b, a) for a, b in fan], ("ring1", "ring0")], "x string, y string")
+    got = {(r.x, r.y): r.reaches for r in components.Reach(df).answers(both).collect()}
+    assert got == {(a, b): True for a, b in fan} | {(b, a): False for a, b in fan} | {("ring1", "ring0"): True}
+    # Edges and their reverses need no label at all.
+    assert not any(label.startswith("dag") for label, _ in written)
+    asked = [("root", "leaf3.4"), ("root", "leaf5.6"), ("mid1", "leaf2.2"), ("leaf3.4", "root")]
+    got = {(r.x, r.y): r.reaches for r in components.Reach(df).answers(spark.createDataFrame(asked, "x string, y string")).collect()}
+    assert got == dict(zip(asked, (True, True, False, False)))
+    assert max(table.count() for label, table in written if label.startswith("dag")) <= 8
