@@ -65,6 +65,8 @@ BLOCK_ROWS = 4096
 #: Pairs of a text that are verified in the first round of what the proposals
 #: left; as many times more in each further round.
 ROUND = 16
+#: Classes of hashes (by their first seven bits) that are counted for a bound.
+COUNTS = 128
 FURTHER_BITS, FURTHER_BANDS, FURTHER_LEVELS = 3, 4, 8
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -135,6 +137,16 @@ def band_keys(hashes: np.ndarray, bands: int, minima: int) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def counts_of(hashes: np.ndarray) -> list[int]:
+    """How many hashes fall into each of ``COUNTS`` classes, a byte each, eight
+    in a number; all zero, for "not known", where a byte would not hold one.
+    The sum of the lesser counts of two sets is never below what they share."""
+    counts = np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=COUNTS)
+    if counts.max() > 255:
+        counts[:] = 0
+    return counts.astype(np.uint8).view(np.int64).tolist()
+
+
 LED = "band int, shard long, node long, fp long, more long, leader long, apart int, leads boolean"
 
 
@@ -267,14 +279,17 @@ def proposals(members: DataFrame, similarity: float) -> DataFrame:
     return pairs
 
 
-def _met(radius: int):
+def _met(radius: int, similarity: float):
     """(a, b, apart): the pairs of different labels within ``radius`` of two
-    blocks, or of one with itself."""
+    blocks, or of one with itself, without those whose counts show that they
+    share too little."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for low, high, owns, nodes, fps, mores, labels in batch.itertuples(index=False):
+            for low, high, owns, nodes, fps, mores, labels, counts in batch.itertuples(index=False):
                 fps, mores = fps.view(np.uint64), mores.view(np.uint64)
+                counts = np.stack(counts).view(np.uint8)
+                sizes = counts.sum(axis=1, dtype=np.int64)
                 one = np.flatnonzero(owns == low)
                 other = one if low == high else np.flatnonzero(owns == high)
                 for i in range(0, len(one), 64):
@@ -283,18 +298,23 @@ def _met(radius: int):
                     near = (apart <= radius) & (labels[rows, None] != labels[other])
                     if low == high:
                         near &= nodes[rows, None] > nodes[other]
-                    x, y = np.nonzero(near)
-                    if len(x):
-                        a, b = nodes[rows[x]], nodes[other[y]]
-                        yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": apart[x, y].astype(np.int32)})
+                    xs, ys = np.nonzero(near)
+                    for k in range(0, len(xs), 65536):
+                        x, y = xs[k : k + 65536], ys[k : k + 65536]
+                        p, q = rows[x], other[y]
+                        both = np.minimum(counts[p], counts[q]).sum(axis=1, dtype=np.int64)
+                        may = (both + 1e-6 >= similarity * (sizes[p] + sizes[q] - both)) | (sizes[p] == 0) | (sizes[q] == 0)
+                        a, b = nodes[p[may]], nodes[q[may]]
+                        yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": apart[x[may], y[may]].astype(np.int32)})
 
     return run
 
 
-def meetings(members: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+def meetings(members: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a > b) of ``members`` that share a shard and lie within the
     radius, with the bits that tell them apart, but for pairs of one component
-    of ``joined`` (node, component).
+    of ``joined`` (node, component) and pairs that the counts of ``nodes``
+    (node, counts) prove to be less alike.
 
     A shard's rows are dealt to blocks, and any two blocks are a row of their
     own: a task holds two blocks at a time, however large the shard."""
@@ -303,14 +323,14 @@ def meetings(members: DataFrame, joined: DataFrame, similarity: float) -> DataFr
     named = materialize(named, "labelled")
     mixed = named.groupBy(*keys).agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
     mixed = mixed.filter("least < most").select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = named.join(mixed.hint("merge"), keys).withColumn("own", F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")).cast("int"))
+    own = named.join(mixed.hint("merge"), keys).join(nodes.select("node", "counts").hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")).cast("int"))
     two = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     two = two.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    columns = ["own", "node", "fp", "more", "label"]
+    columns = ["own", "node", "fp", "more", "label", "counts"]
     blocks = two.groupBy(*keys, "low", "high").agg(F.collect_list(F.struct(*columns)).alias("members"))
-    blocks = blocks.select("low", "high", *[F.col(f"members.{c}").alias(f"{c}s") for c in columns])
-    with arrow_rows(members.sparkSession, 64):
-        found = materialize(blocks.mapInPandas(_met(radius_of(similarity)), "a long, b long, apart int"), "met")
+    blocks = blocks.select("low", "high", *[F.col(f"members.{c}").alias(f"of_{c}") for c in columns])
+    with arrow_rows(members.sparkSession, 16):
+        found = materialize(blocks.mapInPandas(_met(radius_of(similarity), similarity), "a long, b long, apart int"), "met")
     drop_table(named)
     return found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
@@ -338,7 +358,7 @@ def _signed(words: int, similarity: float):
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
             sets = [shingle_set(t, words) for t in texts]
-            yield pd.Series([[set_key(s), *prints_of(s), *band_keys(s, *plan)] for s in sets])
+            yield pd.Series([[set_key(s), *prints_of(s), *counts_of(s), *band_keys(s, *plan)] for s in sets])
 
     return F.pandas_udf(run, "array<long>")
 
@@ -352,11 +372,12 @@ def _keepers(docs: DataFrame, id_col, text_col, similarity: float, words: int) -
         .select(id_col.alias("id"), F.xxhash64(text_col).alias("text_key"), _signed(words, similarity)(text_col).alias("p"))
         .select(
             "id", "text_key", p[0].alias("node"), p[1].alias("p0"), p[2].alias("p1"),
-            F.slice(p, 2 + PRINTS, F.greatest(F.size(p) - 1 - PRINTS, F.lit(0))).alias("bands"),
+            F.slice(p, 2 + PRINTS, COUNTS // 8).alias("counts"),
+            F.slice(p, 2 + PRINTS + COUNTS // 8, F.greatest(F.size(p) - 1 - PRINTS - COUNTS // 8, F.lit(0))).alias("bands"),
         ),
         "prints",
     )
-    same = [F.first(c).alias(c) for c in ("p0", "p1", "bands")]
+    same = [F.first(c).alias(c) for c in ("p0", "p1", "counts", "bands")]
     nodes = materialize(known.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("first"), *same), "nodes")
     members = members_of(nodes)
     pairs = proposals(members, similarity)
@@ -394,7 +415,7 @@ def _keepers(docs: DataFrame, id_col, text_col, similarity: float, words: int) -
     # What no leader proposed: pairs of different components.
     seen = ranked.filter(F.col("rank") <= FIRST).select("a", "b").unionByName(rest.select("a", "b"))
     seen = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    unseen = meetings(members, joined, similarity).join(seen, ["a", "b"], "left_anti")
+    unseen = meetings(members, nodes, joined, similarity).join(seen, ["a", "b"], "left_anti")
     left, most = materialize(unseen.withColumn("rank", rank), "unseen"), ROUND
     while not left.isEmpty():
         new = verified(left.filter(F.col("rank") <= most))
