@@ -57,6 +57,11 @@ def new_aliases(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
 BLOCK = 1024
 #: Random planes by whose sides vectors are dealt to blocks.
 PLANES = 16
+#: Bytes of vectors that a task holds, and of queries that pass by them there.
+SHELF_BYTES = 1 << 23
+SLOT_BYTES = 1 << 25
+#: Queries and vectors of one matrix product, and numbers summed at once.
+QUERIES, COLUMNS, SUMMED = 512, 2048, 1 << 21
 _PACKED = "grp string, block long, ids array<string>, pos array<long>, matrix binary, centre array<double>, radius double"
 
 
@@ -116,73 +121,132 @@ def _grouped(df: DataFrame, position: Column, same_type: bool) -> DataFrame:
     )
 
 
-def _scores(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The k best of one block of vectors for each query of one block."""
+def _pair_scores(q: np.ndarray, m: np.ndarray, at: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Scores of stated pairs, summed in the same order for each, so that
+    copies tie wherever they lie."""
+    each = max(1, SUMMED // max(1, q.shape[1]))
+    parts = [(q[at[i : i + each]] * m[col[i : i + each]]).sum(axis=1) for i in range(0, len(at), each)]
+    return np.round(np.concatenate(parts), 12) if parts else np.empty(0)
+
+
+def _best_of(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, m: np.ndarray, own: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, column, score): the k best of the columns ``m``, the first of
+    equal ones, for each query, but for those below what is known to be its
+    floor (``least``, which rises as columns are met)."""
+    mine = [(i, c) for i, x in enumerate(q_ids) for c in own.get(x, ())]
+    mine_at, mine_col = np.array(mine, dtype=np.int64).reshape(-1, 2).T
+    at, col, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for low in range(0, len(ids), COLUMNS):
+        scores = q @ m[low : low + COLUMNS].T
+        here = (mine_col >= low) & (mine_col < low + COLUMNS)
+        scores[mine_at[here], mine_col[here] - low] = -np.inf
+        # Products differ in the last digits by the shape of a matrix.
+        new_at, new_col = np.nonzero(scores >= (least - 1e-9)[:, None])
+        if len(new_at) > 2 * k * len(q) and k < scores.shape[1]:
+            nth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            new_at, new_col = np.nonzero(scores >= (np.fmax(least, nth) - 1e-9)[:, None])
+        if not len(new_at):
+            continue
+        new_s = _pair_scores(q, m, new_at, new_col + low)
+        at, col, s = np.concatenate([at, new_at]), np.concatenate([col, new_col + low]), np.concatenate([s, new_s])
+        by = np.lexsort((col, -s, at))
+        by = by[s[by] >= least[at[by]]]
+        place = np.arange(len(by)) - np.searchsorted(at[by], at[by])
+        at, col, s = (x[by[place < k]] for x in (at, col, s))
+        full = place[place < k] == k - 1
+        least[at[full]] = np.maximum(least[at[full]], s[full])
+    return at, col, s
+
+
+def _meetings(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The blocks of a shelf, which come first and stay, and blocks of queries
+    that pass by: the k best of the blocks that each wants."""
+    here, shelf, laid = None, {}, None
     for batch in batches:
         for row in batch.itertuples():
-            ids, pos = np.array(list(row.ids), dtype=object), np.array(list(row.pos), dtype=np.int64)
-            order = np.argsort(pos, kind="stable")
-            ids, pos = ids[order], pos[order]
-            m = np.frombuffer(row.matrix).reshape(len(ids), -1)[order]
-            place = {x: i for i, x in enumerate(ids)}
-            q_ids = np.array(list(row.q_ids), dtype=object)
-            q = np.frombuffer(row.q_matrix).reshape(len(q_ids), -1)
-            for low in range(0, len(q_ids), 512):
-                part = q_ids[low : low + 512]
-                scores = np.round(q[low : low + 512] @ m.T, 12)
-                for i, x in enumerate(part):
-                    if x in place:
-                        scores[i, place[x]] = -np.inf
-                n = min(k, len(ids))
-                # All that reach the nth best, then the first of equal ones.
-                least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-                at, col = np.nonzero((scores >= least) & np.isfinite(scores))
-                s = scores[at, col]
-                by = np.lexsort((col, -s, at))
-                at, col, s = at[by], col[by], s[by]
-                kept = np.arange(len(at)) - np.searchsorted(at, at) < n
-                yield pd.DataFrame({"q_block": row.q_block, "q_id": part[at[kept]], "id": ids[col[kept]], "pos": pos[col[kept]], "score": s[kept]})
+            if (row.grp, row.shelf, row.slot) != here:
+                here, shelf, laid = (row.grp, row.shelf, row.slot), {}, None
+            ids = np.array(list(row.ids), dtype=object)
+            m = np.frombuffer(row.matrix).reshape(len(ids), -1)
+            if row.wanted is None:
+                shelf[row.block] = ids, np.array(list(row.pos), dtype=np.int64), m
+                continue
+            wanted = sorted(row.wanted)
+            if laid != wanted:
+                d_ids, d_pos, d = (np.concatenate([shelf[b][i] for b in wanted]) for i in range(3))
+                order = np.argsort(d_pos, kind="stable")
+                d_ids, d_pos, d, laid, own = d_ids[order], d_pos[order], d[order], wanted, {}
+                for c, x in enumerate(d_ids):
+                    own.setdefault(x, []).append(c)
+            floors = {f["q_id"]: f["kth"] for f in row.floors} if row.floors is not None else {}
+            for low in range(0, len(ids), QUERIES):
+                part = ids[low : low + QUERIES]
+                least = np.array([floors.get(x, -2.0) for x in part])
+                at, col, s = _best_of(part, m[low : low + QUERIES], least, d_ids, d, own, k)
+                yield pd.DataFrame({"q_block": row.block, "q_id": part[at], "id": d_ids[col], "pos": d_pos[col], "score": s})
 
 
 _SCORED = "q_block long, q_id string, id string, pos long, score double"
 
 
+def _bytes() -> Column:
+    return F.size("ids").cast("double") * F.size("centre") * 8
+
+
 def nearest_blocks(left: DataFrame, right: DataFrame, k: int, stats: dict | None = None) -> DataFrame:
     """(q_id, id, pos, score, rank) of the blocks of queries ``left`` against
     the blocks ``right``, both written tables of ``packed_blocks``.
 
-    The schedule pairs block heads (centre and angle) alone; every pair is a
-    row of its own, so one group spreads over all tasks.  First each block of
-    queries meets the block whose centre is nearest.  What that gives is a
+    The schedule pairs block heads (centre and angle) alone.  First each block
+    of queries meets the block whose centre is nearest.  What that gives is a
     floor under its queries' k-th best scores, and of the other pairs only
     those are scored whose vectors could reach it.  ``stats`` gets the number
-    of pairs and of those scored."""
+    of pairs and of those scored.
+
+    Vectors are not shuffled a pair of blocks at a time: alike blocks share a
+    shelf of ``SHELF_BYTES``, and a block of queries goes once to each shelf
+    on which it wants any.  A shelf stands once in every slot, one for each
+    ``SLOT_BYTES`` of a group's queries, so that one group spreads over tasks,
+    and a task holds one shelf while the queries of its slot pass by."""
     head = lambda df, s: df.select("grp", F.col("block").alias(f"{s}block"), F.col("centre").alias(f"{s}centre"), F.col("radius").alias(f"{s}radius"))
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot("q_centre", "d_centre"))))
     apart = F.greatest(F.lit(0.0), angle - F.col("q_radius") - F.col("d_radius"))
     pairs = head(left, "q_").join(head(right, "d_"), "grp").select("grp", "q_block", "d_block", F.cos(F.least(apart, F.lit(math.pi))).alias("bound"), angle.alias("angle"))
     pairs = materialize(pairs, "block-pairs")
-    queries = left.select("grp", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    vectors = right.select("grp", F.col("block").alias("d_block"), "ids", "pos", "matrix")
-
-    def met(schedule: DataFrame) -> DataFrame:
-        columns = ["q_block", "q_ids", "q_matrix", "ids", "pos", "matrix"]
-        spread = schedule.select("grp", "q_block", "d_block").join(queries, ["grp", "q_block"]).join(vectors, ["grp", "d_block"])
-        return spread.repartition("grp", "q_block", "d_block").select("grp", *columns).mapInPandas(
-            lambda batches: _scores(batches, k), _SCORED
+    before = Window.partitionBy("grp").orderBy("side", "d_block").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = right.select("grp", F.col("block").alias("d_block"), _side("centre").alias("side"), _bytes().alias("bytes"))
+    shelves = materialize(shelves.select("grp", "d_block", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0.0)) / SHELF_BYTES).alias("shelf")), "shelves")
+    slots = left.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum(_bytes()) / SLOT_BYTES)).cast("int").alias("slots"))
+    stood = right.withColumnRenamed("block", "d_block").join(shelves, ["grp", "d_block"]).join(slots, "grp").select(
+        "grp", "shelf", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("d_block").alias("block"), "ids", "pos", "matrix",
+        F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast("array<struct<q_id:string,kth:double>>").alias("floors"),
+    )
+    asking = left.select("grp", F.col("block").alias("q_block"), "ids", "matrix").join(slots, "grp").withColumn("slot", F.pmod(F.hash("q_block"), F.col("slots")))
+
+    def met(schedule: DataFrame, floors: DataFrame) -> DataFrame:
+        wanted = schedule.join(shelves, ["grp", "d_block"]).groupBy("grp", "q_block", "shelf").agg(F.collect_list("d_block").alias("wanted"))
+        passing = asking.join(wanted, ["grp", "q_block"]).join(floors.select("q_block", "floors"), "q_block", "left").select(
+            "grp", "shelf", "slot", F.col("q_block").alias("block"), "ids", F.lit(None).cast("array<long>").alias("pos"), "matrix", "wanted", "floors"
+        )
+        together = stood.unionByName(passing).repartition("grp", "shelf", "slot")
+        return together.sortWithinPartitions("grp", "shelf", "slot", F.col("wanted").isNotNull(), "block").mapInPandas(
+            lambda batches: _meetings(batches, k), _SCORED
         )
 
     first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("grp", "q_block").orderBy("angle", "d_block"))).filter("r = 1")
-    opening = materialize(met(first), "opening")
+    none = left.limit(0).select(F.col("block").alias("q_block"), F.lit(None).cast("array<struct<q_id:string,kth:double>>").alias("floors"))
+    opening = materialize(met(first, none), "opening")
     # Without k scores yet, a query's floor is below everything.
-    floors = left.select("block", F.explode("ids").alias("q_id")).join(
-        opening.groupBy("q_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")), "q_id", "left"
-    ).groupBy(F.col("block").alias("q_block")).agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-2.0))).alias("floor"))
-    rest = pairs.join(first.select("grp", "q_block", "d_block"), ["grp", "q_block", "d_block"], "left_anti").join(floors, "q_block").filter(F.col("bound") >= F.col("floor") - 1e-9)
+    known = opening.groupBy("q_block", "q_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+    known = known.groupBy("q_block").agg(F.collect_list(F.struct("q_id", "kth")).alias("floors"), F.min("kth").alias("least"))
+    known = left.select(F.col("block").alias("q_block"), F.size("ids").alias("size")).join(known, "q_block", "left")
+    known = materialize(known.select("q_block", "floors", F.when(F.size("floors") >= F.col("size"), F.col("least")).otherwise(F.lit(-2.0)).alias("floor")), "floors")
+    rest = pairs.join(first.select("grp", "q_block", "d_block"), ["grp", "q_block", "d_block"], "left_anti")
+    rest = rest.join(known.select("q_block", "floor"), "q_block").filter(F.col("bound") >= F.col("floor") - 1e-9)
     rest = materialize(rest, "block-rest")
     if stats is not None:
         stats |= {"pairs": pairs.count(), "scored": left.count() + rest.count()}
-    both = opening.unionByName(met(rest))
+    both = opening.unionByName(met(rest, known))
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "pos")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("q_block")
 
