@@ -79,13 +79,15 @@ def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+def gate_edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """``once`` False leaves repeated ones, for steps that merge them."""
+    pairs = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    pairs = pairs.distinct() if once else pairs
     return _edges(pairs, _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "exam_gate", F.lit(True))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk_edges(spark, sf_dir).unionByName(gate_edges(spark, sf_dir))
+def edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    return walk_edges(spark, sf_dir).unionByName(gate_edges(spark, sf_dir, once))
 
 
 #: The same tables as common table expressions for the oracle.

@@ -85,8 +85,9 @@ def routes_topk(spark, sf_dir):
 @query(oracle(
     "SELECT parent, target, rank, niche, sideways, hops, replace(path, chr(1), ' > ') AS path FROM via WHERE rank <= 10", ROUTES, RANKED, VIA))
 def routes_via_parent(spark, sf_dir):
-    out = routes.routes_via_parent(_routes(spark, sf_dir), star.edges(spark, sf_dir))
-    return out.select("parent", "target", "rank", "niche", "sideways", "hops", shown_path())
+    edges = routes.merged(star.edges(spark, sf_dir, once=False))
+    out = routes.paths_via_parent(routes.best_routes(edges, ROOT), edges, between=" > ")
+    return out.select("parent", "target", "rank", "niche", "sideways", "hops", "path")
 
 
 @query(oracle("SELECT child_id, parent_id, rank FROM prank", ROUTES, RANKED, PARENTS))
